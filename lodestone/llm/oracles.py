@@ -39,3 +39,25 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
     and n_exc::double / greatest(n_words, 1) <= 0.10e0 as kept
 from f
 """
+
+OP3 = r"""
+with d as (select row_number() over () as rid, doc_id,
+             regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+b as (select cast(item_id as varchar) as item,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                           '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+bw as (select distinct item, least(13, len(w)) as n, array_to_string(w[i : i + least(13, len(w)) - 1], ' ') as g
+       from (select item, w, unnest(range(1, len(w) - least(13, len(w)) + 2)) as i from b where len(w) > 0)),
+sizes as (select distinct n from bw),
+dw as (select rid, n, i, array_to_string(w[i : i + n - 1], ' ') as g
+       from (select rid, w, n, unnest(range(1, len(w) - n + 2)) as i from d, sizes where len(w) >= n)),
+hit as (select rid, dw.n, i, item from dw join bw on dw.n = bw.n and dw.g = bw.g),
+pos as (select rid, count(distinct p) as n_hit from (select rid, unnest(range(i, i + n)) as p from hit) group by rid),
+its as (select rid, count(*) as n_items, string_agg(item, ',' order by item) as items
+        from (select distinct rid, item from hit) group by rid)
+select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit,
+  cast(coalesce(n_items, 0) as bigint) as n_items, sha256(coalesce(items, '')) as items_sha256,
+  coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from d left join pos on d.rid = pos.rid left join its on d.rid = its.rid
+"""

@@ -2,13 +2,29 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import oracles, quality_rules
-from lodestone.runtime import table
+from lodestone.llm import decontaminate, oracles, quality_rules, tokens
+from lodestone.runtime import shared_dir, table
+
+
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        decontaminate.contaminated().alias("contaminated"),
+    )
+
+
+def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = f"{shared_dir(spark).rstrip('/')}/lodestone/tokens-{uuid.uuid4().hex}"
+    tokens.write_tokens(table(spark, sf_dir, "documents"), out)
+    return tokens.read_documents(spark, out)
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,9 +35,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_benchmark_decontamination": op3_benchmark_decontamination,
+    "op9_token_output": op9_token_output,
     "op10_quality_rules": op10_quality_rules,
 }
 
 ORACLES: dict[str, str] = {
+    "op3_benchmark_decontamination": oracles.OP3,
     "op10_quality_rules": oracles.OP10,
 }
