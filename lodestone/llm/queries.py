@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import decontaminate, oracles, packing, quality_rules, tokens
+from lodestone.llm import decontaminate, oracles, packing, quality_rules, substring_dedup, suffix_dedup, tokens
 from lodestone.runtime import shared_dir, table
 
 
@@ -25,6 +25,14 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.find(table(spark, sf_dir, "documents"))
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.find(table(spark, sf_dir, "documents"))
+
+
 def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = f"{shared_dir(spark).rstrip('/')}/lodestone/tokens-{uuid.uuid4().hex}"
     tokens.write_tokens(table(spark, sf_dir, "documents"), out)
@@ -41,6 +49,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
+    "op4_suffix_array_dedup": op4_suffix_array_dedup,
+    "op6_substring_dedup": op6_substring_dedup,
     "op9_token_output": op9_token_output,
     "op10_quality_rules": op10_quality_rules,
 }
