@@ -28,10 +28,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 SEGMENT_TOKENS = 1 << 18
-CACHE_WORDS = 300_000
+CACHE_WORDS = 600_000
 LONGEST_CACHED = 64
 PIECE_CHARS = 1 << 20
 _ODD = re.compile("[\x1c-\x1f]")  # Python splits at these, the tokenizer does not
+# Letters whose lower case and normal form are the same one by one, then marks that never join a word
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]{1,48})([.,;:!?]{0,8})")
 _SPACE = re.compile(r"[ \n\r\t]")
 
 
@@ -52,6 +54,9 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.cache: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     @classmethod
     def of(cls, path: str) -> "Encoder":
@@ -63,22 +68,57 @@ class Encoder:
     def _plain(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def _runs(self, runs: list[str]) -> None:
+        """Cache words of letters only: each is one unit to the tokenizer, and its last token says so."""
+        got = self.tokenizer.encode_batch_fast([" ".join(runs)], add_special_tokens=False)[0].ids
+        ids = np.asarray(got, dtype="<u4")
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) == len(runs):
+            data, at = ids.tobytes(), 0
+            for w, end in zip(runs, (4 * ends).tolist()):
+                self.cache[w] = data[at:end]
+                at = end
+        else:
+            self._each(runs, self.cache)
+
+    def _each(self, words: list[str], into: dict[str, bytes]) -> None:
+        for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
+            into[w] = np.asarray(e.ids, dtype="<u4").tobytes()
+
+    def _learn(self, missing: list[str]) -> dict[str, bytes]:
+        """Cache these words; what is too long for the cache is returned."""
+        cache = self.cache
+        parts = [(w, m) for w in missing if (m := _PLAIN.fullmatch(w))]
+        runs = {m[1].lower() for _, m in parts}
+        if new := [r for r in runs if r not in cache]:
+            self._runs(new)
+        tails = {m[2] for _, m in parts}
+        if new := [t for t in tails if t not in cache and t]:
+            self._each(new, cache)
+        for w, m in parts:
+            cache[w] = cache[m[1].lower()] + cache[m[2]] if m[2] else cache[m[1].lower()]
+        rest = [w for w in missing if w not in cache]
+        long: dict[str, bytes] = {}
+        if short := [w for w in rest if len(w) <= LONGEST_CACHED]:
+            self._each(short, cache)
+        if over := [w for w in rest if len(w) > LONGEST_CACHED]:
+            self._each(over, long)
+        return long
+
     def _piece(self, text: str) -> bytes:
         if _ODD.search(text):
             return self._plain(text)
-        words, cache = text.split(), self.cache
-        missing = [w for w in set(words) if w not in cache]
-        long: dict[str, bytes] = {}
-        if missing:
-            if len(cache) + len(missing) > CACHE_WORDS:
-                cache.clear()
-                missing = list(set(words))
-            ids = self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)
-            for w, e in zip(missing, ids):
-                (cache if len(w) <= LONGEST_CACHED else long)[w] = np.asarray(e.ids, dtype="<u4").tobytes()
+        words = text.split()
+        missing = [w for w in set(words) if w not in self.cache]
+        if not missing:
+            return b"".join(map(self.cache.__getitem__, words))
+        if len(self.cache) + len(missing) > CACHE_WORDS:
+            self.cache.clear()
+            missing = list(set(words))
+        long = self._learn(missing)
         if long:
-            return b"".join([cache[w] if w in cache else long[w] for w in words])
-        return b"".join(map(cache.__getitem__, words))
+            return b"".join([self.cache[w] if w in self.cache else long[w] for w in words])
+        return b"".join(map(self.cache.__getitem__, words))
 
     def encode(self, text: str | None) -> bytes:
         if not text:
