@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import decontaminate, oracles, packing, quality_rules, substring_dedup, suffix_dedup, tokens
+from lodestone.llm import decontaminate, oracles, packing, quality_rules, simhash, substring_dedup, suffix_dedup, tokens
 from lodestone.runtime import shared_dir, table
 
 
@@ -33,6 +33,10 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.find(table(spark, sf_dir, "documents"))
 
 
+def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.cluster(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
 def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = f"{shared_dir(spark).rstrip('/')}/lodestone/tokens-{uuid.uuid4().hex}"
     tokens.write_tokens(table(spark, sf_dir, "documents"), out)
@@ -51,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op6_substring_dedup": op6_substring_dedup,
+    "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_token_output": op9_token_output,
     "op10_quality_rules": op10_quality_rules,
 }
