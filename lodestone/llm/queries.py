@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import decontaminate, oracles, packing, quality_rules, simhash, substring_dedup, suffix_dedup, tokens
+from lodestone.llm import decontaminate, line_dedup, oracles, packing, quality_rules, simhash, substring_dedup, suffix_dedup, tokens
 from lodestone.runtime import shared_dir, table
 
 
@@ -16,6 +16,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -52,6 +56,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_line_dedup": op2_line_dedup,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op6_substring_dedup": op6_substring_dedup,
