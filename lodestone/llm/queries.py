@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import decontaminate, line_dedup, oracles, packing, quality_rules, simhash, substring_dedup, suffix_dedup, tokens
+from lodestone.llm import decontaminate, language_id, line_dedup, oracles, packing, quality_classifier, quality_rules, simhash, substring_dedup, suffix_dedup, tokens
 from lodestone.runtime import shared_dir, table
 
 
@@ -33,6 +33,18 @@ def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.find(table(spark, sf_dir, "documents"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    learned = language_id.fit(docs.select("doc_id", "text", "lang").filter(~language_id.held_out(F.col("doc_id"))))
+    found = language_id.predict(docs, learned)
+    return found.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "margin", "accepted")
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    return quality_classifier.classify(docs, table(spark, sf_dir, "labels"), F.col("source"), F.col("lang"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.find(table(spark, sf_dir, "documents"))
 
@@ -59,6 +71,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": op2_line_dedup,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
+    "op5_language_id": op5_language_id,
+    "op7_quality_classifier": op7_quality_classifier,
     "op6_substring_dedup": op6_substring_dedup,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_token_output": op9_token_output,
