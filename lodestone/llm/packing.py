@@ -182,8 +182,8 @@ def _cut(path: str, capacity: int, end_id: int | None):
         seen = np.zeros(capacity + 1, dtype=np.int64)
         for b in batches:
             cols: tuple[list, ...] = tuple([] for _ in range(7))
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
-                data = enc.encode(text.as_py()) + tail
+            for doc, data in zip(b.column(0).to_pylist(), enc.each(b.column(1))):
+                data += tail
                 n = len(data) // 4
                 for piece, start in enumerate(range(0, n, capacity)):
                     length = min(capacity, n - start)

@@ -1,8 +1,9 @@
 """Token ids of whole texts, and a directly addressable file format for them.
 
-encode() gives exactly the ids of tokenizers' own encode(): white space never belongs to a token of
-the vocabularies used here and never joins with its neighbours, so a text's ids are those of its
-white-space separated words in order. Words repeat, so a bounded cache of words saves most work.
+Encoder gives exactly the ids of tokenizers' own encode(): the vocabulary used here drops white space
+and cuts text into units (runs of letters, single digits, runs of other marks) that it encodes one by
+one. Units repeat, so a bounded cache of them saves most work. Texts beyond Latin-1 are cached by
+white-space separated words, and texts with special characters are encoded whole.
 
 The format is a directly addressable code. Ids are cut into 8-bit chunks, lowest first. Level l
 holds chunk l of the ids that have one, a bitmap saying which of them go on to level l + 1, and a
@@ -28,12 +29,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 SEGMENT_TOKENS = 1 << 18
-CACHE_WORDS = 600_000
-LONGEST_CACHED = 64
+CACHE_WORDS = 250_000
 PIECE_CHARS = 1 << 20
-_ODD = re.compile("[\x1c-\x1f]")  # Python splits at these, the tokenizer does not
-# Letters whose lower case and normal form are the same one by one, then marks that never join a word
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]{1,48})([.,;:!?]{0,8})")
+GROUP_CHARS = 1 << 19
+# Python splits at the first four, the tokenizer does not; the last starts a special token
+_ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
+# The tokenizer's own units, for lower-case text within Latin-1, which has no other forms of a letter
+_UNIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\t-\r \x85\xa0a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe]+")
 _SPACE = re.compile(r"[ \n\r\t]")
 
 
@@ -68,70 +70,91 @@ class Encoder:
     def _plain(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _runs(self, runs: list[str]) -> None:
-        """Cache words of letters only: each is one unit to the tokenizer, and its last token says so."""
-        got = self.tokenizer.encode_batch_fast([" ".join(runs)], add_special_tokens=False)[0].ids
+    def _units(self, units: list[str]) -> None:
+        """Cache texts that are one unit to the tokenizer each: the last token of a unit says so."""
+        got = self.tokenizer.encode_batch_fast([" ".join(units)], add_special_tokens=False)[0].ids
         ids = np.asarray(got, dtype="<u4")
         ends = np.flatnonzero(self.ends[ids]) + 1
-        if len(ends) == len(runs):
+        if len(ends) == len(units):
             data, at = ids.tobytes(), 0
-            for w, end in zip(runs, (4 * ends).tolist()):
+            for w, end in zip(units, (4 * ends).tolist()):
                 self.cache[w] = data[at:end]
                 at = end
         else:
-            self._each(runs, self.cache)
+            self._words(units)
 
-    def _each(self, words: list[str], into: dict[str, bytes]) -> None:
+    def _words(self, words: list[str]) -> None:
         for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
-            into[w] = np.asarray(e.ids, dtype="<u4").tobytes()
-
-    def _learn(self, missing: list[str]) -> dict[str, bytes]:
-        """Cache these words; what is too long for the cache is returned."""
-        cache = self.cache
-        parts = [(w, m) for w in missing if (m := _PLAIN.fullmatch(w))]
-        runs = {m[1].lower() for _, m in parts}
-        if new := [r for r in runs if r not in cache]:
-            self._runs(new)
-        tails = {m[2] for _, m in parts}
-        if new := [t for t in tails if t not in cache and t]:
-            self._each(new, cache)
-        for w, m in parts:
-            cache[w] = cache[m[1].lower()] + cache[m[2]] if m[2] else cache[m[1].lower()]
-        rest = [w for w in missing if w not in cache]
-        long: dict[str, bytes] = {}
-        if short := [w for w in rest if len(w) <= LONGEST_CACHED]:
-            self._each(short, cache)
-        if over := [w for w in rest if len(w) > LONGEST_CACHED]:
-            self._each(over, long)
-        return long
-
-    def _piece(self, text: str) -> bytes:
-        if _ODD.search(text):
-            return self._plain(text)
-        words = text.split()
-        missing = [w for w in set(words) if w not in self.cache]
-        if not missing:
-            return b"".join(map(self.cache.__getitem__, words))
-        if len(self.cache) + len(missing) > CACHE_WORDS:
-            self.cache.clear()
-            missing = list(set(words))
-        long = self._learn(missing)
-        if long:
-            return b"".join([self.cache[w] if w in self.cache else long[w] for w in words])
-        return b"".join(map(self.cache.__getitem__, words))
+            self.cache[w] = np.asarray(e.ids, dtype="<u4").tobytes()
+
+    def _split(self, text: str) -> tuple[list[str] | None, bool]:
+        """Parts whose ids follow each other, and whether each is one unit; None: not to be split."""
+        if any(c in text for c in _ODD):
+            return None, False
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text.split(), False
+        return _UNIT.findall(text.lower()), True
+
+    def _pieces(self, texts: list[str]) -> list[bytes]:
+        """Ids of several texts; what is new in them is learned in one call."""
+        out: list[bytes] = [b""] * len(texts)
+        split = [self._split(t) for t in texts]
+        for units in (True, False):
+            mine = [(k, parts) for k, (parts, one) in enumerate(split) if parts is not None and one == units]
+            missing = set().union(*(parts for _, parts in mine)) - self.cache.keys()
+            if missing:
+                if len(self.cache) + len(missing) > CACHE_WORDS:
+                    self.cache.clear()
+                    missing = set().union(*(parts for _, parts in mine))
+                (self._units if units else self._words)(list(missing))
+            for k, parts in mine:
+                out[k] = b"".join(map(self.cache.__getitem__, parts))
+        for k, (parts, _) in enumerate(split):
+            if parts is None:
+                out[k] = self._plain(texts[k])
+        return out
+
+    def encode_many(self, texts: list[str | None]) -> list[bytes]:
+        out: list[bytes] = []
+        group: list[str] = []
+        size = 0
+
+        def flush() -> None:
+            nonlocal size
+            out.extend(self._pieces(group))
+            group.clear()
+            size = 0
+
+        for text in texts:
+            if text and len(text) > PIECE_CHARS:
+                flush()
+                out.append(self._long(text))
+                continue
+            group.append(text or "")
+            size += len(group[-1])
+            if size > GROUP_CHARS:
+                flush()
+        flush()
+        return out
+
+    def each(self, column) -> Iterator[bytes]:
+        """Ids of an Arrow column of texts, some rows at a time."""
+        for at in range(0, len(column), 256):
+            yield from self.encode_many(column.slice(at, 256).to_pylist())
 
     def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if len(text) <= PIECE_CHARS:
-            return self._piece(text)
-        out, at = [], 0
+        return self.encode_many([text])[0]
+
+    def _long(self, text: str) -> bytes:
+        parts, at = [], 0
         while at < len(text):
             cut = _SPACE.search(text, at + PIECE_CHARS)
             end = cut.end() if cut else len(text)
-            out.append(self._piece(text[at:end]))
+            parts += self._pieces([text[at:end]])
             at = end
-        return b"".join(out)
+        return b"".join(parts)
 
 
 MAGIC = b"LDAC"
@@ -238,8 +261,8 @@ def _writer(path: str, end_id: int):
             return pa.RecordBatch.from_arrays([pa.array(v, type=f.type) for v, f in zip(row, schema)], schema=schema)
 
         for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
-                data = enc.encode(text.as_py()) + tail
+            for doc, data in zip(b.column(0).to_pylist(), enc.each(b.column(1))):
+                data += tail
                 if docs and size + len(data) // 4 > SEGMENT_TOKENS:
                     yield flush()
                 docs.append(doc)
