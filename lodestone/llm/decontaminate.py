@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.quality_rules import let
+from lodestone.llm.rows import unwrap, wrap
 
 SPLIT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -203,10 +204,10 @@ def _extend(rows: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, items: DataFrame, share: int = 20) -> DataFrame:
     """The documents (all their columns) without the contaminated ones."""
-    bad = scan(docs, items).filter(contaminated(share)).select("doc_id", "text_hash").distinct()
-    keyed = docs.withColumn("_text_hash", F.xxhash64("text"))
-    same = keyed["doc_id"].eqNullSafe(bad["doc_id"]) & (keyed["_text_hash"] == bad["text_hash"])
-    return keyed.join(bad, same, "left_anti").drop("_text_hash")
+    bad = scan(docs, items).filter(contaminated(share)).select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash")).distinct()
+    rows = wrap(docs, id=F.col("doc_id"), hash=F.xxhash64("text"))
+    same = F.col("id").eqNullSafe(F.col("bad_id")) & (F.col("hash") == F.col("bad_hash"))
+    return unwrap(rows.join(bad, same, "left_anti"))
 
 
 def contaminated(share: int = 20) -> Column:

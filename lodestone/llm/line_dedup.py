@@ -30,7 +30,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from lodestone.llm.rows import ROW, unwrap, wrap
 from lodestone.runtime import discard, release, written
 
 THRESHOLD, MIN_LENGTH, CHUNK = 2, 20, 512
@@ -221,17 +223,14 @@ def _verify(threshold: int):
     return run
 
 
-def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return docs.withColumns({"__k1": F.xxhash64(doc_id, text), "__k2": F.xxhash64(text, F.lit(_SEED))})
-
-
 def find(docs: DataFrame, threshold: int = THRESHOLD, min_length: int = MIN_LENGTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(k1, k2, line, near) of every line to remove; near is false if an equal line stands earlier."""
     if min_length <= threshold:
         raise ValueError("lines must be longer than the threshold")
     spark = docs.sparkSession
-    base = _keyed(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), "doc_id", "text")
-    lines = written(base.select("__k1", "__k2", "doc_id", "text").mapInArrow(_occurrences, LINES), "lines")
+    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    keys = F.xxhash64("doc_id", "text"), F.xxhash64("text", F.lit(_SEED))
+    lines = written(base.select(*keys, "doc_id", "text").mapInArrow(_occurrences, LINES), "lines")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2", "line")
     firsts = written(lines.groupBy("h1", "h2").agg(F.min(order).alias("first")), "firsts")
     release(spark)
@@ -260,37 +259,34 @@ def find(docs: DataFrame, threshold: int = THRESHOLD, min_length: int = MIN_LENG
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out = []
-        for text, lines in zip(b.column(0), b.column(1).to_pylist()):
+        for text, lines in zip(b.column(1), b.column(2).to_pylist()):
             gone, t = set(lines or ()), text.as_py()
             kept = t if t is None else "\n".join([x for i, x in enumerate(t.split("\n")) if i not in gone])
             worded = len(_lines(t))
             out.append((kept, worded, worded - len(gone)))
         arrays = [pa.array([r[0] for r in out], type=pa.string()), *(pa.array([r[k] for r in out], type=pa.int64()) for k in (1, 2))]
-        yield pa.RecordBatch.from_arrays([*b.columns[2:], *arrays], names=[*b.schema.names[2:], "__kept", "__n_lines", "__n_kept"])
+        yield pa.RecordBatch.from_arrays([b.column(0), *arrays], names=[ROW, "kept", "n_lines", "n_kept"])
 
 
 def apply(docs: DataFrame, lost: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents, all columns, with __kept (the text left), __n_lines and __n_kept (lines with a word)."""
-    lists = lost.groupBy("k1", "k2").agg(F.collect_set("line").alias("__gone")).withColumnsRenamed({"k1": "__k1", "k2": "__k2"})
-    # the id is cast for the key as find() does
-    keyed = docs.withColumns({"__k1": F.xxhash64(F.col(doc_id).cast("long"), F.col(text)), "__k2": F.xxhash64(text, F.lit(_SEED))})
-    joined = keyed.join(lists.hint("shuffle_hash"), ["__k1", "__k2"], "left")
-    rows = joined.select(F.col(text).alias("__text"), "__gone", *docs.columns)
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
-    return rows.mapInArrow(_cut, ", ".join([*fields, "__kept string, __n_lines long, __n_kept long"]))
+    """Each document as one struct, with kept (the text left), n_lines and n_kept (lines with a word)."""
+    lists = lost.groupBy("k1", "k2").agg(F.collect_set("line").alias("gone"))
+    rows = wrap(docs, text=F.col(text), k1=F.xxhash64(F.col(doc_id).cast("long"), F.col(text)), k2=F.xxhash64(text, F.lit(_SEED)))
+    rows = rows.join(lists.hint("shuffle_hash"), ["k1", "k2"], "left").select(ROW, "text", "gone")
+    added = [T.StructField("kept", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_kept", T.LongType())]
+    return rows.mapInArrow(_cut, T.StructType([rows.schema[ROW], *added]))
 
 
-def deduplicate(docs: DataFrame, threshold: int = THRESHOLD, min_length: int = MIN_LENGTH) -> DataFrame:
+def deduplicate(docs: DataFrame, threshold: int = THRESHOLD, min_length: int = MIN_LENGTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents, all columns, without their removed lines; those that lose all worded lines go."""
-    cut = apply(docs, find(docs, threshold, min_length))
-    left = cut.filter((F.col("__n_kept") > 0) | (F.col("__n_lines") == 0))
-    return left.select(*(F.col("__kept").alias("text") if c == "text" else F.col(c) for c in docs.columns))
+    cut = apply(docs, find(docs, threshold, min_length, doc_id, text), doc_id, text)
+    return unwrap(cut.filter((F.col("n_kept") > 0) | (F.col("n_lines") == 0)), **{text: F.col("kept")})
 
 
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines (with a word), n_removed, kept_sha256 (of the text left; null: empty)."""
     cut = apply(docs.select("doc_id", "text"), find(docs))
     return cut.select(
-        "doc_id", F.col("__n_lines").alias("n_lines"), (F.col("__n_lines") - F.col("__n_kept")).alias("n_removed"),
-        F.sha2(F.coalesce("__kept", F.lit("")).cast("binary"), 256).alias("kept_sha256"),
+        F.col(f"{ROW}.doc_id").alias("doc_id"), "n_lines", (F.col("n_lines") - F.col("n_kept")).alias("n_removed"),
+        F.sha2(F.coalesce("kept", F.lit("")).cast("binary"), 256).alias("kept_sha256"),
     )

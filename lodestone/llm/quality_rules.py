@@ -5,7 +5,7 @@ projection takes from the text itself; no user function runs, nothing is shuffle
 is judged from its own row alone, so the plan is one scan however large the table is.
 
 Defined results: null text counts as empty and fails the base rule; repeated rows are judged
-alike; extra columns pass through untouched except for the names this module adds.
+alike; keep() passes all columns through; judge() adds its columns to those it is given.
 Word and line equality is judged on 64-bit hashes inside one document.
 """
 
@@ -16,6 +16,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.rows import ROW, unwrap, wrap
+
 SEP = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[^#*$%&|<>]+"
 
@@ -130,3 +132,9 @@ def judge(df: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
             ok = ok & (r[name] <= F.lit(high))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return counts(df, text).withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & ok)
+
+
+def keep(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
+    """The documents, all columns, that the rules keep."""
+    judged = judge(wrap(docs, text=F.col(text)), rules=rules)
+    return unwrap(judged.filter("kept").select(ROW))

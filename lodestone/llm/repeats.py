@@ -33,6 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.rows import unwrap, wrap
 from lodestone.runtime import discard, release, written
 
 POS_BITS = 24
@@ -342,6 +343,5 @@ def remove(docs: DataFrame, unit: str, span: int, key: int, levels: tuple[int, .
     """The documents, all columns, with repeated spans cut out of their text; what has none is unchanged."""
     _, cut = find(docs, unit, span, key, levels, doc_id, text)
     lost = cut.select("k1", "k2", "kept").dropDuplicates(["k1", "k2"])
-    keyed = docs.withColumns({"_k1": F.xxhash64(doc_id, text), "_k2": F.xxhash64(text, F.lit(span))})
-    joined = keyed.join(lost, (keyed["_k1"] == lost["k1"]) & (keyed["_k2"] == lost["k2"]), "left")
-    return joined.withColumn(text, F.coalesce(F.col("kept"), F.col(text))).select(*docs.columns)
+    rows = wrap(docs, k1=F.xxhash64(doc_id, text), k2=F.xxhash64(text, F.lit(span)), text=F.col(text)).join(lost, ["k1", "k2"], "left")
+    return unwrap(rows, **{text: F.coalesce("kept", "text")})

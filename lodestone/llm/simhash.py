@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.graph import components
+from lodestone.llm.rows import unwrap, wrap
 from lodestone.runtime import release, written
 
 WIDTH, SEED, RADIUS, CHUNK = 3, 42, 3, 1024
@@ -201,6 +202,6 @@ def deduplicate(docs: DataFrame, radius: int = RADIUS, doc_id: str = "doc_id", t
     """The documents, all columns, one of each component: the smallest id (null last), of its rows one."""
     found = cluster(docs, radius, doc_id, text)
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "k1", "k2")).alias("f"))
-    first = first.select(F.col("f.k1").alias("__k1"), F.col("f.k2").alias("__k2"))
-    keyed = docs.withColumns({"__k1": F.xxhash64(doc_id, text), "__k2": F.xxhash64(text, F.lit(SEED))})
-    return keyed.join(first, ["__k1", "__k2"], "left_semi").dropDuplicates(["__k1", "__k2"]).select(*docs.columns)
+    first = first.select("f.k1", "f.k2")
+    rows = wrap(docs, k1=F.xxhash64(doc_id, text), k2=F.xxhash64(text, F.lit(SEED)))
+    return unwrap(rows.join(first, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]))

@@ -29,13 +29,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 SEGMENT_TOKENS = 1 << 18
-CACHE_WORDS = 250_000
+CACHE_WORDS = 200_000
 PIECE_CHARS = 1 << 20
-GROUP_CHARS = 1 << 19
+GROUP_CHARS = 1 << 20
 # Python splits at the first four, the tokenizer does not; the last starts a special token
 _ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
 # The tokenizer's own units, for lower-case text within Latin-1, which has no other forms of a letter
-_UNIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\t-\r \x85\xa0a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe]+")
+_UNIT = re.compile("[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|'s|'t|'re|'ve|'m|'ll|'d|[^\t-\r \x85\xa0a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe]+")
 _SPACE = re.compile(r"[ \n\r\t]")
 
 
@@ -56,6 +56,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.cache: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}  # the cache before this one: what is still in use moves over
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -97,24 +98,34 @@ class Encoder:
             return text.split(), False
         return _UNIT.findall(text.lower()), True
 
+    def _learn(self, new: set[str], units: bool) -> None:
+        if len(self.cache) + len(new) > CACHE_WORDS:
+            self.old, self.cache = self.cache, {}
+        known = new & self.old.keys()
+        self.cache.update([(u, self.old[u]) for u in known])
+        if new := new - known:
+            (self._units if units else self._words)(list(new))
+
     def _pieces(self, texts: list[str]) -> list[bytes]:
         """Ids of several texts; what is new in them is learned in one call."""
-        out: list[bytes] = [b""] * len(texts)
         split = [self._split(t) for t in texts]
+        get = self.cache.get
+        got = [[None] if parts is None else list(map(get, parts)) for parts, _ in split]
+        out: list[bytes | None] = [None] * len(texts)
+        late = []
+        for k, ids in enumerate(got):
+            try:
+                out[k] = b"".join(ids)
+            except TypeError:  # a None among them: a part that is not known yet
+                late.append(k)
         for units in (True, False):
-            mine = [(k, parts) for k, (parts, one) in enumerate(split) if parts is not None and one == units]
-            missing = set().union(*(parts for _, parts in mine)) - self.cache.keys()
-            if missing:
-                if len(self.cache) + len(missing) > CACHE_WORDS:
-                    self.cache.clear()
-                    missing = set().union(*(parts for _, parts in mine))
-                (self._units if units else self._words)(list(missing))
-            for k, parts in mine:
-                out[k] = b"".join(map(self.cache.__getitem__, parts))
-        for k, (parts, _) in enumerate(split):
-            if parts is None:
-                out[k] = self._plain(texts[k])
-        return out
+            mine = [k for k in late if split[k][0] is not None and split[k][1] == units]
+            if mine:
+                self._learn({u for k in mine for u, x in zip(split[k][0], got[k]) if x is None}, units)
+                cache = self.cache
+                for k in mine:
+                    out[k] = b"".join([cache[u] if x is None else x for u, x in zip(split[k][0], got[k])])
+        return [self._plain(t) if x is None else x for t, x in zip(texts, out)]
 
     def encode_many(self, texts: list[str | None]) -> list[bytes]:
         out: list[bytes] = []
