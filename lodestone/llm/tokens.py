@@ -2,7 +2,8 @@
 
 Encoder gives exactly the ids of tokenizers' own encode(): the vocabulary used here drops white space
 and cuts text into units (runs of letters, single digits, runs of other marks) that it encodes one by
-one. Units repeat, so a bounded cache of them saves most work. Texts beyond Latin-1 are cached by
+one. Units are found and looked up as arrays, many texts at a time, in a bounded table keyed by 128
+bits of hash; only units that the table lacks are encoded, in one call. Texts beyond Latin-1 go by
 white-space separated words, and texts with special characters are encoded whole.
 
 The format is a directly addressable code. Ids are cut into 8-bit chunks, lowest first. Level l
@@ -29,13 +30,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 SEGMENT_TOKENS = 1 << 18
-CACHE_WORDS = 200_000
+TABLE_BITS = 21
+CACHE_WORDS = 100_000
 PIECE_CHARS = 1 << 20
 GROUP_CHARS = 1 << 20
 # Python splits at the first four, the tokenizer does not; the last starts a special token
 _ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
-# The tokenizer's own units, for lower-case text within Latin-1, which has no other forms of a letter
-_UNIT = re.compile("[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|'s|'t|'re|'ve|'m|'ll|'d|[^\t-\r \x85\xa0a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe]+")
 _SPACE = re.compile(r"[ \n\r\t]")
 
 
@@ -45,8 +45,114 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class UnitTable:
+    """Ids of units by two 64-bit hashes, in arrays with open addressing; emptied when half full."""
+
+    def __init__(self, bits: int = TABLE_BITS):
+        self.size = 1 << bits
+        self._clear()
+
+    def _clear(self) -> None:
+        self.keys = np.zeros((2, self.size), np.uint64)
+        self.first = np.zeros(self.size, np.int64)
+        self.count = np.zeros(self.size, np.int32)
+        self.ids = np.zeros(1 << 16, "<u4")
+        self.used = self.filled = 0
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Slots of keys (two rows); -1 for what is not there."""
+        out = np.full(keys.shape[1], -1, np.int64)
+        at = (keys[0] & np.uint64(self.size - 1)).astype(np.int64)
+        todo = np.arange(keys.shape[1])
+        while len(todo):
+            here = self.keys[0][at]
+            same = (here == keys[0][todo]) & (self.keys[1][at] == keys[1][todo])
+            out[todo[same]] = at[same]
+            on = ~same & (here != 0)
+            todo, at = todo[on], (at[on] + 1) & (self.size - 1)
+        return out
+
+    def add(self, keys: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
+        """New keys, each once, with their ids one after the other."""
+        if 2 * (self.used + keys.shape[1]) > self.size:
+            raise OverflowError
+        if self.filled + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.filled], np.zeros(max(len(ids), len(self.ids)), "<u4")])
+        self.ids[self.filled : self.filled + len(ids)] = ids
+        first = self.filled + np.cumsum(counts) - counts
+        self.filled += len(ids)
+        self.used += keys.shape[1]
+        at = (keys[0] & np.uint64(self.size - 1)).astype(np.int64)
+        todo = np.arange(keys.shape[1])
+        while len(todo):
+            free = np.flatnonzero(self.keys[0][at] == 0)
+            slot, which = np.unique(at[free], return_index=True)
+            own = todo[free[which]]
+            self.keys[:, slot] = keys[:, own]
+            self.first[slot], self.count[slot] = first[own], counts[own]
+            placed = np.zeros(len(todo), bool)
+            placed[free[which]] = True
+            todo, at = todo[~placed], (at[~placed] + 1) & (self.size - 1)
+
+    def room(self, n: int) -> bool:
+        """Whether n more fit; if not, the table is empty afterwards."""
+        if 2 * (self.used + n) <= self.size:
+            return True
+        self._clear()
+        return False
+
+
+def _classes() -> np.ndarray:
+    """0 space, 1 letter, 2 digit, 3 other, for the characters of Latin-1 in lower case."""
+    out = np.full(256, 3, np.uint8)
+    out[[9, 10, 11, 12, 13, 32, 0x85, 0xA0]] = 0
+    out[[*range(97, 123), 0xAA, 0xB5, 0xBA, *range(0xDF, 0xF7), *range(0xF8, 0x100)]] = 1
+    out[[*range(48, 58), 0xB2, 0xB3, 0xB9, 0xBC, 0xBD, 0xBE]] = 2
+    return out
+
+
+_CLASS = _classes()
+_RNG = np.random.default_rng(7)
+_CODES = _RNG.integers(1, 1 << 63, (2, 256), dtype=np.uint64)
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _powers(k: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of base k and of its inverse, modulo 2 ** 64."""
+    if k not in _POWERS or len(_POWERS[k][0]) < n:
+        pair = []
+        for base in (_BASES[k], pow(_BASES[k], -1, 1 << 64)):
+            p = np.full(max(n, 1 << 16), base, np.uint64)
+            p[0] = 1
+            pair.append(np.multiply.accumulate(p))
+        _POWERS[k] = tuple(pair)
+    return _POWERS[k]
+
+
+def units(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the tokenizer's units in lower-case Latin-1 text: runs of letters, single
+    digits, runs of other marks, and the endings 's 't 're 've 'm 'll 'd where the mark starts its run."""
+    kind = _CLASS[data]
+    before = np.concatenate([[np.uint8(0)], kind[:-1]])
+    start = (kind != 0) & ((kind != before) | (kind == 2))
+    marks = np.flatnonzero((data == 39) & start)
+    if len(marks):
+        padded = np.concatenate([data, np.zeros(3, np.uint8)])
+        a, b = padded[marks + 1], padded[marks + 2]
+        two = np.isin(a, np.frombuffer(b"stmd", np.uint8))
+        three = ((a == 114) & (b == 101)) | ((a == 118) & (b == 101)) | ((a == 108) & (b == 108))
+        start[marks[two | three] + 1] = False
+        for ends in (marks[two] + 2, marks[three] + 3):
+            ends = ends[ends < len(data)]
+            start[ends[kind[ends] == 1]] = True
+    starts = np.flatnonzero(start)
+    after = np.concatenate([kind[1:] == 0, [True]]) | np.concatenate([start[1:], [True]])
+    return starts, np.flatnonzero(after & (kind != 0)) + 1
+
+
 class Encoder:
-    """Word-cached ids as little-endian unsigned 32-bit bytes."""
+    """Ids as little-endian unsigned 32-bit bytes."""
 
     _made: dict[str, "Encoder"] = {}
 
@@ -55,8 +161,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}  # the cache before this one: what is still in use moves over
+        self.table = UnitTable()
+        self.words: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -71,61 +177,78 @@ class Encoder:
     def _plain(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _units(self, units: list[str]) -> None:
-        """Cache texts that are one unit to the tokenizer each: the last token of a unit says so."""
-        got = self.tokenizer.encode_batch_fast([" ".join(units)], add_special_tokens=False)[0].ids
+    def _of_units(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts that are one unit each, one after the other, and how many each has."""
+        got = self.tokenizer.encode_batch_fast([" ".join(parts)], add_special_tokens=False)[0].ids
         ids = np.asarray(got, dtype="<u4")
-        ends = np.flatnonzero(self.ends[ids]) + 1
-        if len(ends) == len(units):
-            data, at = ids.tobytes(), 0
-            for w, end in zip(units, (4 * ends).tolist()):
-                self.cache[w] = data[at:end]
-                at = end
-        else:
-            self._words(units)
-
-    def _words(self, words: list[str]) -> None:
-        for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
-            self.cache[w] = np.asarray(e.ids, dtype="<u4").tobytes()
-
-    def _split(self, text: str) -> tuple[list[str] | None, bool]:
-        """Parts whose ids follow each other, and whether each is one unit; None: not to be split."""
-        if any(c in text for c in _ODD):
-            return None, False
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
-            return text.split(), False
-        return _UNIT.findall(text.lower()), True
-
-    def _learn(self, new: set[str], units: bool) -> None:
-        if len(self.cache) + len(new) > CACHE_WORDS:
-            self.old, self.cache = self.cache, {}
-        known = new & self.old.keys()
-        self.cache.update([(u, self.old[u]) for u in known])
-        if new := new - known:
-            (self._units if units else self._words)(list(new))
+        ends = np.flatnonzero(self.ends[ids]) + 1  # the last token of a unit says so
+        if len(ends) != len(parts):
+            each = [np.asarray(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+            return np.concatenate(each), np.array([len(x) for x in each], np.int32)
+        return ids, np.diff(ends, prepend=0).astype(np.int32)
+
+    def _latin(self, texts: list[bytes]) -> list[bytes]:
+        """Lower-case Latin-1 texts."""
+        joined = b"\n".join(texts)
+        data = np.frombuffer(joined, np.uint8)
+        starts, ends = units(data)
+        if not len(starts):
+            return [b""] * len(texts)
+        with np.errstate(over="ignore"):
+            keys = np.empty((2, len(starts)), np.uint64)
+            for k in (0, 1):
+                power, back = _powers(k, len(data) + 1)
+                sums = np.empty(len(data) + 1, np.uint64)
+                sums[0] = 0
+                np.cumsum(_CODES[k][data] * power[: len(data)], out=sums[1:])
+                h = (sums[ends] - sums[starts]) * back[starts]
+                h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+                keys[k] = (h ^ (h >> np.uint64(32))) | np.uint64(1)
+        slots = self.table.find(keys)
+        new = np.flatnonzero(slots < 0)
+        if len(new):
+            once = new[np.unique(keys[0][new], return_index=True)[1]]
+            if not self.table.room(len(once)):
+                once = np.unique(keys[0], return_index=True)[1]
+                new = np.arange(len(starts))
+            parts = [joined[a:b].decode("latin-1") for a, b in zip(starts[once].tolist(), ends[once].tolist())]
+            self.table.add(keys[:, once], *self._of_units(parts))
+            slots[new] = self.table.find(keys[:, new])
+        counts = self.table.count[slots]
+        upto = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+        source = np.repeat(self.table.first[slots] - upto[:-1], counts) + np.arange(upto[-1])
+        ids = self.table.ids[source].tobytes()
+        borders = np.cumsum([0] + [len(t) + 1 for t in texts])
+        at = (4 * upto[np.searchsorted(starts, borders)]).tolist()
+        return [ids[a:b] for a, b in zip(at, at[1:])]
+
+    def _wide(self, text: str) -> bytes:
+        """Text beyond Latin-1, by its white-space separated words."""
+        words = text.split()
+        new = [w for w in set(words) if w not in self.words]
+        if len(self.words) + len(new) > CACHE_WORDS:
+            self.words.clear()
+            new = list(set(words))
+        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+            self.words[w] = np.asarray(e.ids, dtype="<u4").tobytes()
+        return b"".join(map(self.words.__getitem__, words))
 
     def _pieces(self, texts: list[str]) -> list[bytes]:
-        """Ids of several texts; what is new in them is learned in one call."""
-        split = [self._split(t) for t in texts]
-        get = self.cache.get
-        got = [[None] if parts is None else list(map(get, parts)) for parts, _ in split]
-        out: list[bytes | None] = [None] * len(texts)
-        late = []
-        for k, ids in enumerate(got):
+        """Ids of several texts; what is new in them is encoded in one call."""
+        out: list[bytes] = [b""] * len(texts)
+        latin: list[tuple[int, bytes]] = []
+        for k, t in enumerate(texts):
+            if any(c in t for c in _ODD):
+                out[k] = self._plain(t)
+                continue
             try:
-                out[k] = b"".join(ids)
-            except TypeError:  # a None among them: a part that is not known yet
-                late.append(k)
-        for units in (True, False):
-            mine = [k for k in late if split[k][0] is not None and split[k][1] == units]
-            if mine:
-                self._learn({u for k in mine for u, x in zip(split[k][0], got[k]) if x is None}, units)
-                cache = self.cache
-                for k in mine:
-                    out[k] = b"".join([cache[u] if x is None else x for u, x in zip(split[k][0], got[k])])
-        return [self._plain(t) if x is None else x for t, x in zip(texts, out)]
+                latin.append((k, t.lower().encode("latin-1")))
+            except UnicodeEncodeError:
+                out[k] = self._wide(t)
+        if latin:
+            for (k, _), ids in zip(latin, self._latin([t for _, t in latin])):
+                out[k] = ids
+        return out
 
     def encode_many(self, texts: list[str | None]) -> list[bytes]:
         out: list[bytes] = []
