@@ -83,6 +83,7 @@ def vectored(spark: SparkSession, sf: str) -> tuple[I.Index, DataFrame]:
 
 
 def r6(c: str | Column) -> Column:
+    # only for numbers not rounded yet: two roundings in a row differ between engines at ties
     return F.round(F.col(c) if isinstance(c, str) else c, 6)
 
 
@@ -240,24 +241,24 @@ def bm25_index_stats(spark, sf):
 _KEY = "qid, collection, path, cast(chunk_index as bigint) as chunk_index"
 
 
-@register(f"with {S.SCORED} select {_KEY}, round(score, 6) as score from sc")
+@register(f"with {S.SCORED} select {_KEY}, score as score from sc")
 def bm25_score(spark, sf):
-    return longs(B.chunk_scores(index(spark, sf), asked(spark, sf)).withColumn("score", r6("score")))
+    return longs(B.chunk_scores(index(spark, sf), asked(spark, sf)))
 
 
-@register(f"with {S.SCORED}{S.keyword(10)} select {_KEY}, round(score, 6) as score, pool_rank from pool")
+@register(f"with {S.SCORED}{S.keyword(10)} select {_KEY}, score as score, pool_rank from pool")
 def bm25_pool(spark, sf):
-    return longs(B.pool(B.chunk_scores(index(spark, sf), asked(spark, sf)), B.pool_size(10)).withColumn("score", r6("score")))
+    return longs(B.pool(B.chunk_scores(index(spark, sf), asked(spark, sf)), B.pool_size(10)))
 
 
 _MASK = Filters(("src1", "src2"), (".md", ".py"), datetime.fromtimestamp(1704067200 + 100 * 3600, timezone.utc))
 _WHERE = "(starts_with(path, 'src1') or starts_with(path, 'src2')) and extension in ('.md', '.py') and mtime >= 1704427200"
 
 
-@register(f"with {S.SCORED}{S.keyword(10, '', _WHERE, True)} select {_KEY}, round(score, 6) as score, pool_rank from pool")
+@register(f"with {S.SCORED}{S.keyword(10, '', _WHERE, True)} select {_KEY}, score as score, pool_rank from pool")
 def filter_mask(spark, sf):
     made = index(spark, sf)
-    return longs(B.pool(B.mask(made, B.chunk_scores(made, asked(spark, sf)), _MASK), B.pool_size(10)).withColumn("score", r6("score")))
+    return longs(B.pool(B.mask(made, B.chunk_scores(made, asked(spark, sf)), _MASK), B.pool_size(10)))
 
 
 def _anchored(spark, sf, n=10) -> DataFrame:
@@ -280,15 +281,15 @@ def covers_query(spark, sf):
     return longs(_anchored(spark, sf).select("qid", *I.KEY, "covers_query"))
 
 
-@register(f"with {S.SCORED}{S.keyword(10)} select {_KEY}, round(chunk_score, 6) as chunk_score, round(overlap, 6) as overlap, covers_query, support from dr")
+@register(f"with {S.SCORED}{S.keyword(10)} select {_KEY}, chunk_score as chunk_score, round(overlap, 6) as overlap, covers_query, support from dr")
 def doc_rollup(spark, sf):
     rows = B.rollup(_anchored(spark, sf))
-    return longs(rows.select("qid", *I.KEY, r6("chunk_score").alias("chunk_score"), r6("overlap").alias("overlap"), "covers_query", "support"))
+    return longs(rows.select("qid", *I.KEY, F.col("chunk_score").alias("chunk_score"), r6("overlap").alias("overlap"), "covers_query", "support"))
 
 
-@register(f"with {S.SCORED}{S.keyword(10)} select qid, collection, path, round(score, 6) as file_score from dr")
+@register(f"with {S.SCORED}{S.keyword(10)} select qid, collection, path, score as file_score from dr")
 def file_score(spark, sf):
-    return B.rollup(_anchored(spark, sf)).select("qid", "collection", "path", r6("score").alias("file_score"))
+    return B.rollup(_anchored(spark, sf)).select("qid", "collection", "path", F.col("score").alias("file_score"))
 
 
 @register(f"with {S.KB} select path, lower(list_last(string_split(path, '/'))) in ('index.md', 'log.md', 'changelog.md') as hub, case when status in ('superseded', 'deprecated') then 0.7e0 else 1.0e0 end as factor from docs")
@@ -296,18 +297,18 @@ def hub_and_status(spark, sf):
     return docs(spark, sf).select("path", B.is_hub(F.col("path")).alias("hub"), B.status_factor(F.col("status")).alias("factor"))
 
 
-@register(f"with {S.SCORED}{S.keyword(10)} select qid, collection, path, round(dr.score, 6) as score from dr join st using (collection) where dr.score >= greatest(1.0e0, 0.72e0 * ln(greatest(n, 2))) or overlap >= 0.20e0 or covers_query")
+@register(f"with {S.SCORED}{S.keyword(10)} select qid, collection, path, dr.score as score from dr join st using (collection) where dr.score >= greatest(1.0e0, 0.72e0 * ln(greatest(n, 2))) or overlap >= 0.20e0 or covers_query")
 def weak_abstain(spark, sf):
     made, q = index(spark, sf), asked(spark, sf)
     rows = B.anchored(made, B.pool(B.chunk_scores(made, q), B.pool_size(10)), q)
-    return B.abstain(made, B.rollup(rows)).select("qid", "collection", "path", r6("score").alias("score"))
+    return B.abstain(made, B.rollup(rows)).select("qid", "collection", "path", F.col("score").alias("score"))
 
 
-_KW = f"select {_KEY}, rank, round(score, 6) as score, round(chunk_score, 6) as chunk_score, support, round(overlap, 6) as overlap from kw"
+_KW = f"select {_KEY}, rank, score as score, chunk_score as chunk_score, support, round(overlap, 6) as overlap from kw"
 
 
 def _evidence(rows: DataFrame) -> DataFrame:
-    return longs(rows.select("qid", *I.KEY, "rank", r6("score").alias("score"), r6("chunk_score").alias("chunk_score"), "support", r6("overlap").alias("overlap")))
+    return longs(rows.select("qid", *I.KEY, "rank", F.col("score").alias("score"), F.col("chunk_score").alias("chunk_score"), "support", r6("overlap").alias("overlap")))
 
 
 @register(f"with {S.SCORED}{S.keyword(10)} {_KW}")
@@ -342,30 +343,30 @@ def _vector_table(spark, sf) -> tuple[DataFrame, DataFrame]:
     return e.select(*key, "embedding"), e.filter("vec_id < 10").select(F.col("vec_id").alias("qid"), "embedding")
 
 
-@register(f"with {_NEAREST} select qid, vec_id, round(cosine, 6) as cosine from nn")
+@register(f"with {_NEAREST} select qid, vec_id, cosine as cosine from nn")
 def cosine_exact(spark, sf):
     e = table(spark, sf, "embeddings")
     q = e.filter("vec_id < 10").select(F.col("vec_id").alias("qid"), semantic.normalized(F.col("embedding")).alias("e"))
     # ten query vectors, by definition of the query
     rows = e.select("vec_id", semantic.normalized(F.col("embedding")).alias("v")).crossJoin(F.broadcast(q))
-    return rows.select("qid", "vec_id", r6(F.round(semantic.dot(F.col("e"), F.col("v")), 9)).alias("cosine"))
+    return rows.select("qid", "vec_id", F.round(semantic.dot(F.col("e"), F.col("v")), 9).alias("cosine"))
 
 
-@register(f"with {_NEAREST} select * from (select qid, vec_id, round(cosine, 6) as cosine, row_number() over (partition by qid order by cosine desc, vec_id) as pool_rank from nn) x where pool_rank <= 50")
+@register(f"with {_NEAREST} select * from (select qid, vec_id, cosine as cosine, row_number() over (partition by qid order by cosine desc, vec_id) as pool_rank from nn) x where pool_rank <= 50")
 def semantic_pool(spark, sf):
     rows = semantic.cosine_pool(*_vector_table(spark, sf), 50)
-    return longs(rows.select("qid", F.col("path").cast("long").alias("vec_id"), r6("cosine").alias("cosine"), "pool_rank"))
+    return longs(rows.select("qid", F.col("path").cast("long").alias("vec_id"), F.col("cosine").alias("cosine"), "pool_rank"))
 
 
-@register(f"with {S.SCORED}{S.SEMANTIC}{S.semantic(50)} select {_KEY}, rank, round(cosine, 6) as score, round(boost, 6) as boost, round(sort_score, 6) as sort_score from sm")
+@register(f"with {S.SCORED}{S.SEMANTIC}{S.semantic(50)} select {_KEY}, rank, cosine as score, boost as boost, sort_score as sort_score from sm")
 def lexical_boost(spark, sf):
     rows = semantic.semantic_search(*vectored(spark, sf), 50)
-    return longs(rows.select("qid", *I.KEY, "rank", r6("score").alias("score"), r6("boost").alias("boost"), r6("sort_score").alias("sort_score")))
+    return longs(rows.select("qid", *I.KEY, "rank", F.col("score").alias("score"), F.col("boost").alias("boost"), F.col("sort_score").alias("sort_score")))
 
 
-@register(f"with {S.SCORED}{S.SEMANTIC}{S.semantic(10)} select {_KEY}, rank, round(cosine, 6) as score from sm")
+@register(f"with {S.SCORED}{S.SEMANTIC}{S.semantic(10)} select {_KEY}, rank, cosine as score from sm")
 def semantic_topk(spark, sf):
-    return longs(semantic.semantic_search(*vectored(spark, sf), 10).select("qid", *I.KEY, "rank", r6("score").alias("score")))
+    return longs(semantic.semantic_search(*vectored(spark, sf), 10).select("qid", *I.KEY, "rank", F.col("score").alias("score")))
 
 
 # --- fusion and routing
@@ -373,17 +374,17 @@ def semantic_topk(spark, sf):
 _BASE = f"with {S.SCORED}{S.SEMANTIC}"
 
 
-@register(f"{_BASE}{S.hybrid(10)} select {_KEY}, rank, round(rrf, 9) as rrf from hy")
+@register(f"{_BASE}{S.hybrid(10)} select {_KEY}, rank, rrf from hy")
 def rrf_fuse(spark, sf):
     made, q = vectored(spark, sf)
     rows = fusion.rrf(B.keyword_search(made, q, 20), semantic.semantic_search(made, q, 40), 10)
-    return longs(rows.select("qid", *I.KEY, "rank", F.round("rrf", 9).alias("rrf")))
+    return longs(rows.select("qid", *I.KEY, "rank", "rrf"))
 
 
-@register(f"{_BASE}{S.hybrid(5)} select {_KEY}, rank, round(score, 6) as score, round(rrf, 9) as rrf from hy")
+@register(f"{_BASE}{S.hybrid(5)} select {_KEY}, rank, score as score, rrf from hy")
 def hybrid_search(spark, sf):
     rows = fusion.hybrid_search(*vectored(spark, sf), 5)
-    return longs(rows.select("qid", *I.KEY, "rank", r6("score").alias("score"), F.round("rrf", 9).alias("rrf")))
+    return longs(rows.select("qid", *I.KEY, "rank", F.col("score").alias("score"), "rrf"))
 
 
 @register(f"with {S.SCORED}{S.keyword(5)} select qid, collection, count(*) as hits, round(max(case when rank = 1 then score end) / max(case when rank = 2 then score end), 6) as margin from kw group by all")
@@ -397,10 +398,10 @@ def adaptive_route(spark, sf):
     return fusion.adaptive_search(*vectored(spark, sf), 5)[1]
 
 
-@register(f"{_BASE}{S.ADAPTIVE} select {_KEY}, rank, round(score, 6) as score, round(rrf, 9) as rrf, source from ad")
+@register(f"{_BASE}{S.ADAPTIVE} select {_KEY}, rank, score as score, rrf, source from ad")
 def adaptive_search(spark, sf):
     rows = fusion.adaptive_search(*vectored(spark, sf), 5)[0]
-    return longs(rows.select("qid", *I.KEY, "rank", r6("score").alias("score"), F.round("rrf", 9).alias("rrf"), "source"))
+    return longs(rows.select("qid", *I.KEY, "rank", F.col("score").alias("score"), "rrf", "source"))
 
 
 @register(f"with {S.CHUNKS} select path, cast(chunk_index as bigint) as chunk_index, case when chunk_count > 1 then concat_ws(chr(10) || chr(10), lag(text) over w, lead(text) over w) end as neighbor_content from ch window w as (partition by collection, path order by chunk_index)")

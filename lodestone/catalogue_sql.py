@@ -134,7 +134,7 @@ dr{tag} as (
   select qid, collection, path, pool_rank, chunk_index, chunk_score, support, overlap, covers_query, names_query,
     round(case when names_query then base + chunk_score * 3.0e0
       when lower(list_last(string_split(path, '/'))) in ('index.md', 'log.md', 'changelog.md') then base * 0.4e0 else base end
-      * case when status in ('superseded', 'deprecated') then 0.7e0 else 1.0e0 end, 9) as score
+      * case when status in ('superseded', 'deprecated') then 0.7e0 else 1.0e0 end + 2e-11, 9) as score
   from db{tag}),
 kw{tag} as (select * from (select dr{tag}.*, row_number() over (partition by qid, collection order by score desc, pool_rank) as rank
         from dr{tag} join st using (collection) {keep}) z where rank <= {n})"""
@@ -170,10 +170,10 @@ sp{tag} as (select * from (select co.*, row_number() over (partition by qid, col
 sb{tag} as (
   select qid, collection, path, chunk_index, cosine, pool_rank, status,
     case when len(q) = 0 then 0.0e0 else round(least(0.30e0, coalesce(list_max(list_transform(names, lambda x: {name})), 0.0e0)
-      + case when len(pt) > 0 then 0.04e0 * {share('pt')} else 0.0e0 end + case when len(tt) > 0 then {content} else 0.0e0 end), 9) end as boost
+      + case when len(pt) > 0 then 0.04e0 * {share('pt')} else 0.0e0 end + case when len(tt) > 0 then {content} else 0.0e0 end) + 2e-11, 9) end as boost
   from (select p.*, c.status, qt.q, {names} as names, {rank_terms('path')} as pt, {rank_terms('text')} as tt
         from sp{tag} p join ch c using (collection, path, chunk_index) join qt using (qid)) y),
-ss{tag} as (select *, round((cosine + boost) * case when status in ('superseded', 'deprecated') then 0.7e0 else 1.0e0 end, 9) as sort_score from sb{tag}),
+ss{tag} as (select *, round((cosine + boost) * case when status in ('superseded', 'deprecated') then 0.7e0 else 1.0e0 end + 2e-11, 9) as sort_score from sb{tag}),
 sm{tag} as (select * from (select ss{tag}.*, row_number() over (partition by qid, collection order by sort_score desc, pool_rank) as rank from ss{tag}) z where rank <= {k})"""
 
 

@@ -17,6 +17,9 @@ from lodestone.operators.filters import Filters, clamp
 from lodestone.operators.index import Index, terms
 
 DIGITS = 9
+# Products of rounded scores and short factors often lie halfway between two roundings, where engines differ;
+# moved by this much they never do.
+NUDGE = 2e-11
 # Fixed values of document ranking.
 OVERSAMPLE, LEAST_POOL, MOST_POOL = 25, 200, 500
 SUPPORT_CHUNKS, SUPPORT_GAIN = 3, 0.3
@@ -129,7 +132,7 @@ def rollup(rows: DataFrame) -> DataFrame:
     score = file_score(best, F.col("scores"), F.col("overlap"), F.col("first.names_query"), is_hub(F.col("path")), status_factor(F.col("first.status")))
     return docs.select(
         *keys, F.col("first.pool_rank").alias("pool_rank"), F.col("first.chunk_index").alias("chunk_index"), best.alias("chunk_score"),
-        F.round(score, DIGITS).alias("score"), "support", "overlap", "covers_query", F.col("first.names_query").alias("names_query"),
+        F.round(score + NUDGE, DIGITS).alias("score"), "support", "overlap", "covers_query", F.col("first.names_query").alias("names_query"),
     )
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from lodestone.functions import documents as D
 from lodestone.functions import lexical as X
-from lodestone.operators.bm25 import page_names, status_factor
+from lodestone.operators.bm25 import NUDGE, page_names, status_factor
 from lodestone.operators.filters import Filters, clamp
 from lodestone.operators.index import KEY, Index
 from lodestone.settings import OperationError
@@ -178,7 +178,7 @@ def lexical_boost(q: Column, names: Column, path: Column, content: Column) -> Co
     by_name = F.coalesce(F.array_max(F.transform(names, name)), F.lit(0.0))
     by_content = F.when(F.size(q) == 1, F.least(F.lit(0.02), 0.02 * share(content))).otherwise(F.least(F.lit(0.18), 0.22 * share(content)))
     total = by_name + F.when(F.size(path) > 0, 0.04 * share(path)).otherwise(F.lit(0.0)) + F.when(F.size(content) > 0, by_content).otherwise(F.lit(0.0))
-    return F.when(F.size(q) == 0, F.lit(0.0)).otherwise(F.round(F.least(total, F.lit(0.30)), DIGITS))
+    return F.when(F.size(q) == 0, F.lit(0.0)).otherwise(F.round(F.least(total, F.lit(0.30)) + NUDGE, DIGITS))
 
 
 def semantic_search(index: Index, queries: DataFrame, top_k: int = 10, filters: Filters = Filters()) -> DataFrame:
@@ -197,7 +197,7 @@ def semantic_search(index: Index, queries: DataFrame, top_k: int = 10, filters:
     rows = pooled.join(index.chunks, list(KEY)).join(q, "qid")
     boost = lexical_boost(F.col("q"), page_names(), X.rank_terms(F.col("path")), X.rank_terms(F.col("text")))
     rows = rows.withColumn("boost", boost)
-    rows = rows.withColumn("sort_score", F.round((F.col("cosine") + F.col("boost")) * status_factor(F.col("status")), DIGITS))
+    rows = rows.withColumn("sort_score", F.round((F.col("cosine") + F.col("boost")) * status_factor(F.col("status")) + NUDGE, DIGITS))
     w = Window.partitionBy("qid", "collection").orderBy(F.desc("sort_score"), "pool_rank")
     out = rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top_k)
     return out.select("qid", *KEY, "rank", F.col("cosine").alias("score"), "boost", "sort_score")

@@ -33,7 +33,6 @@ def root(tmp_path):
     (r / "skip").mkdir()
     (r / "skip" / "a.md").write_text("# Skipped")
     (r / "skip" / "keep.md").write_text("# Kept")
-    (r / IgnoreRules.__module__.split(".")[0]).mkdir()
     (r / ".lodestoneignore").write_text("skip/*\n!skip/keep.md\n")
     return r
 
@@ -41,7 +40,7 @@ def root(tmp_path):
 def test_scan_shows_underscores_and_hides_dots(root):
     assert sorted(kb.walk(root)) == ["_draft.md", "blank.md", "code.py", "guide/models.md", "guide/old.md", "index.md", "skip/keep.md"]
     assert list(kb.walk(root, "guide")) == ["guide/models.md", "guide/old.md"]
-    assert list(kb.walk(root, "../kb/guide")) == list(kb.walk(root, "nope")) or True
+    assert list(kb.walk(root, "..")) == []
     assert list(kb.walk(root, "nope")) == []
 
 
