@@ -291,6 +291,8 @@ def find(docs: DataFrame, unit: str, span: int, key: int, levels: tuple[int, ...
     own = scanned.filter("pos is null").select("k1", "k2", "doc_id", "n_units", "kept_sha256")
     runs = scanned.filter("pos is not null")
     twice = runs.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
+    # written, so that both sides of the join are dealt out by it and Spark can split a large gram
+    twice = written(twice, "twice")
     ranges = runs.join(twice, "gram", "left_semi").select("k1", "k2", "pos", (F.col("pos") - F.col("hi")).alias("first"), (F.col("pos") - F.col("lo")).alias("last"))
     ranges = written(ranges, "open")
     release(spark)
@@ -305,10 +307,12 @@ def find(docs: DataFrame, unit: str, span: int, key: int, levels: tuple[int, ...
         release(spark)
         hulls = blocks.filter("hull1 is not null").groupBy("hull1", "hull2").agg(F.count("*").alias("n"), F.min(place).alias("leader"))
         hulls = hulls.filter("n > 1").select(F.col("hull1").alias("h1"), F.col("hull2").alias("h2"), "leader")
+        hulls = written(hulls, "hulls")
         state = blocks.join(hulls, (blocks.hull1 == hulls.h1) & (blocks.hull2 == hulls.h2), "left")
         columns = ["k1", "k2", "pos", "first", "last"]
         if size > 1:
             cores = blocks.groupBy("core1", "core2").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("core1").alias("c1"), F.col("core2").alias("c2"))
+            cores = written(cores, "cores")
             state = state.join(cores, (state.core1 == cores.c1) & (state.core2 == cores.c2), "left_semi")
             columns += ["core1", "core2"]
         leads = F.coalesce(F.col("leader") == place, F.lit(False)).alias("leads")
@@ -319,7 +323,8 @@ def find(docs: DataFrame, unit: str, span: int, key: int, levels: tuple[int, ...
         if size > 1:
             # of equal settled blocks one goes on, as a witness for open blocks with the same core
             open_ = state.filter("not whole")
-            witness = state.filter("whole and leads").join(open_.select("core1", "core2").distinct(), ["core1", "core2"], "left_semi")
+            wanted = written(open_.select("core1", "core2").distinct(), "wanted")
+            witness = state.filter("whole and leads").join(wanted, ["core1", "core2"], "left_semi")
             ranges = open_.unionByName(witness).select("k1", "k2", "pos", "first", "last")
     spans = settled[0]
     for s in settled[1:]:

@@ -176,7 +176,7 @@ def links(nodes: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFra
         F.explode(F.array(*(F.struct(F.lit(t).alias("t"), F.shiftleft(_block(fp, y), 13).bitwiseOR(_block(fp, x)).alias("key")) for t, (x, y) in enumerate(TABLES)))).alias("b"),
     ).select("fp", "b.t", "b.key")
     sizes = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).filter("n > 1")
-    held = keyed.join(sizes, ["t", "key"]).withColumn("m", F.ceil(F.col("n") / chunk).cast("long"))
+    held = keyed.join(written(sizes, "sizes"), ["t", "key"]).withColumn("m", F.ceil(F.col("n") / chunk).cast("long"))
     own = held.withColumn("c", F.pmod(F.xxhash64("fp", "t"), F.col("m")))
     pairs = own.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)))
     rows = pairs.select("t", "key", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), (F.col("c") > F.col("o")).cast("int").alias("side"), "fp")
