@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from collections import OrderedDict
 from dataclasses import dataclass, field
 from pathlib import Path
 
@@ -18,6 +19,7 @@ from lodestone.settings import CorruptIndexError, NotFoundError, OperationError,
 from lodestone.sources import kb, store
 from lodestone.sources.paths import IgnoreRules, excluded
 
+CACHED_QUERIES = 1000
 MODES = ("adaptive", "keyword", "semantic", "hybrid")
 BACKENDS = {"hashed-64": semantic.HashedBackend}
 
@@ -57,6 +59,9 @@ class Engine:
         distinct_targets(targets)
         self.collections = {k: Collection(k, r, targets[k]) for k, r in roots.items()}
         self.backend = backend or BACKENDS.get(self.settings.model)
+        self._made = None
+        self._vectors: OrderedDict[str, list[float]] = OrderedDict()
+        self.cache_hits = self.cache_misses = 0
 
     # --- collections and their indexes
 
@@ -129,12 +134,35 @@ class Engine:
             queries = self.spark.createDataFrame([(0, queries)], "qid long, query string")
         return queries.select(F.col("qid").cast("long").alias("qid"), "query")
 
-    def _with_vectors(self, index: I.Index, queries: DataFrame) -> DataFrame:
+    def _with_vectors(self, c: Collection, index: I.Index, queries: DataFrame, query: str | None) -> DataFrame:
         if self.backend is None:
             raise OperationError(f"no backend for model {self.settings.model!r}")
-        if index.vectors is None:
-            raise OperationError("the index has no vectors; reindex with a backend")
-        return semantic.embed(queries, "query", self.backend)
+        recipe, mine = c.opened[0].recipe, self.settings.recipe()
+        if index.vectors is None or any(recipe[k] != mine[k] for k in ("model", "dims", "runtime")):
+            raise OperationError("the index has other vectors than this backend's; reindex")
+        if query is None:
+            return semantic.embed(queries, "query", self.backend)
+        return self.spark.createDataFrame([(0, query, self._vector(query))], "qid long, query string, embedding array<float>")
+
+    def _vector(self, query: str) -> list[float]:
+        """A single query's vector, kept for the next time it is asked."""
+        if query in self._vectors:
+            self.cache_hits += 1
+            self._vectors.move_to_end(query)
+            return self._vectors[query]
+        self.cache_misses += 1
+        self._made = self._made or self.backend()
+        found = [float(x) for x in self._made.encode([query])[0]]
+        self._vectors[query] = found
+        if len(self._vectors) > CACHED_QUERIES:
+            self._vectors.popitem(last=False)
+        return found
+
+    def warm_up(self) -> None:
+        """Load the backend and open the indexes before the first request."""
+        self._vector("warm up")
+        for c in self.resolve():
+            self.index(c, build=False)
 
     def search(self, queries: DataFrame | str, mode: str = "adaptive", top_k: int = 10, filters: Filters = Filters(), collection: str | None = None, build: bool = True) -> tuple[DataFrame, DataFrame | None]:
         """(hits, routes) for one query or a frame (qid, query), merged over collections by rank.
@@ -142,7 +170,7 @@ class Engine:
         hits: qid, merged_rank, rank, collection, path, chunk_index, score, rrf, source and chunk columns."""
         if mode not in MODES:
             raise OperationError(f"unknown mode {mode!r}")
-        asked = self._queries(queries)
+        asked, single = self._queries(queries), queries if isinstance(queries, str) else None
         found, ways, chosen = [], [], self.resolve(collection)
         for c in chosen:
             index = self.index(c, build)
@@ -153,11 +181,11 @@ class Engine:
             if mode == "keyword":
                 hits = bm25.keyword_search(index, asked, top_k, filters).withColumns({"rrf": none, "source": F.lit("keyword")})
             elif mode == "semantic":
-                hits = semantic.semantic_search(index, self._with_vectors(index, asked), top_k, filters).withColumns({"rrf": none, "source": F.lit("semantic")})
+                hits = semantic.semantic_search(index, self._with_vectors(c, index, asked, single), top_k, filters).withColumns({"rrf": none, "source": F.lit("semantic")})
             elif mode == "hybrid":
-                hits = fusion.hybrid_search(index, self._with_vectors(index, asked), top_k, filters).withColumn("source", F.lit("hybrid"))
+                hits = fusion.hybrid_search(index, self._with_vectors(c, index, asked, single), top_k, filters).withColumn("source", F.lit("hybrid"))
             else:
-                hits, route = fusion.adaptive_search(index, self._with_vectors(index, asked), top_k, filters)
+                hits, route = fusion.adaptive_search(index, self._with_vectors(c, index, asked, single), top_k, filters)
                 ways.append(route)
             hits = fusion.with_hints(index, hits.select(*columns), asked)
             if mode == "adaptive":
@@ -221,7 +249,7 @@ class Engine:
         for c in self.resolve(collection):
             m = store.read_manifest(c.location)
             out.append({"collection": c.name, "generation": m and m.generation, "documents": m.documents if m else 0, "chunks": m.chunks if m else 0,
-                        "model": self.settings.model, "chunking": f"{self.settings.chunk_size} characters, overlap {self.settings.overlap or 'off'}"})
+                        "model": self.settings.model, "cached_queries": len(self._vectors), "cache_hits": self.cache_hits, "cache_misses": self.cache_misses, "chunking": f"{self.settings.chunk_size} characters, overlap {self.settings.overlap or 'off'}"})
         return out
 
     def diagnose(self, c: Collection, probe: str | None = "overview") -> Diagnosis:
