@@ -204,6 +204,16 @@ def breadcrumb(spark, sf):
     return longs(chunks(spark, sf).select("path", "chunk_index", "breadcrumb"))
 
 
+@register(f"with {S.CHUNKS} select collection, path || '::' || chunk_index as chunk_id, text = '' as blank from ch")
+def chunk_id(spark, sf):
+    return chunks(spark, sf).select("collection", "chunk_id", (F.col("text") == "").alias("blank"))
+
+
+@register(f"with {S.KB} select path, case when extension = '.md' then title else regexp_replace(list_last(string_split(path, '/')), '[.][^.]+$', '') end as title from docs")
+def list_title(spark, sf):
+    return docs(spark, sf).select("path", D.listing_title(F.col("content"), F.col("path")).alias("title"))
+
+
 @register()
 def chunk_headings(spark, sf):
     return longs(chunking.build_chunks(docs(spark, sf)).select("path", "chunk_index", "chunk_count", "piece"))
@@ -292,9 +302,19 @@ def file_score(spark, sf):
     return B.rollup(_anchored(spark, sf)).select("qid", "collection", "path", F.col("score").alias("file_score"))
 
 
-@register(f"with {S.KB} select path, lower(list_last(string_split(path, '/'))) in ('index.md', 'log.md', 'changelog.md') as hub, case when status in ('superseded', 'deprecated') then 0.7e0 else 1.0e0 end as factor from docs")
-def hub_and_status(spark, sf):
-    return docs(spark, sf).select("path", B.is_hub(F.col("path")).alias("hub"), B.status_factor(F.col("status")).alias("factor"))
+@register(f"with {S.KB} select path, case when lower(list_last(string_split(path, '/'))) in ('index.md', 'log.md', 'changelog.md') then 0.4e0 else 1.0e0 end as factor from docs")
+def hub_demotion(spark, sf):
+    return docs(spark, sf).select("path", F.when(B.is_hub(F.col("path")), F.lit(B.HUB_FACTOR)).otherwise(F.lit(1.0)).alias("factor"))
+
+
+@register(f"with {S.KB} select path, case when status in ('superseded', 'deprecated') then 0.7e0 else 1.0e0 end as factor from docs")
+def status_factor(spark, sf):
+    return docs(spark, sf).select("path", B.status_factor(F.col("status")).alias("factor"))
+
+
+@register(f"with {S.KB} select path, array_to_string(list_transform(list_filter(list_transform(list_concat([title], string_split(aliases, ';')), lambda x: {S.rank_terms('x', True)}), lambda x: len(x) > 0), lambda x: array_to_string(list_sort(x), ' ')), ' | ') as names from docs")
+def page_names(spark, sf):
+    return docs(spark, sf).select("path", F.array_join(F.transform(B.page_names(), joined), " | ").alias("names"))
 
 
 @register(f"with {S.SCORED}{S.keyword(10)} select qid, collection, path, dr.score as score from dr join st using (collection) where dr.score >= greatest(1.0e0, 0.72e0 * ln(greatest(n, 2))) or overlap >= 0.20e0 or covers_query")
@@ -601,6 +621,12 @@ def hit_at_k(spark, sf):
     return results(spark, sf).select("query_id", F.col("top_1_path_hit").alias("hit_at_1"), F.col("top_5_path_hit").alias("hit_at_5"), F.col("path_hit_within_max_rank").alias("within_max_rank"))
 
 
+@register(f"with {S.KB} select path, lower(path) in ('src1/d1.md', 'src2/d2.md') as matches from docs")
+def path_match(spark, sf):
+    alternates = F.array(F.lit("src2/d2.md"))
+    return docs(spark, sf).select("path", evaluate.path_matches(F.upper("path"), F.lit("SRC1/d1.md"), alternates).alias("matches"))
+
+
 @register("select d.doc_id, len(list_filter(['the', 'et', 'und', 'of'], lambda k: contains(lower(d.text), lower(k)))) >= 2 as hit from documents d")
 def keyword_hit(spark, sf):
     keywords = F.array(*(F.lit(w) for w in ("the", "et", "und", "of")))
@@ -642,6 +668,15 @@ def regression_compare(spark, sf):
     return evaluate.changes(before, rows.withColumn("top_1_path_hit", F.col("top_1_path_hit") & (F.col("query_id") % 4 != 0)))
 
 
+@register(f"{_EVAL} select 'again' as name, true as consistent, count(*) as categories from (select distinct category from ev) x")
+def report_consistency(spark, sf):
+    """Aggregates equal those made anew from the rows in another order."""
+    rows = results(spark, sf)
+    a, b = evaluate.by(rows, "category"), evaluate.by(rows.repartition(3), "category")
+    differs = a.exceptAll(b).unionByName(b.exceptAll(a)).agg(F.count("*").alias("n"))
+    return a.agg(F.count("*").alias("categories")).crossJoin(differs).select(F.lit("again").alias("name"), (F.col("n") == 0).alias("consistent"), "categories")
+
+
 @register(f"{_EVAL} select mode, category, cast(grouping(category) as bigint) as whole_mode, count(*) as queries, cast(sum((not h1)::int) as bigint) as failures, round(avg(rr), 6) as mrr from ev group by grouping sets ((mode), (mode, category))")
 def battle_aggregate(spark, sf):
     return evaluate.battle(results(spark, sf)).withColumn("mrr", r6("mrr"))
