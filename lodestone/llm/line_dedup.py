@@ -22,7 +22,7 @@ one document here and keep the same lines; the other columns pass through unread
 
 from __future__ import annotations
 
-import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,11 +32,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.rows import ROW, unwrap, wrap
+from lodestone.llm.rows import ROW, slices, unwrap, wrap
 from lodestone.runtime import discard, release, written
 
 THRESHOLD, MIN_LENGTH, CHUNK = 2, 20, 512
-SEEN = 1_000_000
+SEEN = 200_000
 _SEED = 97
 
 
@@ -104,18 +104,22 @@ def _lines(text: str | None) -> list[tuple[int, str]]:
     return [(i, x) for i, x in enumerate(text.split("\n")) if x.strip(" \t\n\v\f\r")] if text else []
 
 
-def _id(line: str) -> tuple[int, int]:
-    return tuple(np.frombuffer(xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass")), dtype="<i8").tolist())
+def _digest(line: str) -> bytes:
+    return xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass"))
+
+
+def _id(digest: bytes) -> tuple[int, int]:
+    return struct.unpack("<qq", digest)
 
 
 LINES = "k1 long, k2 long, doc_id long, line int, h1 long, h2 long"
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches):
         rows = []
         for k1, k2, doc, text in zip(*(b.column(i).to_pylist() for i in range(3)), b.column(3)):
-            rows += [(k1, k2, doc, i, *_id(x)) for i, x in _lines(text.as_py())]
+            rows += [(k1, k2, doc, i, *_id(_digest(x))) for i, x in _lines(text.as_py())]
         if rows:
             types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows), types)], names=["k1", "k2", "doc_id", "line", "h1", "h2"])
@@ -125,18 +129,18 @@ def _new_lines(column, seen: set, least: int) -> Iterator[tuple[tuple[int, int],
     """Long enough lines that this task has not met; a full memory only means some come again."""
     for text in column:
         for _, x in _lines(text.as_py()):
-            if len(x) >= least and (h := _id(x)) not in seen:
+            if len(x) >= least and (d := _digest(x)) not in seen:
                 if len(seen) >= SEEN:
                     seen.clear()
-                seen.add(h)
-                yield h, x
+                seen.add(d)
+                yield _id(d), x
 
 
 def _keys(threshold: int, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
         plans: dict[int, list[tuple[int, int, int]]] = {}
-        for b in batches:
+        for b in slices(batches):
             keys: list[int] = []
             ids: list[int] = []
             for (h, _), x in _new_lines(b.column(0), seen, least):
@@ -181,7 +185,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _texts(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
-        for b in batches:
+        for b in slices(batches):
             rows = [(*h, x) for h, x in _new_lines(b.column(0), seen, least)]
             if rows:
                 types = [pa.int64(), pa.int64(), pa.string()]
@@ -257,7 +261,7 @@ def find(docs: DataFrame, threshold: int = THRESHOLD, min_length: int = MIN_LENG
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches):
         out = []
         for text, lines in zip(b.column(1), b.column(2).to_pylist()):
             gone, t = set(lines or ()), text.as_py()

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.rows import unwrap, wrap
+from lodestone.llm.rows import slices, unwrap, wrap
 from lodestone.runtime import discard, release, written
 
 POS_BITS = 24
@@ -180,7 +180,7 @@ def _scan(unit: str, span: int, key: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
-            for b in batches:
+            for b in slices(batches):
                 own: list[tuple] = []
                 found: list[tuple[np.ndarray, ...]] = []
                 for k1, k2, doc, text in zip(*(b.column(i).to_pylist() for i in range(3)), b.column(3)):
@@ -209,7 +209,7 @@ def _blocks(unit: str, span: int, size: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
-            for b in batches:
+            for b in slices(batches):
                 out: list[tuple] = []
                 for k1, k2, text, ranges in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
                     seq = UNITS[unit](text.as_py() or "")
@@ -247,7 +247,7 @@ def _cut(unit: str):
     types = [pa.int64()] * 4 + [pa.string(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             rows = []
             for k1, k2, text, spans in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
                 r = spans.values

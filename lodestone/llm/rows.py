@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROW = "__row"
+SLICE = 500
+
+
+def slices(batches: Iterator[pa.RecordBatch], n: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The rows of batches, a few at a time: what a worker holds as Python objects stays small."""
+    for b in batches:
+        for at in range(0, b.num_rows, n):
+            yield b.slice(at, n)
 
 
 def wrap(docs: DataFrame, **more: Column) -> DataFrame:

@@ -30,10 +30,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 SEGMENT_TOKENS = 1 << 18
-TABLE_BITS = 21
+TABLE_BITS = 20
 CACHE_WORDS = 100_000
-PIECE_CHARS = 1 << 20
-GROUP_CHARS = 1 << 20
+PIECE_CHARS = 1 << 18
+GROUP_CHARS = 1 << 18
 # Python splits at the first four, the tokenizer does not; the last starts a special token
 _ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
 _SPACE = re.compile(r"[ \n\r\t]")
