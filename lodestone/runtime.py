@@ -60,10 +60,22 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def scratch(spark: SparkSession, name: str = "") -> str:
+    """A new path for name under this application's part of the shared folder; without one, that part."""
+    base = f"{shared_dir(spark).rstrip('/')}/lodestone/{spark.sparkContext.applicationId}"
+    return f"{base}/{name}-{uuid.uuid4().hex}" if name else base
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application; results not yet read from them are lost."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(scratch(spark))
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df under the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/lodestone/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

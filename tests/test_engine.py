@@ -234,3 +234,13 @@ def test_update_stream(spark, tmp_path):
 def test_nothing_else_imports_the_corpus_operators():
     code = "import sys; sys.path.insert(0, '.'); import lodestone.catalogue, lodestone.plans.cli, lodestone.streaming.updates; assert not any(m.startswith('lodestone.llm') for m in sys.modules)"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
+def test_intermediate_tables(spark):
+    from lodestone import runtime
+
+    df = runtime.written(spark.range(3).toDF("a"), "t")
+    assert df.count() == 3 and runtime.scratch(spark) in df.inputFiles()[0].replace("file:///", "file:/").replace("file:/", "file:///")
+    runtime.discard(df)
+    with pytest.raises(Exception):
+        spark.read.parquet(df.inputFiles()[0]).count()
