@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import decontaminate, language_id, line_dedup, oracles, packing, quality_classifier, quality_rules, simhash, substring_dedup, suffix_dedup, tokens
-from lodestone.runtime import shared_dir, table
+from lodestone.runtime import scratch, table
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +53,7 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = f"{shared_dir(spark).rstrip('/')}/lodestone/tokens-{uuid.uuid4().hex}"
+    out = scratch(spark, "tokens")
     tokens.write_tokens(table(spark, sf_dir, "documents"), out)
     return tokens.read_documents(spark, out)
 
