@@ -101,14 +101,21 @@ def status_factor(status: Column) -> Column:
 def anchored(index: Index, pooled: DataFrame, queries: DataFrame) -> DataFrame:
     """Pooled chunks with the lexical evidence of their metadata and text."""
     q = queries.select("qid", X.rank_terms(F.col("query"), True).alias("q"))
-    rows = pooled.join(index.chunks, ["collection", "path", "chunk_index"]).join(q, "qid")
+    facts = described(index, pooled, status=F.col("status"), _meta=metadata_terms(), _names=page_names(), _text=X.rank_terms(F.col("text")))
+    rows = pooled.join(facts, ["collection", "path", "chunk_index"]).join(q, "qid")
     return rows.withColumns(
         {
-            "overlap": overlap(F.col("q"), metadata_terms()),
-            "names_query": names_page(F.col("q"), page_names()),
-            "covers_query": covers(F.col("q"), X.rank_terms(F.col("text"))),
+            "overlap": overlap(F.col("q"), F.col("_meta")),
+            "names_query": names_page(F.col("q"), F.col("_names")),
+            "covers_query": covers(F.col("q"), F.col("_text")),
         }
-    )
+    ).drop("_meta", "_names", "_text")
+
+
+def described(index: Index, pooled: DataFrame, **facts: Column) -> DataFrame:
+    """Facts of the chunks that any query pooled, each chunk's taken once however many queries have it."""
+    keys = ["collection", "path", "chunk_index"]
+    return index.chunks.join(pooled.select(*keys).distinct(), keys, "left_semi").select(*keys, *(v.alias(k) for k, v in facts.items()))
 
 
 def file_score(best: Column, scores: Column, overlap_: Column, names: Column, hub: Column, factor: Column) -> Column:
