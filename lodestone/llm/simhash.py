@@ -198,10 +198,14 @@ def cluster(docs: DataFrame, radius: int = RADIUS, doc_id: str = "doc_id", text:
     return prints.join(ids, "fp").select("*", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"))
 
 
-def deduplicate(docs: DataFrame, radius: int = RADIUS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents, all columns, one of each component: the smallest id (null last), of its rows one."""
-    found = cluster(docs, radius, doc_id, text)
+def first_of_each(docs: DataFrame, found: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The documents, all columns, one of each root of found (doc_id, k1, k2, root)."""
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "k1", "k2")).alias("f"))
     first = first.select("f.k1", "f.k2")
     rows = wrap(docs, k1=F.xxhash64(doc_id, text), k2=F.xxhash64(text, F.lit(SEED)))
     return unwrap(rows.join(first, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]))
+
+
+def deduplicate(docs: DataFrame, radius: int = RADIUS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents, all columns, one of each component: the smallest id (null last), of its rows one."""
+    return first_of_each(docs, cluster(docs, radius, doc_id, text), doc_id, text)
