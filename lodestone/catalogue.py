@@ -378,6 +378,26 @@ def semantic_pool(spark, sf):
     return longs(rows.select("qid", F.col("path").cast("long").alias("vec_id"), F.col("cosine").alias("cosine"), "pool_rank"))
 
 
+_NEAREST_WHOLE = _NEAREST.replace("where vec_id < 10", "where vec_id % 50 = 0")
+
+
+def _every_50th(spark, sf) -> DataFrame:
+    return table(spark, sf, "embeddings").filter("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), "embedding")
+
+
+@register(f"with {_NEAREST_WHOLE} select qid, vec_id, cosine as cosine from nn")
+def cosine_exact_whole(spark, sf):
+    q = _every_50th(spark, sf).select("qid", semantic.normalized(F.col("embedding")).alias("e"))
+    rows = table(spark, sf, "embeddings").select("vec_id", semantic.normalized(F.col("embedding")).alias("v")).crossJoin(q)
+    return rows.select("qid", "vec_id", F.round(semantic.dot(F.col("e"), F.col("v")), 9).alias("cosine"))
+
+
+@register(f"with {_NEAREST_WHOLE} select * from (select qid, vec_id, cosine as cosine, row_number() over (partition by qid order by cosine desc, vec_id) as pool_rank from nn) x where pool_rank <= 50")
+def semantic_pool_whole(spark, sf):
+    rows = semantic.cosine_pool(_vector_table(spark, sf)[0], _every_50th(spark, sf), 50)
+    return longs(rows.select("qid", F.col("path").cast("long").alias("vec_id"), F.col("cosine").alias("cosine"), "pool_rank"))
+
+
 @register(f"with {S.SCORED}{S.SEMANTIC}{S.semantic(50)} select {_KEY}, rank, cosine as score, boost as boost, sort_score as sort_score from sm")
 def lexical_boost(spark, sf):
     rows = semantic.semantic_search(*vectored(spark, sf), 50)
