@@ -127,6 +127,12 @@ def keywordish(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", q.alias("query"), X.keywordish(q).alias("keywordish"))
 
 
+@register(f"select conv_id, turn, text as query, {S.keywordish('text')} as keywordish from conversations")
+def keywordish_whole(spark, sf):
+    q = F.col("text")
+    return table(spark, sf, "conversations").select("conv_id", "turn", q.alias("query"), X.keywordish(q).alias("keywordish"))
+
+
 @register(f"with {S.KB} select doc_id, {S.trim_boundary('content', 220)} as trimmed from docs")
 def trim_boundary(spark, sf):
     return docs(spark, sf).select("doc_id", X.trim_boundary(F.col("content"), 220).alias("trimmed"))

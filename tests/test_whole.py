@@ -12,3 +12,11 @@ def test_every_50th_vector_is_asked_against_all(spark, sf):
     for name, each in (("cosine_exact_whole", n), ("semantic_pool_whole", min(n, 50))):
         got = {r.qid: r.n for r in QUERIES[name](spark, sf).groupBy("qid").agg(F.count("*").alias("n")).collect()}
         assert got == dict.fromkeys(want, each)
+
+
+def test_keywordish_sees_the_end_of_a_turn(spark, tmp_path):
+    start = "please tell me about the long river and the old house by the "
+    rows = [(1, 1, start + "sea"), (2, 1, start + "model_v2"), (3, 1, start + "NASA")]
+    spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.conv_id: (r.query, r.keywordish) for r in QUERIES["keywordish_whole"](spark, str(tmp_path)).collect()}
+    assert got == {1: (rows[0][2], False), 2: (rows[1][2], True), 3: (rows[2][2], True)}
