@@ -7,6 +7,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextvars import ContextVar
 from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -71,8 +72,13 @@ def index(spark: SparkSession, sf: str) -> I.Index:
     return I.build(chunks(spark, sf))
 
 
+_WHOLE_TEXTS: ContextVar[bool] = ContextVar("whole_texts", default=False)
+
+
 def asked(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "benchmark").select(F.col("item_id").cast("long").alias("qid"), F.array_join(F.slice(F.split("text", r"\s+"), 1, 8), " ").alias("query"))
+    """The first eight words of every benchmark text; in the queries named _whole, the text."""
+    query = F.col("text") if _WHOLE_TEXTS.get() else F.array_join(F.slice(F.split("text", r"\s+"), 1, 8), " ")
+    return table(spark, sf, "benchmark").select(F.col("item_id").cast("long").alias("qid"), query.alias("query"))
 
 
 def vectored(spark: SparkSession, sf: str) -> tuple[I.Index, DataFrame]:
@@ -706,3 +712,23 @@ def report_consistency(spark, sf):
 @register(f"{_EVAL} select mode, category, cast(grouping(category) as bigint) as whole_mode, count(*) as queries, cast(sum((not h1)::int) as bigint) as failures, round(avg(rr), 6) as mrr from ev group by grouping sets ((mode), (mode, category))")
 def battle_aggregate(spark, sf):
     return evaluate.battle(results(spark, sf)).withColumn("mrr", r6("mrr"))
+
+
+# --- whole texts: every query above that asks prefixes of the benchmark texts, with the texts as they are
+
+
+def _whole(fn: Query) -> Query:
+    def run(spark, sf):
+        token = _WHOLE_TEXTS.set(True)
+        try:
+            return fn(spark, sf)
+        finally:
+            _WHOLE_TEXTS.reset(token)
+
+    return run
+
+
+for _name, _sql in list(ORACLES.items()):
+    if S.QUERIES in _sql:
+        QUERIES[f"{_name}_whole"] = _whole(QUERIES[_name])
+        ORACLES[f"{_name}_whole"] = _sql.replace(S.QUERIES, S.WHOLE_QUERIES)

@@ -96,6 +96,9 @@ st as (select c.collection, c.n, coalesce(t.total, 0) / c.n as avgdl
 QUERIES = rf"""
 q as (select cast(item_id as bigint) as qid, array_to_string(string_split_regex(text, '\s+')[1:8], ' ') as query from benchmark)"""
 
+WHOLE_QUERIES = """
+q as (select cast(item_id as bigint) as qid, text as query from benchmark)"""
+
 SCORED = POSTINGS + "," + QUERIES + f""",
 qw as (select qid, term, count(*) as times from (select qid, unnest({words('query')}) as term from q) x group by all),
 w as (select qid, tdf.collection, term, avgdl, times * ln(1 + (n - df + 0.5e0) / (df + 0.5e0)) as weight from qw join tdf using (term) join st using (collection)),

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from lodestone import catalogue
 from lodestone.catalogue import QUERIES
 
 
@@ -20,3 +21,20 @@ def test_keywordish_sees_the_end_of_a_turn(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = {r.conv_id: (r.query, r.keywordish) for r in QUERIES["keywordish_whole"](spark, str(tmp_path)).collect()}
     assert got == {1: (rows[0][2], False), 2: (rows[1][2], True), 3: (rows[2][2], True)}
+
+
+def test_whole_texts_are_asked(spark, sf):
+    texts = {r.item_id: r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
+    token = catalogue._WHOLE_TEXTS.set(True)
+    try:
+        assert {r.qid: r.query for r in catalogue.asked(spark, sf).collect()} == texts
+    finally:
+        catalogue._WHOLE_TEXTS.reset(token)
+    cut = {n for n, sql in catalogue.ORACLES.items() if "[1:8]" in sql}
+    assert len(cut) >= 30 and all(f"{n}_whole" in QUERIES for n in cut)
+
+
+def test_scores_of_whole_texts_hold_those_of_prefixes(spark, sf):
+    some, whole = (QUERIES[n](spark, sf).groupBy("qid").agg(F.count("*").alias("n"), F.sum("score").alias("s")) for n in ("bm25_score", "bm25_score_whole"))
+    rows = some.select("qid", F.col("n").alias("n8"), F.col("s").alias("s8")).join(whole, "qid").collect()
+    assert rows and all(r.n >= r.n8 and r.s >= r.s8 for r in rows) and any(r.s > r.s8 for r in rows)
