@@ -5,9 +5,9 @@ with every dictionary, so that its own repeats do not outweigh the dictionary, a
 language with the smallest total, of equal ones to the more frequent language. The margin is the share by which the runner-up is larger; below
 MIN_MARGIN the prediction is rejected (accepted is false), though the language is still named.
 
-Dictionaries are fitted on a bounded sample: about SAMPLE_DOCS labelled rows of each of at most
-MAX_LANGUAGES languages (the most frequent ones), chosen by a hash of their id, SAMPLE_CHARS of
-each, DICTIONARY_BYTES a language. Every whole text is classified, in the scan, without a shuffle.
+Dictionaries are fitted on a sample bounded per language: at most SAMPLE_DOCS labelled rows of every
+language, chosen by a hash of id and text, equally much of each up to SAMPLE_CHARS, DICTIONARY_BYTES a
+language. Every whole text is classified, in the scan, without a shuffle.
 
 Defined results: null text and text without a letter get "und", score 0; rows without id or language
 are not learned from; without any labelled row everything is "und"; repeated rows come out each.
@@ -19,11 +19,10 @@ import math
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 400, 1500, 100_000
-MAX_LANGUAGES = 64
 PIECE, LEVEL, MIN_MARGIN = 4096, 3, 0.02
 
 
@@ -39,22 +38,30 @@ def held_out(doc_id: Column) -> Column:
 def fit(labelled: DataFrame) -> dict[str, bytes]:
     """Dictionaries from rows (doc_id, text, lang)."""
     usable = labelled.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    sizes = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
-    if not sizes:
-        return {}
+    sizes = usable.groupBy("lang").agg(F.count("*").alias("n")).select("lang", "n")
     steps = 1 << 30
-    # expected rows a language: at most SAMPLE_DOCS
-    share = F.lit(0.0)
-    for r in sizes:
-        share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, SAMPLE_DOCS / r["n"]))).otherwise(share)
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(steps)).cast("double") / steps
-    rows = usable.filter(place < share).select("lang", "doc_id", letters(F.substring("text", 1, SAMPLE_CHARS)).alias("t"))
-    parts: dict[str, list[bytes]] = {r["lang"]: [] for r in sizes}
-    # about MAX_LANGUAGES * SAMPLE_DOCS short rows; the limit holds if one id stands in many rows
-    for r in sorted(rows.limit(2 * SAMPLE_DOCS * len(sizes)).collect(), key=lambda r: (r["lang"], r["doc_id"], r["t"])):
-        parts[r["lang"]].append(r["t"].encode("utf-8", "surrogatepass"))
-    # in order of frequency
-    return {k: b" ".join(v)[-DICTIONARY_BYTES:] for k, v in parts.items() if v}
+    # about twice SAMPLE_DOCS rows a language, or all, without a sort of whole languages; by id and text, so no hot id comes whole
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(steps)).cast("double") / steps
+    some = usable.join(sizes, "lang").withColumn("place", place).filter(F.col("place") * F.col("n") < 2 * SAMPLE_DOCS)
+    cut = some.select("lang", "doc_id", "place", letters(F.substring("text", 1, SAMPLE_CHARS)).alias("t"))
+    w = Window.partitionBy("lang").orderBy("place", "doc_id", "t")
+    rows = cut.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= SAMPLE_DOCS).join(sizes, "lang").collect()
+    parts: dict[str, list[bytes]] = {}
+    # languages in order of frequency; each row gives an equal share of the dictionary
+    for r in sorted(rows, key=lambda r: (-r["n"], r["lang"], r["k"])):
+        parts.setdefault(r["lang"], []).append(r["t"].encode("utf-8", "surrogatepass"))
+    return {k: _even(v) for k, v in parts.items()}
+
+
+def _even(rows: list[bytes]) -> bytes:
+    """Rows joined in at most DICTIONARY_BYTES: short ones whole, of the others equally much."""
+    left, share = DICTIONARY_BYTES - len(rows), 0
+    for i, n in enumerate(sorted(map(len, rows))):
+        share = left // (len(rows) - i)
+        if n > share:
+            break
+        left, share = left - n, n
+    return b" ".join(r[:share] for r in rows)
 
 
 def _classify(dictionaries: dict[str, bytes]):
