@@ -69,10 +69,11 @@ def with_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
 
 
 def planes(fps: np.ndarray) -> list[int]:
-    """64 integers; bit k of the i-th is bit i of the k-th fingerprint."""
-    bits = np.unpackbits(fps.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    """An integer for each bit; bit k of the i-th is bit i of the k-th fingerprint (a word of 64 bits, or a row of words)."""
+    words = fps.shape[1] if fps.ndim > 1 else 1
+    bits = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8).reshape(len(fps), 8 * words), axis=1, bitorder="little")
     packed = np.packbits(bits, axis=0, bitorder="little")
-    return [int.from_bytes(packed[:, i].tobytes(), "little") for i in range(64)]
+    return [int.from_bytes(packed[:, i].tobytes(), "little") for i in range(bits.shape[1])]
 
 
 def near(fp: int, sliced: list[int], n: int, radius: int = RADIUS, order=range(64)) -> int:
