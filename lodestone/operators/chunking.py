@@ -1,14 +1,16 @@
 """Chunking: one document to its pieces.
 
-Windows are plain Columns. Headings, paragraphs, overlap and merging depend on what was emitted
-before, so they run as one fold over a document's sections inside a Pandas UDF.
+Windows are plain Columns. Headings, paragraphs, overlap and merging depend on what stands before, so
+they run over a document's sections inside a Pandas UDF.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections import deque
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
+from itertools import chain, groupby, takewhile
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -18,7 +20,7 @@ from pyspark.sql import types as T
 from lodestone.functions import documents as D
 
 _SECTION = re.compile(r"(?=^#{1,3}\s)", re.MULTILINE)
-_HASHES = re.compile(r"(#{1,6})\s")
+_LEVEL = re.compile(r"\s*(#{1,6})\s")
 
 
 def windows(content: Column, size: int, overlap: int) -> Column:
@@ -30,121 +32,90 @@ def windows(content: Column, size: int, overlap: int) -> Column:
 
 @dataclass
 class Chunker:
+    """Pieces of one document, in separate passes: cut into sections, group, fill pieces, repeat headings, merge."""
+
     size: int = 1500
     overlap: int = 100
 
-    def _tail(self, piece: str) -> str:
-        return piece[-self.overlap :] if self.overlap > 0 else ""
-
     def _joined(self, before: str, piece: str) -> str:
         """piece with text before it, if that fits."""
-        both = f"{before}\n\n{piece}"
-        return both if before and len(both) <= self.size else piece
+        return both if before and len(both := f"{before}\n\n{piece}") <= self.size else piece
+
+    def _after(self, before: str, piece: str) -> str:
+        """piece, opened with the end of the one before it."""
+        return self._joined(before[-self.overlap :] if self.overlap > 0 else "", piece)
+
+    def _filled(self, texts: Iterable[str], glue: int, before: str = "") -> list[str]:
+        """Texts joined into pieces for as long as both, and glue characters, fit."""
+        out: list[str] = []
+        for text in texts:
+            if out and len(out[-1]) + glue + len(text) <= self.size:
+                out[-1] = f"{out[-1]}\n\n{text}"
+            else:
+                out.append(self._after(out[-1] if out else before, text))
+        return out
 
     def _windows(self, text: str) -> list[str]:
-        if len(text) <= self.size:
-            return [text]
         step = self.size - self.overlap if 0 < self.overlap < self.size else self.size
         return [text[at : at + self.size] for at in range(0, len(text), step)]
 
     def paragraphs(self, text: str) -> list[str]:
+        """Paragraphs filled into pieces; those too large come as windows, which take no part in filling."""
         out: list[str] = []
-        open_, carry = "", ""
-
-        def close() -> None:
-            nonlocal open_, carry
-            if open_:
-                out.append(open_)
-                carry, open_ = self._tail(open_), ""
-
-        for part in filter(None, text.split("\n\n")):
-            if len(part) > self.size:
-                close()
-                pieces = self._windows(part)
-                pieces[0] = self._joined(carry, pieces[0])
-                out += pieces
-                carry = self._tail(pieces[-1])
-                continue
-            grown = f"{open_}\n\n{part}" if open_ else self._joined(carry, part)
-            if len(grown) > self.size:
-                close()
-                grown = self._joined(carry, part)
-            open_, carry = grown, ""
-        close()
+        for large, run in groupby(filter(None, text.split("\n\n")), key=lambda p: len(p) > self.size):
+            out += chain.from_iterable(map(self._windows, run)) if large else self._filled(run, 2, out[-1] if out else "")
         return out
 
     @staticmethod
     def level(section: str) -> int | None:
         """Heading level of the first line that is not blank."""
-        first = next((x for x in map(str.lstrip, section.splitlines()) if x), "")
-        found = _HASHES.match(first)
+        found = _LEVEL.match(section)
         return len(found[1]) if found else None
 
     @staticmethod
     def _headings(section: str) -> str:
         """Heading lines a section starts with, blank lines between them left out."""
-        heads = []
-        for line in filter(None, map(str.strip, section.splitlines())):
-            if not line.startswith("#"):
-                break
-            heads.append(line)
-        return "\n".join(heads)
-
-    def _oversized(self, section: str) -> list[str]:
-        first, *rest = self.paragraphs(section) or [""]
+        lines = filter(None, map(str.strip, section.splitlines()))
+        return "\n".join(takewhile(lambda x: x.startswith("#"), lines))
+
+    def _large(self, section: str) -> list[str]:
+        """Pieces of a section that fits into none; each opens with its headings, where those fit."""
         heads = self._headings(section)
-        # pieces after the first get the section's headings, where they fit and are not there
-        return [first, *(p if p.lstrip().startswith(heads) else self._joined(heads, p) for p in rest)] if first else []
+        first, *rest = self.paragraphs(section)
+        return [first, *(p if p.lstrip().startswith(heads) else self._joined(heads, p) for p in rest)]
 
     def headings(self, content: str) -> list[str]:
-        sections = [s for s in map(str.strip, _SECTION.split(content)) if s]
+        sections = [(s, self.level(s), len(s) > self.size) for s in map(str.strip, _SECTION.split(content)) if s]
         out: list[str] = []
-        open_, carry = "", ""
-        level: int | None = None
-        for section in sections:
-            mine = self.level(section)
-            if open_ and mine != level:  # another level never shares a chunk, nor any overlap
-                out.append(open_)
-                open_, carry = "", ""
-            if len(open_) + len(section) <= self.size:
-                # the level is that of the section a chunk starts with
-                level = level if open_ else mine
-                open_ = f"{open_}\n\n{section}" if open_ else section
+        last: tuple[int | None, bool] | None = None
+        # neighbours of one level share pieces; a large section has its own
+        for (level, large), run in groupby(sections, key=lambda s: s[1:]):
+            if not large:
+                out += self._filled((s for s, *_ in run), 0)
+                last = level, large
                 continue
-            if open_:
-                out.append(open_)
-                carry = self._tail(open_)
-            if len(section) > self.size:
-                pieces = self._oversized(section)
-                if pieces:
-                    pieces[0] = self._joined(carry, pieces[0])
-                    out += pieces
-                    carry = self._tail(pieces[-1])
-                open_, level = "", None
-            else:
-                open_, carry, level = self._joined(carry, section), "", mine
-        if open_:
-            out.append(open_)
-        return self._merge(out) if out else [content]
+            for section, *_ in run:
+                pieces = self._large(section)
+                # its overlap stops at a change of level, but not between two large ones
+                if last is not None and (last[1] or last[0] == level):
+                    pieces[0] = self._after(out[-1], pieces[0])
+                out += pieces
+                last = level, large
+        return self._merge(out) or [content]
 
     def _merge(self, pieces: list[str]) -> list[str]:
         """Tiny pieces join the next one, else the one before, if the two fit."""
-        if len(pieces) <= 1:
-            return pieces
         tiny = 200 if self.size >= 200 else max(10, self.size // 2)
+        fit = lambda a, b: len(a) + 2 + len(b) <= self.size
         out: list[str] = []
-        rest = iter(range(len(pieces)))
-        for i in rest:
-            piece = pieces[i]
-            if len(piece) < tiny:
-                if i + 1 < len(pieces) and len(both := f"{piece}\n\n{pieces[i + 1]}") <= self.size:
-                    out.append(both)
-                    next(rest)
-                    continue
-                if out and len(both := f"{out[-1]}\n\n{piece}") <= self.size:
-                    out[-1] = both
-                    continue
-            out.append(piece)
+        rest = deque(pieces)
+        while rest:
+            group = [rest.popleft()]
+            if len(group[0]) < tiny and rest and fit(group[0], rest[0]):
+                group.append(rest.popleft())
+            elif len(group[0]) < tiny and out and fit(out[-1], group[0]):
+                group.insert(0, out.pop())
+            out.append("\n\n".join(group))
         return out
 
     def pieces(self, content: str) -> list[str]:

@@ -200,8 +200,12 @@ class Engine:
             route = route.unionByName(r)
         return fusion.merge_collections(hits, [c.name for c in chosen], top_k), fusion.merge_routes(route) if route is not None else None
 
-    def _rows(self, hits: DataFrame, query: str) -> list[dict]:
+    def _rows(self, hits: DataFrame, shown: int = 0) -> list[dict]:
+        """Hits as dicts; with shown, those of the first documents carry their place and their snippet's."""
         quoted = presentation.quotes(hits).withColumn("matched", X.matched_terms(F.col("query"), F.col("quote")))
+        if shown:
+            places = presentation.snippets(quoted, shown, order="merged_rank").select("qid", "merged_rank", "doc_no", "snippet")
+            quoted = quoted.join(places, ["qid", "merged_rank"], "left")
         rows = [r.asDict() for r in quoted.orderBy("merged_rank").collect()]  # at most 100
         if len(self.collections) == 1:
             for r in rows:
@@ -215,7 +219,7 @@ class Engine:
         if not query.strip():
             return presentation.render_context([], {"strategy": "keyword", "reason": "empty query", "fallback_used": False}, f)
         hits, route = self.search(query, "adaptive", top_k, f, collection)
-        return presentation.render_context(self._rows(hits, query), route.first().asDict(), f, most_documents=top_k)
+        return presentation.render_context(self._rows(hits, top_k), route.first().asDict(), f)
 
     def results_text(self, query: str, mode: str, top_k: int | None = None, collection: str | None = None, **filters) -> str:
         """Keyword, semantic or hybrid search, as a flat list."""
@@ -223,7 +227,7 @@ class Engine:
         f = parse(**filters)
         if not query.strip():
             return presentation.render_results([])
-        return presentation.render_results(self._rows(self.search(query, mode, top_k, f, collection)[0], query))
+        return presentation.render_results(self._rows(self.search(query, mode, top_k, f, collection)[0]))
 
     # --- documents, statistics, diagnosis
 

@@ -177,3 +177,38 @@ def test_filter_parsing():
             filters.parse(**kw)
     assert "a/" in f.describe()
     assert [filters.clamp(n) for n in (0, 5, 500)] == [10, 5, 100]
+
+
+def test_snippets_are_those_of_a_plain_loop(spark):
+    import random
+
+    from lodestone.operators import presentation
+
+    r = random.Random(4)
+    rows = []
+    for q in range(30):
+        for rank in range(1, r.choice([2, 8, 25])):
+            quote = r.choice(["a", "b", "c", "d", None])
+            rows.append((q, rank, r.choice(["x", "y"]), f"p{r.randrange(6)}", quote, quote))
+    df = spark.createDataFrame(rows, "qid long, rank int, collection string, path string, quote string, quote_key string")
+    for documents, each in ((5, 2), (1, 3), (3, 1)):
+        want = {}
+        for q in range(30):
+            groups = {}
+            for x in rows:
+                if x[0] == q:
+                    groups.setdefault((x[2], x[3]), []).append(x)
+            shown = list(groups.items())[:documents]
+            told = set()
+            for no, (_, hits) in enumerate(shown, 1):
+                here = []
+                for x in hits:
+                    fresh = x[4] and x[5] not in here and not (len(shown) > 1 and (x[2], x[5]) in told)
+                    if fresh and len(here) < each:
+                        here.append(x[5])
+                        told.add((x[2], x[5]))
+                        want[q, x[1]] = (no, len(here))
+                    else:
+                        want[q, x[1]] = (no, None)
+        got = {(x.qid, x.rank): (x.doc_no, x.snippet) for x in presentation.snippets(df, documents, each).collect()}
+        assert got == want
