@@ -1,35 +1,37 @@
 """Units (bytes or words) covered by a string of SPAN units that also starts anywhere else.
 
-The plain form of either method handles every position of the corpus at every step. Here positions
-are ranked through anchors, without changing the result. The anchor of a window of SPAN units is
-the unit gram of KEY units with the smallest hash inside it, leftmost first; equal windows have
-equal anchors at equal offsets, and consecutive windows mostly share theirs. So windows form runs,
-one for each anchor, and
-
-1. anchors whose gram is found once are dropped with all their windows;
-2. the windows left are taken in blocks of S consecutive offsets from their anchor, S falling over
-   `levels` down to 1. A block's core lies in all its windows and its hull holds all of them. A hull
-   found twice settles the block: every window repeats. A core found once settles it too: none does.
-   Other blocks go on to the next level, whose cores are longer, until windows stand alone. With
-   them goes one of each set of equal settled blocks, to be counted with what it may share.
-
-Every count is a grouped sum over fixed-size keys with partial sums first, so a passage that a
-third of all documents share costs each task one row, and every join that may meet such a key is
-one that Spark splits. Keys have 128 bits. A document is cut in one task by its own spans alone.
-
-Defined results: null text is empty; a document shorter than the span has nothing to remove; of
-repeated rows each is a document of its own, so both lose what they share; matches never cross
-documents; columns other than the id and the text are not read.
+Documents are written in blocks, and strings at all positions of a block get names (hashes). Which names occur
+elsewhere is counted in Spark:
+
+1. a block sorts the names of PIECE positions at a time, drops repeats, and sends them out in groups by their
+   upper bits, as differences of five bytes or so; a string that a third of all documents share is one
+   name from each piece;
+2. the task that gets a group finds the names that two pieces sent, and sends each piece one bit a name;
+3. the block names its positions again, reads the bits, and keeps the positions whose string is repeated.
+
+Bytes are ranked by prefix doubling (see suffix_dedup): a name of 2m bytes at i is made from the pair of names at
+i and i + m; positions whose name is found once are left out of the next round; the last offset is the one
+that reaches the span. Words have one round: the Rabin-Karp sums of every window (see substring_dedup). A
+last round counts an independent second name of the span, so a string is repeated if 112 bits are.
+
+The names of a round are two (words) or one (bytes) of 56 bits at most a position and round. A group has some
+PER_GROUP names until there are MOST_GROUPS of them; from 10 ** 11 names on a group grows with the input instead.
+
+Defined results: null text is empty; a document shorter than the span has nothing to remove; of repeated rows
+each is a document of its own, so both lose what they share; matches never cross documents; an empty table
+gives an empty one; a very long text is a block of its own, in pieces, whose task holds a few times its
+size; columns other than the id and the text are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,12 +40,16 @@ from lodestone.runtime import discard, release, written
 
 POS_BITS = 24
 POS_MASK = np.uint64((1 << POS_BITS) - 1)
-PIECE = 1 << 22
+NAME_BITS = 56
+BLOCK = PIECE = 1 << 21
+PER_GROUP, LEAST_GROUPS, MOST_GROUPS = 1 << 20, 1 << 10, 1 << 17
+CHUNK = 1 << 16
 _RNG = np.random.default_rng(20240501)
 _TABLE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64)
 _BASES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], dtype=np.uint64) | np.uint64(1)
-_PLACE = np.int64(0x2545F4914F6CDD1D)
 _INVERSE = np.array([pow(int(b), -1, 1 << 64) for b in _BASES], dtype=np.uint64)
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -58,80 +64,84 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def _grams(symbols: np.ndarray, size: int) -> np.ndarray:
-    """Rolling polynomial hashes of all grams of `size` symbols, by doubling; size is a power of two."""
-    h, m, p = symbols, 1, _BASES[0]
+def doubled(names: np.ndarray, size: int, which: int) -> np.ndarray:
+    """Names of all strings of `size` symbols, each from the pair of names at its start and at a growing offset."""
+    m = 1
     while m < size:
-        h, p, m = h[:-m] * p + h[m:], p * p, m * 2
-    return _mix(h)
+        step = min(m, size - m)
+        pair = names[:-step] * _BASES[which]
+        pair += names[step:]
+        pair ^= pair >> np.uint64(32)
+        pair *= np.uint64(0xD6E8FEB86659FD93)
+        names, m = pair, m + step
+    return names ^ (names >> np.uint64(29))
 
 
 class Bytes:
-    """A text as UTF-8 bytes."""
+    """Texts as UTF-8 bytes, one after the other."""
 
-    def __init__(self, text: str):
-        self.data = text.encode("utf-8", "surrogatepass")
-        self.n = len(self.data)
+    def __init__(self, texts: list[str | None]):
+        parts = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+        self.bounds = np.concatenate([[0], np.cumsum([len(p) for p in parts], dtype=np.int64)])
+        self.data = np.frombuffer(b"".join(parts), np.uint8)
 
-    def grams(self, size: int, start: int, end: int) -> np.ndarray:
-        return _grams(_TABLE[np.frombuffer(self.data, np.uint8)[start:end]], size)
+    def names(self, size: int, which: int, a: int, z: int) -> np.ndarray:
+        """Names of the strings at a..z; those that pass the end of the block mean nothing."""
+        out = np.zeros(z - a, np.uint64)
+        for at in range(a, z, CHUNK):
+            end = min(z, at + CHUNK)
+            got = doubled(_TABLE[self.data[at : end + size - 1]], size, which)
+            out[at - a : at - a + len(got)] = got[: end - at]
+        return out
 
-    def keys(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """128-bit keys of unit ranges, two columns."""
-        data = self.data
-        out = b"".join([xxhash.xxh3_128_digest(data[a:b]) for a, b in zip(starts.tolist(), ends.tolist())])
-        return np.frombuffer(out, dtype="<i8").reshape(-1, 2)
-
-    def keep(self, spans: list[tuple[int, int]]) -> bytes:
-        """What is left without the spans, which are sorted and disjoint."""
-        out, at = [], 0
-        for a, b in spans:
-            out.append(self.data[at:a])
-            at = b
-        return b"".join([*out, self.data[at:]])
+    def kept(self, k: int, gone: np.ndarray) -> bytes:
+        return self.data[self.bounds[k] : self.bounds[k + 1]][~gone].tobytes()
 
 
 class Words:
-    """A text as words between white space, unchanged; two Rabin-Karp sums over mixed word hashes."""
+    """Texts as words between white space, unchanged; names are Rabin-Karp sums over mixed hashes of words."""
+
+    def __init__(self, texts: list[str | None]):
+        parts = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+        self.data = b"\n".join(parts)
+        data = np.frombuffer(self.data, np.uint8)
+        word = np.concatenate([[False], ~_SPACE[data], [False]])
+        self.starts = np.flatnonzero(word[1:-1] & ~word[:-2])
+        self.ends = np.flatnonzero(word[1:-1] & ~word[2:]) + 1
+        borders = np.concatenate([[0], np.cumsum([len(p) + 1 for p in parts], dtype=np.int64)])
+        self.bounds = np.searchsorted(self.starts, borders)
+        self._sums: dict[int, np.ndarray] = {}
 
-    SPACE = bytes([0x20, 9, 10, 11, 12, 13])
+    def symbols(self) -> np.ndarray:
+        """A hash of each word, from prefix sums over its bytes; some CHUNK words at a time."""
+        out = [np.zeros(0, np.uint64)]
+        data = np.frombuffer(self.data, np.uint8)
+        for i in range(0, len(self.starts), CHUNK):
+            starts, ends = self.starts[i : i + CHUNK], self.ends[i : i + CHUNK]
+            piece = _TABLE[data[starts[0] : ends[-1]]]
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(piece * _powers(_BASES[1], len(piece)), dtype=np.uint64)])
+            starts, ends = starts - starts[0], ends - starts[0]
+            h = (sums[ends] - sums[starts]) * _powers(_INVERSE[1], len(piece) + 1)[starts]
+            out.append(_mix(h + (ends - starts).astype(np.uint64) * _BASES[0]))
+        return np.concatenate(out)
+
+    def names(self, size: int, which: int, a: int, z: int) -> np.ndarray:
+        n = len(self.starts)
+        if which not in self._sums:
+            h = _mix(self.symbols() + np.uint64(which)) * _powers(_BASES[which], n)
+            self._sums[which] = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h, dtype=np.uint64)])
+        sums, at = self._sums[which], np.arange(a, z)
+        return _mix((sums[np.minimum(at + size, n)] - sums[at]) * _powers(_INVERSE[which], z)[a:])
+
+    def kept(self, k: int, gone: np.ndarray) -> bytes:
+        a, z = self.bounds[k], self.bounds[k + 1]
+        if a == z:
+            return b""
+        # bytes.split() splits at exactly the six characters
+        return b" ".join(compress(self.data[self.starts[a] : self.ends[z - 1]].split(), (~gone).tolist()))
 
-    def __init__(self, text: str):
-        # bytes.split() splits at exactly these six characters
-        self.words = text.encode("utf-8", "surrogatepass").split()
-        self.n = len(self.words)
-        self._symbols = self._sums = None
 
-    def symbols(self) -> np.ndarray:
-        if self._symbols is None:
-            data = np.frombuffer(b"".join(self.words), np.uint8)
-            lengths = np.fromiter(map(len, self.words), np.int64, self.n)
-            ends = np.cumsum(lengths)
-            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_TABLE[data] * _powers(_BASES[1], len(data)), dtype=np.uint64)])
-            back = _powers(_INVERSE[1], len(data) + 1)
-            h = (sums[ends] - sums[ends - lengths]) * back[ends - lengths]
-            self._symbols = _mix(h + lengths.astype(np.uint64) * _BASES[0])
-        return self._symbols
-
-    def grams(self, size: int, start: int, end: int) -> np.ndarray:
-        return _grams(self.symbols()[start:end], size)
-
-    def keys(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        if self._sums is None:
-            s = self.symbols()
-            self._sums = [
-                (np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(s + np.uint64(k)) * _powers(b, self.n), dtype=np.uint64)]), _powers(i, self.n + 1))
-                for k, (b, i) in enumerate(zip(_BASES, _INVERSE))
-            ]
-        size = (ends - starts).astype(np.uint64)
-        return np.stack([_mix((c[ends] - c[starts]) * back[starts] + size).view(np.int64) for c, back in self._sums], axis=1)
-
-    def keep(self, spans: list[tuple[int, int]]) -> bytes:
-        out, at = [], 0
-        for a, b in spans:
-            out += self.words[at:a]
-            at = b
-        return b" ".join(out + self.words[at:])
+UNITS = {"bytes": Bytes, "words": Words}
 
 
 def _sliding_least(x: np.ndarray, width: int) -> np.ndarray:
@@ -144,209 +154,318 @@ def _sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(after[: n - width + 1], before[width - 1 : n])
 
 
-def anchors(seq, span: int, key: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor positions, first and last window start of each, and the gram hashes there."""
+def anchors(seq: Bytes, span: int, key: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For runs of windows that have one anchor: first and last window start, and the gram's hash. The anchor is the
+    gram of `key` bytes with the least hash in the window, the leftmost of them; equal windows have equal anchors."""
     parts = []
-    for base in range(0, max(seq.n - span + 1, 0), PIECE):
-        end = min(seq.n, base + PIECE + span - 1)
-        h = seq.grams(key, base, end)
+    n = len(seq.data)
+    for base in range(0, max(n - span + 1, 0), PIECE):
+        end = min(n, base + PIECE + span - 1)
+        h = seq.names(key, 0, base, end - key + 1)
         least = _sliding_least((h & ~POS_MASK) | np.arange(len(h), dtype=np.uint64), span - key + 1)
         at = (least & POS_MASK).astype(np.int64)
         first = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1])
         last = np.concatenate([first[1:] - 1, [len(at) - 1]])
-        parts.append((at[first] + base, first + base, last + base, h[at[first]].view(np.int64)))
-    if not parts:
-        none = np.zeros(0, np.int64)
-        return none, none, none, none
-    pos, lo, hi, g = (np.concatenate(p) for p in zip(*parts))
-    new = np.concatenate([[True], pos[1:] != pos[:-1]])  # a run over the border of two pieces is one
-    ends = np.concatenate([np.flatnonzero(new)[1:] - 1, [len(pos) - 1]])
-    return pos[new], lo[new], hi[ends], g[new]
-
+        parts.append((first + base, last + base, h[at[first]].view(np.int64)))
+    none = np.zeros(0, np.int64)
+    return tuple(np.concatenate(p) for p in zip(*parts)) if parts else (none, none, none)
 
-UNITS = {"bytes": Bytes, "words": Words}
-SCANNED = "k1 long, k2 long, doc_id long, n_units long, kept_sha256 string, pos int, lo int, hi int, gram long"
 
-
-def _batch(cols: list, names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, types)], names=names)
-
-
-def _scan(unit: str, span: int, key: int):
-    """For each document a row of its own, and a row for each anchor."""
-    i64, i32 = pa.int64(), pa.int32()
-    names = [x.split()[0] for x in SCANNED.split(", ")]
-    types = [i64, i64, i64, i64, pa.string(), i32, i32, i32, i64]
+def _scan(span: int, key: int):
+    """A row for each run of windows with one anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for b in slices(batches):
-                own: list[tuple] = []
-                found: list[tuple[np.ndarray, ...]] = []
-                for k1, k2, doc, text in zip(*(b.column(i).to_pylist() for i in range(3)), b.column(3)):
-                    seq = UNITS[unit](text.as_py() or "")
-                    own.append((k1, k2, doc, seq.n, hashlib.sha256(seq.keep([])).hexdigest()))
-                    pos, lo, hi, g = anchors(seq, span, key)
-                    found.append((np.full(len(pos), k1, np.int64), np.full(len(pos), k2, np.int64), pos, lo, hi, g))
-                if not own:
-                    continue
-                none = [None] * len(own)
-                yield _batch([*zip(*own), none, none, none, none], names, types)
-                k1s, k2s, pos, lo, hi, g = (np.concatenate(x) for x in zip(*found))
-                nulls = pa.nulls(len(pos), i64)
-                arrays = [pa.array(k1s), pa.array(k2s), nulls, nulls, pa.nulls(len(pos), pa.string()), *(pa.array(x.astype(np.int32)) for x in (pos, lo, hi)), pa.array(g)]
-                yield pa.RecordBatch.from_arrays(arrays, names=names)
+                found = [(np.zeros(0, np.int64),) * 5]
+                for k1, k2, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                    lo, hi, g = anchors(Bytes([text.as_py()]), span, key)
+                    found.append((np.full(len(lo), k1, np.int64), np.full(len(lo), k2, np.int64), lo, hi, g))
+                arrays = [pa.array(np.concatenate(x)) for x in zip(*found)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["k1", "k2", "lo", "hi", "gram"])
 
     return run
 
 
-BLOCKS = "k1 long, k2 long, pos int, first int, last int, core1 long, core2 long, hull1 long, hull2 long"
+BLOCKS = "block long, n long, k1 array<long>, k2 array<long>, doc_id array<long>, text array<string>, open binary"
 
 
-def _blocks(unit: str, span: int, size: int):
-    """Keys of every block of `size` offsets of the open ranges of each document."""
-    names = [x.split()[0] for x in BLOCKS.split(", ")]
+def _packed(unit: str):
+    """Rows (k1, k2, doc_id, text, ranges) in blocks; ranges are the window starts to begin with, null for all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base = TaskContext.get().partitionId() << 32
+        rows, size, made = [], 0, 0
+        i64 = pa.int64()
+        types = [i64, i64, pa.list_(i64), pa.list_(i64), pa.list_(i64), pa.list_(pa.string()), pa.binary()]
+        names = [x.split()[0] for x in BLOCKS.split(", ")]
+
+        def block() -> pa.RecordBatch:
+            k1, k2, doc, texts, ranges = zip(*rows)
+            seq, start = UNITS[unit](list(texts)), None
+            if any(r is not None for r in ranges):
+                marks = np.zeros(int(seq.bounds[-1]) + 1, np.int32)
+                for at, r in zip(seq.bounds.tolist(), ranges):
+                    for x in r or ():
+                        marks[at + x["lo"]] += 1
+                        marks[at + x["hi"] + 1] -= 1
+                start = np.packbits(np.cumsum(marks[:-1]) > 0, bitorder="little").tobytes()
+            row = [[base + made], [int(seq.bounds[-1])], [k1], [k2], [doc], [texts], [start]]
+            return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(row, types)], names=names)
+
         with np.errstate(over="ignore"):
             for b in slices(batches):
-                out: list[tuple] = []
-                for k1, k2, text, ranges in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
-                    seq = UNITS[unit](text.as_py() or "")
-                    r = ranges.values
-                    pos, a, z = (r.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
-                    n = z // size - a // size + 1
-                    which = np.repeat(np.arange(len(pos)), n)
-                    j = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + (a // size)[which]
-                    pos, a, z = pos[which], np.maximum(a[which], size * j), np.minimum(z[which], size * j + size - 1)
-                    s1 = pos - size * j
-                    s0 = s1 - size + 1
-                    inside = (s0 >= 0) & (s1 + span <= seq.n)
-                    hull = np.zeros((len(pos), 2), np.int64)
-                    hull[inside] = seq.keys(s0[inside], s1[inside] + span)
-                    core = seq.keys(s1, s0 + span).copy() if size > 1 else hull
-                    core[:, 0] += j * _PLACE
-                    # blocks of two anchors can have one hull: by its block's number neither counts twice
-                    if size > 1:
-                        hull[:, 0] += j * _PLACE
-                    out.append((np.full(len(pos), k1, np.int64), np.full(len(pos), k2, np.int64), pos, a, z, core, hull, inside))
-                if not out:
-                    continue
-                k1s, k2s, pos, a, z, core, hull, inside = (np.concatenate(x) for x in zip(*out))
-                arrays = [pa.array(k1s), pa.array(k2s), *(pa.array(x.astype(np.int32)) for x in (pos, a, z))]
-                arrays += [pa.array(core[:, 0]), pa.array(core[:, 1])] if size > 1 else [pa.nulls(len(pos), pa.int64())] * 2
-                arrays += [pa.array(hull[:, i], mask=~inside) for i in (0, 1)]
-                yield pa.RecordBatch.from_arrays(arrays, names=names)
+                for row in zip(*(c.to_pylist() for c in b.columns)):
+                    long = len(row[3] or "")
+                    if rows and size + long > BLOCK:
+                        yield block()
+                        rows, size, made = [], 0, made + 1
+                    rows.append(row)
+                    size += long
+            if rows:
+                yield block()
 
     return run
 
 
-def _cut(unit: str):
-    """Per document: what its spans remove, and the text without them."""
-    names = ["k1", "k2", "n_removed", "n_spans", "kept_sha256", "kept"]
-    types = [pa.int64()] * 4 + [pa.string(), pa.string()]
+def _valid(seq, span: int) -> np.ndarray:
+    """Positions where a window of the span fits in the document."""
+    ends = seq.bounds[1:]
+    marks = np.zeros(int(ends[-1]) + 1, np.int32)
+    np.add.at(marks, np.maximum(ends - span + 1, seq.bounds[:-1]), 1)
+    np.add.at(marks, ends, -1)
+    return np.cumsum(marks[:-1]) == 0
+
+
+def _shift(groups: int) -> np.uint64:
+    return np.uint64(NAME_BITS - (groups - 1).bit_length())
+
+
+def _borders(once: np.ndarray, groups: int) -> np.ndarray:
+    return np.searchsorted(once, np.arange(groups + 1, dtype=np.uint64) << _shift(groups))
+
+
+def _alive(seq, span: int, done: tuple[int, int] | None, start: bytes | None, state: list | None, groups: int) -> np.ndarray:
+    """Positions whose string is repeated as far as is known: after a round, those whose bit it sent back."""
+    n = int(seq.bounds[-1])
+    out = _valid(seq, span)
+    if done is None:
+        return out & np.unpackbits(np.frombuffer(start, np.uint8), bitorder="little", count=n).astype(bool) if start is not None else out
+    out[:] = False
+    pieces: dict[int, dict[int, bytes]] = {}
+    for s in state or ():
+        pieces.setdefault(s["piece"], {})[s["grp"]] = s["bits"]
+    for p, bits in pieces.items():
+        a, z = p * PIECE, min(n, (p + 1) * PIECE)
+        at = np.flatnonzero(np.unpackbits(np.frombuffer(bits[min(bits)], np.uint8), bitorder="little", count=z - a))
+        x = seq.names(*done, a, z)[at] >> np.uint64(64 - NAME_BITS)
+        order = np.argsort(x)
+        x = x[order]
+        new = np.concatenate([[True], x[1:] != x[:-1]])
+        first = np.flatnonzero(new)
+        repeated = np.diff(np.append(first, len(x))) > 1
+        cuts = _borders(x[first], groups)
+        for g, b in bits.items():
+            if g >= 0:
+                repeated[cuts[g] : cuts[g + 1]] |= np.unpackbits(np.frombuffer(b, np.uint8), bitorder="little", count=int(cuts[g + 1] - cuts[g])).astype(bool)
+        out[a + at[order]] = repeated[np.cumsum(new) - 1]
+    return out
+
+
+SENT = "block long, piece int, grp int, bits binary"
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows), types)], names=["block", "piece", "grp", "bits"])
+
+
+def _send(unit: str, span: int, done: tuple[int, int] | None, now: tuple[int, int], groups: int):
+    """The names of a round at the positions still open, by groups, and which positions those are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            rows = []
-            for k1, k2, text, spans in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
-                r = spans.values
-                merged = merge(r.field(0).to_numpy(zero_copy_only=False), r.field(1).to_numpy(zero_copy_only=False))
-                kept = UNITS[unit](text.as_py() or "").keep(merged)
-                # a byte span may cut a character: what is left of it shows as a replacement character
-                rows.append((k1, k2, sum(y - x for x, y in merged), len(merged), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace")))
-            if rows:
-                yield _batch(list(zip(*rows)), names, types)
+        with np.errstate(over="ignore"):
+            for b in slices(batches, 1):
+                block, texts, start, state = (c.to_pylist()[0] for c in b.columns)
+                seq = UNITS[unit](texts)
+                alive = _alive(seq, span, done, start, state, groups)
+                for p in range(-(-len(alive) // PIECE)):
+                    a, z = p * PIECE, min(len(alive), (p + 1) * PIECE)
+                    here = alive[a:z]
+                    if not here.any():
+                        continue
+                    x = np.sort(seq.names(*now, a, z)[here] >> np.uint64(64 - NAME_BITS))
+                    x = x[np.concatenate([[True], x[1:] != x[:-1]])]
+                    cuts = _borders(x, groups)
+                    full = np.flatnonzero(np.diff(cuts))
+                    # the first name of a group as it is, the others less the one before
+                    steps = np.diff(x, prepend=np.uint64(0))
+                    steps[cuts[full]] = x[cuts[full]]
+                    steps = steps.astype("<u8").view(np.uint8).reshape(-1, 8)
+                    width = max(1, next((w for w in range(8, 0, -1) if steps[:, w - 1].any()), 1))
+                    inner = np.ones(len(x), bool)
+                    inner[cuts[full]] = False
+                    used = next((w for w in range(width, 0, -1) if steps[inner, w - 1].any()), 1)
+                    rows = [(block, p, -1 - int(block % groups), np.packbits(here, bitorder="little").tobytes())]
+                    for g in full.tolist():
+                        s = steps[cuts[g] : cuts[g + 1]]
+                        rows.append((block, p, g, s[0].tobytes() + bytes([used]) + s[1:, :used].tobytes()))
+                    yield _batch(rows)
 
     return run
 
 
-def merge(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
-    """Maximal runs of overlapping or touching spans."""
-    if not len(starts):
-        return []
-    order = np.argsort(starts, kind="stable")
-    s, e = starts[order].astype(np.int64), np.maximum.accumulate(ends[order].astype(np.int64))
-    new = np.flatnonzero(np.concatenate([[True], s[1:] > e[:-1]]))
-    return list(zip(s[new].tolist(), e[np.concatenate([new[1:] - 1, [len(e) - 1]])].tolist()))
+def _names(blob: bytes) -> np.ndarray:
+    used = blob[8]
+    rest = np.frombuffer(blob, np.uint8, offset=9).reshape(-1, used)
+    steps = np.zeros((len(rest) + 1, 8), np.uint8)
+    steps[0] = np.frombuffer(blob[:8], np.uint8)
+    steps[1:, :used] = rest
+    return np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64)
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows in order of grp: for each piece, which of its names another piece has sent too."""
+    now, held = None, []
+
+    def counted() -> list[tuple]:
+        if len(held) < 2:
+            return []
+        parts = [_names(x[3]) for x in held]
+        x = np.concatenate(parts)
+        order = np.argsort(x)
+        same = x[order[1:]] == x[order[:-1]]
+        twice = np.zeros(len(x), bool)
+        twice[order[1:]] = same
+        twice[order[:-1]] |= same
+        cuts = np.cumsum([0] + [len(y) for y in parts]).tolist()
+        return [(*row[:3], np.packbits(twice[a:z], bitorder="little").tobytes()) for row, a, z in zip(held, cuts, cuts[1:]) if twice[a:z].any()]
+
+    for b in slices(batches, 4096):
+        out = []
+        for row in zip(*(c.to_pylist() for c in b.columns)):
+            if row[2] < 0:
+                out.append(row)
+                continue
+            if row[2] != now:
+                out += counted()
+                now, held = row[2], []
+            held.append(row)
+        if out:
+            yield _batch(out)
+    if out := counted():
+        yield _batch(out)
+
+
+CUT = "k1 long, k2 long, doc_id long, n_units long, n_removed long, n_spans long, kept_sha256 string, kept string"
+
+
+def _cut(unit: str, span: int, done: tuple[int, int], groups: int):
+    """What each document of a block loses, and the text that is left (null where all stays)."""
+    names = [x.split()[0] for x in CUT.split(", ")]
+    types = [pa.int64()] * 6 + [pa.string()] * 2
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with np.errstate(over="ignore"):
+            for b in slices(batches, 1):
+                texts, state, *ids = (c.to_pylist()[0] for c in b.columns)
+                seq = UNITS[unit](texts)
+                upto = np.concatenate([np.zeros(span, np.int64), np.cumsum(_alive(seq, span, done, None, state, groups))])
+                gone = upto[span:] > upto[:-span]
+                bounds, rows = seq.bounds.tolist(), []
+                for k, (k1, k2, doc) in enumerate(zip(*ids)):
+                    mine = gone[bounds[k] : bounds[k + 1]]
+                    runs = int(np.count_nonzero(mine[1:] & ~mine[:-1]) + mine[:1].sum())
+                    left = seq.kept(k, mine)
+                    # a byte span may cut a character: what is left of it shows as a replacement character
+                    rows.append((k1, k2, doc, len(mine), int(mine.sum()), runs, hashlib.sha256(left).hexdigest(), left.decode("utf-8", "replace") if runs else None))
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows), types)], names=names)
 
-def _per_document(texts: DataFrame, rows: DataFrame, *fields: str) -> DataFrame:
-    """Each text with the list of its rows."""
-    lists = rows.groupBy("k1", "k2").agg(F.collect_set(F.struct(*fields)).alias("ranges"))
-    return texts.join(lists.hint("shuffle_hash"), ["k1", "k2"]).select("k1", "k2", "text", "ranges")
+    return run
 
 
-def find(docs: DataFrame, unit: str, span: int, key: int, levels: tuple[int, ...], doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(documents, cut): doc_id, n_units, kept_sha256 of every whole document with its keys k1, k2;
-    and for those that lose something n_removed, n_spans, kept_sha256, kept, once for each key."""
-    if any(a % b for a, b in zip(levels[1:], levels[2:])) or levels[0] != span - key + 1 or levels[-1] != 1:
-        raise ValueError("levels fall from span - key + 1 to 1, and from the second on each divides the one before")
-    spark = docs.sparkSession
-    keyed = docs.select(
+def _keyed(docs: DataFrame, span: int, doc_id: str, text: str) -> DataFrame:
+    return docs.select(
         F.xxhash64(doc_id, text).alias("k1"), F.xxhash64(text, F.lit(span)).alias("k2"),
         F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"),
     )
-    scanned = written(keyed.mapInArrow(_scan(unit, span, key), SCANNED), "anchors")
-    own = scanned.filter("pos is null").select("k1", "k2", "doc_id", "n_units", "kept_sha256")
-    runs = scanned.filter("pos is not null")
-    twice = runs.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
+
+
+def _rounds(unit: str, span: int, key: int | None) -> list[tuple[int, int]]:
+    """(size, which name) of each round."""
+    sizes = [span]
+    while key and 2 * key < span:
+        key *= 2
+        sizes.insert(-1, key)
+    return [*((s, 0) for s in sizes), (span, 1)]
+
+
+def _open(keyed: DataFrame, span: int, key: int) -> DataFrame:
+    """The documents with windows whose anchor is found twice, and those windows: others cannot be repeated."""
+    spark = keyed.sparkSession
+    runs = written(keyed.select("k1", "k2", "text").mapInArrow(_scan(span, key), "k1 long, k2 long, lo long, hi long, gram long"), "anchors")
     # written, so that both sides of the join are dealt out by it and Spark can split a large gram
-    twice = written(twice, "twice")
-    ranges = runs.join(twice, "gram", "left_semi").select("k1", "k2", "pos", (F.col("pos") - F.col("hi")).alias("first"), (F.col("pos") - F.col("lo")).alias("last"))
-    ranges = written(ranges, "open")
+    twice = written(runs.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"), "twice")
+    some = runs.join(twice, "gram", "left_semi").groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
+    some = written(some, "open")
+    discard(runs)
+    discard(twice)
     release(spark)
-    # only texts with an anchor found twice can lose anything
-    texts = written(keyed.select("k1", "k2", "text").join(ranges.select("k1", "k2").distinct().hint("shuffle_hash"), ["k1", "k2"], "left_semi"), "texts")
+    return keyed.join(some, ["k1", "k2"]).select("k1", "k2", "doc_id", "text", "ranges")
+
+
+def find(docs: DataFrame, unit: str, span: int, key: int | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """k1, k2 (keys of the row), doc_id, n_units, n_removed, n_spans, kept_sha256 and kept; of every document, or, with a key,
+    of those with a window whose anchor of key units is found twice."""
+    if unit == "bytes" and (key is None or key > span or key & (key - 1)):
+        raise ValueError("key is a power of two within the span")
+    spark = docs.sparkSession
+    keyed = _keyed(docs, span, doc_id, text)
+    if key:
+        some = _open(keyed, span, key)
+    else:
+        some = keyed.withColumn("ranges", F.lit(None).cast("array<struct<lo:bigint,hi:bigint>>"))
+    blocks = written(some.mapInArrow(_packed(unit), BLOCKS), "blocks")
     release(spark)
-    settled = []
-    place = F.struct("k1", "k2", "pos", "first")
-    for size in levels:
-        joined = _per_document(texts, ranges, "pos", "first", "last")
-        blocks = written(joined.mapInArrow(_blocks(unit, span, size), BLOCKS), "blocks")
+    # PIECE * bits: how many names there can be
+    n = blocks.agg(F.sum("n").alias("n")).first()["n"] or 0
+    groups = min(MOST_GROUPS, max(LEAST_GROUPS, 1 << (n // PER_GROUP).bit_length()))
+    rounds, state, done = _rounds(unit, span, key), None, None
+    for now in rounds:
+        rows = blocks.select("block", "text", "open", F.lit(None).cast("array<struct<piece:int,grp:int,bits:binary>>").alias("state")) if state is None else _with(blocks, state, "inner").select("block", "text", "open", "state")
+        sent = rows.mapInArrow(_send(unit, span, done, now, groups), SENT)
+        found = written(sent.repartition("grp").sortWithinPartitions("grp").mapInArrow(_count, SENT), "repeated")
+        if state is not None:
+            discard(state)
+        state, done = found, now
         release(spark)
-        hulls = blocks.filter("hull1 is not null").groupBy("hull1", "hull2").agg(F.count("*").alias("n"), F.min(place).alias("leader"))
-        hulls = hulls.filter("n > 1").select(F.col("hull1").alias("h1"), F.col("hull2").alias("h2"), "leader")
-        hulls = written(hulls, "hulls")
-        state = blocks.join(hulls, (blocks.hull1 == hulls.h1) & (blocks.hull2 == hulls.h2), "left")
-        columns = ["k1", "k2", "pos", "first", "last"]
-        if size > 1:
-            cores = blocks.groupBy("core1", "core2").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("core1").alias("c1"), F.col("core2").alias("c2"))
-            cores = written(cores, "cores")
-            state = state.join(cores, (state.core1 == cores.c1) & (state.core2 == cores.c2), "left_semi")
-            columns += ["core1", "core2"]
-        leads = F.coalesce(F.col("leader") == place, F.lit(False)).alias("leads")
-        state = written(state.select(*columns, F.col("leader").isNotNull().alias("whole"), leads), "state")
-        discard(blocks)
-        release(spark)
-        settled.append(state.filter("whole").select("k1", "k2", (F.col("pos") - F.col("last")).alias("start"), (F.col("pos") - F.col("first") + span).alias("end")))
-        if size > 1:
-            # of equal settled blocks one goes on, as a witness for open blocks with the same core
-            open_ = state.filter("not whole")
-            wanted = written(open_.select("core1", "core2").distinct(), "wanted")
-            witness = state.filter("whole and leads").join(wanted, ["core1", "core2"], "left_semi")
-            ranges = open_.unionByName(witness).select("k1", "k2", "pos", "first", "last")
-    spans = settled[0]
-    for s in settled[1:]:
-        spans = spans.union(s)
-    cut = _per_document(texts, spans, "start", "end").mapInArrow(_cut(unit), "k1 long, k2 long, n_removed long, n_spans long, kept_sha256 string, kept string")
-    return own, cut
-
-
-def digests(own: DataFrame, cut: DataFrame, text: bool = False) -> DataFrame:
-    """One row per document: n_units, n_removed, n_spans, kept_sha256 (and kept, null where all stays)."""
-    columns = ["k1", "k2", "n_removed", "n_spans", F.col("kept_sha256").alias("cut_sha256"), *(["kept"] if text else [])]
-    lost = cut.select(*columns).dropDuplicates(["k1", "k2"])
+    last = _with(blocks, state, "left").select("text", "state", "k1", "k2", "doc_id")
+    return last.mapInArrow(_cut(unit, span, done, groups), CUT)
+
+
+def _with(blocks: DataFrame, state: DataFrame, how: str) -> DataFrame:
+    lists = state.groupBy("block").agg(F.collect_list(F.struct("piece", "grp", "bits")).alias("state"))
+    return blocks.join(lists, "block", how)
+
+
+def digests(docs: DataFrame, unit: str, span: int, key: int | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: doc_id, n_units, n_removed, n_spans, kept_sha256."""
+    found = find(docs, unit, span, key, doc_id, text)
+    columns = ["doc_id", "n_units", "n_removed", "n_spans", "kept_sha256"]
+    if not key:
+        return found.select(*columns)
+    # repeated rows lose the same
+    cut = found.select("k1", "k2", "n_removed", "n_spans", F.col("kept_sha256").alias("cut_sha256")).dropDuplicates(["k1", "k2"])
+    data = F.coalesce("text", F.lit("")).cast("binary")
+    own = _keyed(docs, span, doc_id, text).select("k1", "k2", "doc_id", F.octet_length(data).cast("long").alias("n_units"), F.sha2(data, 256).alias("kept_sha256"))
     zero = F.lit(0).cast("long")
-    return own.join(lost, ["k1", "k2"], "left").select(
-        "doc_id", "n_units", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"),
-        F.coalesce("cut_sha256", "kept_sha256").alias("kept_sha256"), *(["kept"] if text else []),
+    return own.join(cut, ["k1", "k2"], "left").select(
+        "doc_id", "n_units", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("cut_sha256", "kept_sha256").alias("kept_sha256")
     )
 
 
-def remove(docs: DataFrame, unit: str, span: int, key: int, levels: tuple[int, ...], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def remove(docs: DataFrame, unit: str, span: int, key: int | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents, all columns, with repeated spans cut out of their text; what has none is unchanged."""
-    _, cut = find(docs, unit, span, key, levels, doc_id, text)
-    lost = cut.select("k1", "k2", "kept").dropDuplicates(["k1", "k2"])
+    lost = find(docs, unit, span, key, doc_id, text).filter("n_removed > 0").select("k1", "k2", "kept").dropDuplicates(["k1", "k2"])
     rows = wrap(docs, k1=F.xxhash64(doc_id, text), k2=F.xxhash64(text, F.lit(span)), text=F.col(text)).join(lost, ["k1", "k2"], "left")
     return unwrap(rows, **{text: F.coalesce("kept", "text")})

@@ -1,8 +1,8 @@
-"""Substring dedup over words: Rabin-Karp hashes of 35-word windows, counted; repeated windows merge.
+"""Substring dedup over words: Rabin-Karp hashes of every 35-word window, counted; repeated windows merge.
 
-Each window's two 64-bit Rabin-Karp sums come from prefix sums over the document. Windows whose
-anchor gram (see repeats) is found once need no count of their own; the rest are counted by blocks
-and, where a block does not settle them, one by one. Repeated windows merge into maximal intervals.
+A window's hash is a difference of prefix sums over its block. All windows of the corpus are counted in Spark
+(see repeats), and those found twice once more by an independent second hash. The words that repeated
+windows cover merge into maximal removal intervals.
 """
 
 from __future__ import annotations
@@ -11,13 +11,14 @@ from pyspark.sql import DataFrame
 
 from lodestone.llm import repeats
 
-SPAN, KEY, LEVELS = 35, 8, (28, 7, 1)
+SPAN = 35
 
 
 def find(docs: DataFrame, **columns: str) -> DataFrame:
-    """doc_id, n_words, n_removed, n_spans, kept_sha256 of every document."""
-    return repeats.digests(*repeats.find(docs, "words", SPAN, KEY, LEVELS, **columns)).withColumnRenamed("n_units", "n_words")
+    """doc_id, n_words, n_removed, kept_sha256, n_spans of every document."""
+    found = repeats.digests(docs, "words", SPAN, **columns)
+    return found.select("doc_id", found.n_units.alias("n_words"), "n_removed", "kept_sha256", "n_spans")
 
 
 def remove(docs: DataFrame, **columns: str) -> DataFrame:
-    return repeats.remove(docs, "words", SPAN, KEY, LEVELS, **columns)
+    return repeats.remove(docs, "words", SPAN, **columns)

@@ -36,8 +36,7 @@ def want(rows, unit, span):
 
 
 def got(df, *args):
-    rows = repeats.digests(*repeats.find(df, *args)).select("doc_id", "n_units", "n_removed", "n_spans", "kept_sha256")
-    return sorted((tuple(r) for r in rows.collect()), key=repr)
+    return sorted((tuple(r) for r in repeats.digests(df, *args).collect()), key=repr)
 
 
 def documents(seed, alphabet, joiner):
@@ -55,30 +54,93 @@ def documents(seed, alphabet, joiner):
 def test_bytes(spark, seed):
     rows = documents(seed, "ab" if seed == 0 else "abcdé", "")
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert got(df, "bytes", 20, 4, (17, 8, 4, 1)) == want(rows, "bytes", 20)
+    assert got(df, "bytes", 20, 4) == want(rows, "bytes", 20)
 
 
 @pytest.mark.parametrize("seed", range(3))
 def test_words(spark, seed):
     rows = documents(seed, ["a", "b"] if seed == 0 else ["x", "yy", "zzz", "É", "w"], " ")
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert got(df, "words", 9, 2, (8, 4, 2, 1)) == want(rows, "words", 9)
-
-
-def test_pieces_of_long_texts(monkeypatch):
+    assert got(df, "words", 9) == want(rows, "words", 9)
+
+
+@pytest.mark.parametrize("unit", ["bytes", "words"])
+def test_many_blocks_pieces_and_groups(spark, monkeypatch, unit):
+    """Texts over many blocks, longer than pieces and chunks, with names in many groups."""
+    for name, value in (("BLOCK", 100), ("PIECE", 64), ("CHUNK", 16), ("PER_GROUP", 8), ("LEAST_GROUPS", 4)):
+        monkeypatch.setattr(repeats, name, value)
+    rows = documents(7, "abcdé" if unit == "bytes" else ["x", "yy", "zzz", "É", "w"], "" if unit == "bytes" else " ")
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    span, key = (20, 4) if unit == "bytes" else (9, None)
+    # workers import the module anew, so the functions that run there are called here
+    with np.errstate(over="ignore"):
+        assert local(rows, unit, span, key) == want(rows, unit, span)
+    monkeypatch.undo()
+    assert got(df, unit, span, *([key] if key else [])) == want(rows, unit, span)
+
+
+def local(rows, unit, span, key):
+    """The rounds of repeats.find in this process."""
+    import pyarrow as pa
+
+    groups = 16
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.null()]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*[(d, d, d, t, None) for d, t in rows]), types)], names=list("abcde"))
+
+    class Task:
+        @staticmethod
+        def get():
+            return Task
+
+        partitionId = staticmethod(lambda: 0)
+
+    repeats.TaskContext, kept = Task, repeats.TaskContext
+    try:
+        blocks = [b.to_pylist()[0] for b in repeats._packed(unit)(iter([batch]))]
+    finally:
+        repeats.TaskContext = kept
+    assert len(blocks) > 3
+    state, done = None, None
+    kind = pa.list_(pa.struct([("piece", pa.int32()), ("grp", pa.int32()), ("bits", pa.binary())]))
+
+    def batches(*fields):
+        for b in blocks:
+            mine = [s for s in state or () if s["block"] == b["block"]]
+            yield pa.RecordBatch.from_arrays([pa.array([mine if f == "state" else b[f]], type=kind if f == "state" else None) for f in fields], names=list(fields))
+
+    for now in repeats._rounds(unit, span, key):
+        sent = pa.Table.from_batches(repeats._send(unit, span, done, now, groups)(batches("block", "text", "open", "state"))).sort_by("grp")
+        state = [r for b in repeats._count(iter(sent.combine_chunks().to_batches())) for r in b.to_pylist()]
+        done = now
+    out = [r for b in repeats._cut(unit, span, done, groups)(batches("text", "state", "k1", "k2", "doc_id")) for r in b.to_pylist()]
+    return sorted(((r["doc_id"], r["n_units"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in out), key=repr)
+
+
+def test_anchors_of_pieces(monkeypatch):
     r = random.Random(5)
     text = "".join(r.choice("abc") for _ in range(3000))
-    whole = repeats.anchors(repeats.Bytes(text), 20, 4)
-    monkeypatch.setattr(repeats, "PIECE", 64)
-    for a, b in zip(whole, repeats.anchors(repeats.Bytes(text), 20, 4)):
-        assert (a == b).all()
+    with np.errstate(over="ignore"):
+        lo, hi, gram = repeats.anchors(repeats.Bytes([text]), 20, 4)
+        assert lo[0] == 0 and hi[-1] == 2980 and (lo[1:] == hi[:-1] + 1).all()
+        monkeypatch.setattr(repeats, "PIECE", 64)
+        cut = {s: g for a, z, g in zip(*repeats.anchors(repeats.Bytes([text]), 20, 4)) for s in range(a, z + 1)}
+    assert cut == {s: g for a, z, g in zip(lo, hi, gram) for s in range(a, z + 1)}
+
+
+def test_names_survive_the_way():
+    r = np.random.default_rng(2)
+    for n, top in ((1, 56), (2, 8), (500, 56), (500, 30), (3, 12)):
+        x = np.unique(r.integers(0, 1 << top, n, dtype=np.uint64))
+        steps = np.diff(x, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8)
+        used = next((w for w in range(8, 0, -1) if steps[1:, w - 1].any()), 1)
+        assert (repeats._names(steps[0].tobytes() + bytes([used]) + steps[1:, :used].tobytes()) == x).all()
 
 
 def test_odd_rows_with_production_parameters(spark, nasty, nothing):
     rows = nasty_rows()
     found = sorted((tuple(r) for r in suffix_dedup.find(nasty).collect()), key=repr)
     assert found == want(rows, "bytes", 400) and any(r[2] for r in found)
-    words = sorted((tuple(r) for r in substring_dedup.find(nasty).collect()), key=repr)
+    words = sorted(((r.doc_id, r.n_words, r.n_removed, r.n_spans, r.kept_sha256) for r in substring_dedup.find(nasty).collect()), key=repr)
     assert words == want(rows, "words", 35) and any(r[2] for r in words)
     left = substring_dedup.remove(nasty)
     assert left.columns == nasty.columns and left.count() == len(rows)
@@ -86,7 +148,7 @@ def test_odd_rows_with_production_parameters(spark, nasty, nothing):
     assert suffix_dedup.find(nothing).count() == 0 and substring_dedup.remove(nothing).count() == 0
 
 
-def test_levels_are_checked(nothing):
-    for levels in ((17, 8, 3, 1), (16, 1), (17, 8)):
+def test_key_is_checked(nothing):
+    for key in (None, 3, 32):
         with pytest.raises(ValueError):
-            repeats.find(nothing, "bytes", 20, 4, levels)
+            repeats.find(nothing, "bytes", 20, key)
