@@ -2,15 +2,14 @@
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
-STOP = (
-    "'the be to of and that have with in is was for on are as by at from or an a it this which "
-    "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als "
-    "de la le et les des en un du une que est pour qui dans par au sur pas plus avec "
-    "de la que el en y a los se del las por un para con no una su al lo'"
-)
+STOP = """case lang
+    when 'en' then 'the be to of and that have with in is was for on are as by at from or an a it this which'
+    when 'de' then 'der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als'
+    when 'fr' then 'de la le et les des en un du une que est pour qui dans par au sur pas plus avec'
+    when 'es' then 'de la que el en y a los se las del por un para con no una su al lo' end"""
 
 OP10 = rf"""
-with b as (select row_number() over () as rid, doc_id, coalesce(text, '') as t, {WORDS} as ws from documents),
+with b as (select row_number() over () as rid, doc_id, lang, coalesce(text, '') as t, {WORDS} as ws from documents),
 g as (select rid, unnest(range(1, len(ws) - 1)) as i, ws from b where len(ws) >= 3),
 h as (select rid, i, count(*) over (partition by rid, ws[i], ws[i + 1], ws[i + 2]) as n from g),
 rep as (select rid, count(distinct p) as n_repeat_words
@@ -32,7 +31,7 @@ f as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_fail
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   not base_failed and word_chars::double / greatest(n_words, 1) between 2.0e0 and 12.0e0
     and n_symbols::double / greatest(n_words, 1) <= 0.10e0
-    and n_stop::double / greatest(n_words, 1) >= 0.02e0
+    and coalesce(n_stop::double / greatest(n_words, 1) >= 0.02e0, true)
     and n_dup_lines::double / greatest(n_lines, 1) <= 0.50e0
     and n_ell::double / greatest(n_lines, 1) <= 0.50e0
     and n_cap::double / greatest(word_chars, 1) <= 0.50e0

@@ -123,7 +123,7 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, lab
     weights = np.log(share[1]) - np.log(share[0])
     scored = written(base.mapInArrow(_evidence(weights), "doc_id long, host string, path string, evidence double"), "evidence")
     bins = scored.join(F.broadcast(sample.filter("fold = 0")), "doc_id").groupBy(F.round("evidence", 2).alias("x"))
-    rows = bins.agg(F.sum(1 - F.col("y")).alias("bad"), F.sum("y").alias("good")).limit(10_000).collect()
+    rows = bins.agg(F.sum(1 - F.col("y")).alias("bad"), F.sum("y").alias("good")).collect()  # a mean log ratio to two digits: some thousand
     slope, intercept = _logistic([(r["x"], r["bad"], r["good"]) for r in rows]) if rows else (0.0, 0.0)
     p = 1 / (1 + F.exp(-(F.lit(slope) * F.col("evidence") + F.lit(intercept))))
     # labels are joined by id; both sides are tables, so a repeated id is split like any large key

@@ -5,8 +5,10 @@ projection takes from the text itself; no user function runs, nothing is shuffle
 is judged from its own row alone, so the plan is one scan however large the table is.
 
 Defined results: null text counts as empty and fails the base rule; repeated rows are judged
-alike; keep() passes all columns through; judge() adds its columns to those it is given.
-Word and line equality is judged on 64-bit hashes inside one document.
+alike; an empty table gives an empty one; a text of any length is one row's arrays in one task; the
+stop-word rule asks for words of the document's own language (the column lang, where there is one)
+and is skipped where that is null or not listed; keep() passes all columns through; judge() adds
+its columns to those it is given. Word and line equality is judged on 64-bit hashes inside one document.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ STOP_WORDS = {
     "es": "de la que el en y a los se del las por un para con no una su al lo",
 }
 
-# (name, lowest allowed, highest allowed); None leaves that side open.
+# (name, lowest allowed, highest allowed); None leaves that side open. A ratio that is null passes.
 RULES: tuple[tuple[str, float | None, float | None], ...] = (
     ("mean_word_chars", 2.0, 12.0),
     ("symbols_per_word", None, 0.10),
@@ -84,10 +86,18 @@ def repeat_words(words: Column, width: int = 3) -> Column:
     return let(words, count)
 
 
-def counts(df: DataFrame, text: str = "text") -> DataFrame:
-    """Add the counts that the contract and the rules need."""
+def is_stop_word(word: Column, lang: Column) -> Column:
+    """Null where the language has no list."""
+    out = F.lit(None).cast("boolean")
+    for name, listed in STOP_WORDS.items():
+        out = F.when(lang == name, word.isin(*sorted(set(listed.split())))).otherwise(out)
+    return out
+
+
+def counts(df: DataFrame, text: str = "text", lang: str | None = None) -> DataFrame:
+    """Add the counts that the contract and the rules need; lang is the column of the document's language."""
     t = F.coalesce(F.col(text), F.lit(""))
-    stop = F.array(*(F.lit(w) for w in sorted({w for v in STOP_WORDS.values() for w in v.split()})))
+    spoken = F.col(lang).cast("string") if lang else F.lit(None).cast("string")
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     df = df.withColumn("_words", words_of(F.col(text))).withColumn("_lines", F.transform(lines, lambda x: F.xxhash64(x)))
     return df.withColumns(
@@ -98,7 +108,7 @@ def counts(df: DataFrame, text: str = "text") -> DataFrame:
             "n_lines": F.size("_lines").cast("long"),
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
             "n_repeat_words": repeat_words(F.col("_words")).cast("long"),
-            "n_stop_words": F.size(F.filter("_words", lambda w: F.lower(w).isin(*sorted({w for v in STOP_WORDS.values() for w in v.split()})))).cast("long"),
+            "n_stop_words": F.when(spoken.isin(*STOP_WORDS), F.size(F.filter("_words", lambda w: is_stop_word(F.lower(w), spoken)))).cast("long"),
             "n_ellipsis_lines": F.regexp_count(t, F.lit(r"(?m)(?:\.\.\.|…)[ \t]*$")).cast("long"),
             "n_capitals": F.length(F.regexp_replace(t, r"\P{Lu}+", "")).cast("long"),
             "n_exclaims": F.length(F.regexp_replace(t, r"[^!?]+", "")).cast("long"),
@@ -121,20 +131,21 @@ def ratios() -> dict[str, Column]:
     }
 
 
-def judge(df: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
+def judge(df: DataFrame, text: str = "text", rules=RULES, lang: str | None = None) -> DataFrame:
     """Add the counts, base_failed and kept to every row."""
     r = ratios()
     ok = F.lit(True)
     for name, low, high in rules:
         if low is not None:
-            ok = ok & (r[name] >= F.lit(low))
+            ok = ok & F.coalesce(r[name] >= F.lit(low), F.lit(True))
         if high is not None:
-            ok = ok & (r[name] <= F.lit(high))
+            ok = ok & F.coalesce(r[name] <= F.lit(high), F.lit(True))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return counts(df, text).withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & ok)
+    return counts(df, text, lang).withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & ok)
 
 
-def keep(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
+def keep(docs: DataFrame, text: str = "text", rules=RULES, lang: str = "lang") -> DataFrame:
     """The documents, all columns, that the rules keep."""
-    judged = judge(wrap(docs, text=F.col(text)), rules=rules)
+    spoken = F.col(lang).cast("string") if lang in docs.columns else F.lit(None).cast("string")
+    judged = judge(wrap(docs, text=F.col(text), lang=spoken), rules=rules, lang="lang")
     return unwrap(judged.filter("kept").select(ROW))

@@ -59,7 +59,7 @@ def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    judged = quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), lang="lang")
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )

@@ -39,6 +39,16 @@ def test_rules_keep_prose_and_drop_junk(spark):
     assert got == [True, False]
 
 
+def test_stop_words_are_those_of_the_language(spark):
+    r = random.Random(2)
+    text = lambda some: " ".join(r.choice([*some.split(), *(f"wort{k}" for k in range(40))]) for _ in range(300))
+    en, de, it = text("the of and to in"), text("der die und mit nicht"), text("gli degli nella sono anche")
+    rows = [(1, en, "en"), (2, de, "de"), (3, de, "en"), (4, it, "it"), (5, it, None), (6, it, "es")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r.doc_id for r in quality_rules.keep(df).collect()} == {1, 2, 4, 5}
+    assert quality_rules.keep(df.drop("lang")).count() == 6
+
+
 def test_quality_rules_on_odd_rows(nasty, nothing):
     assert quality_rules.judge(nasty.select("doc_id", "text")).count() == len(nasty_rows())
     left = quality_rules.keep(nasty)
