@@ -6,13 +6,15 @@ keep the same gram, so every 13-word match yields at least one joined fingerprin
 fingerprint is extended left and right word by word, on the words themselves; runs of 13 words or
 more are hits. The test side keeps all positions of a kept hash, so ties cannot misalign it.
 
-Test fingerprints are joined in blocks of at most BLOCK rows, each one broadcast, so what is
-broadcast has a fixed bound and a larger test set costs more passes over the documents instead of
-more memory. Test items below 13 words are one window each and join on the hash of that window
-at every position, block by block as well.
+Up to BLOCK test fingerprints are broadcast with their words. Of more, only hashes are broadcast, HASHES at a
+time, and the few probes that they let through meet the items in a shuffle, with SPAN words around them. So
+what is broadcast has a fixed bound, and test sets beyond HASHES fingerprints cost further passes over the
+documents instead of memory. Test items below 13 words are one window each and join on the hash of that
+window at every position, in the same way.
 
-Documents flow through one stage (scan, fingerprints, broadcast join, extension); the only shuffle
-carries one small row per document and one per matched run, grouped by document.
+Documents flow through one stage (scan, fingerprints, broadcast join, extension); a shuffle
+carries one small row per document and one per matched run, grouped by document. The work on a text grows
+with its length; a very long one is one row, whose words and hashes one task holds.
 
 Defined results: null or wordless text has no words and is never hit; a wordless item is ignored; a
 null item id counts for hits and not for n_items; repeated rows are kept and judged alike; an empty
@@ -28,6 +30,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.quality_rules import let
 from lodestone.llm.rows import unwrap, wrap
+from lodestone.runtime import written
 
 SPLIT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -35,7 +38,7 @@ SPAN = 13
 K = 5
 WINDOW = SPAN - K + 1
 POS_BITS = 30
-BLOCK = 100_000
+BLOCK, HASHES = 100_000, 2_000_000
 
 
 def words_of(text: Column) -> Column:
@@ -131,7 +134,7 @@ def _run(same: Column) -> Column:
     return F.when(at == 0, F.size(same)).otherwise(at - 1).cast("int")
 
 
-def scan(docs: DataFrame, items: DataFrame, block: int = BLOCK) -> DataFrame:
+def scan(docs: DataFrame, items: DataFrame, block: int = BLOCK, hashes: int = HASHES) -> DataFrame:
     """One row per document: doc_id, text_hash, n_words, n_hit, spans, items."""
     index = item_index(items)
     sizes = {r["size"]: r["n"] for r in index.groupBy("size").agg(F.count("*").alias("n")).collect()}
@@ -145,17 +148,28 @@ def scan(docs: DataFrame, items: DataFrame, block: int = BLOCK) -> DataFrame:
             probes = F.transform(fingerprints(F.col("w")), lambda p: F.struct(_hash(p).alias("h"), _pos(p).alias("i")))
         else:
             probes = _short_grams(F.col("w"), width)
-        blocks = max(1, -(-n // block))
+        blocks = 1 if n <= block else -(-n // hashes)
         for b in range(blocks):
             first = not parts
             mine = index.filter((F.col("size") == size) & (F.pmod("fp", F.lit(blocks)) == b)).drop("size")
             if first:  # a null probe takes every document through, once a row
-                none = F.array(F.lit(None).cast("struct<h:bigint,i:int>"))
-                rows = base.select("doc_id", "text_hash", "n_words", "w", F.explode(F.concat(none, probes)).alias("p"))
-            else:
-                rows = base.select("doc_id", "text_hash", "n_words", "w", F.explode(probes).alias("p"))
+                probes = F.concat(F.array(F.lit(None).cast("struct<h:bigint,i:int>")), probes)
+            # exploded as a column of its own, so that generated code hands the words on to the join without a copy for
+            # each probe; outer, as Spark would else filter by the size of the list, and make it twice
+            rows = base.withColumn("ps", probes).select("doc_id", "text_hash", "n_words", "w", F.explode_outer("ps").alias("p"))
             rows = rows.withColumn("at", F.col("p.i")).withColumn("fp", F.col("p.h")).drop("p")
-            rows = rows.join(F.broadcast(mine), "fp", "left" if first else "inner")
+            how = "left" if first else "inner"
+            if n <= block:
+                rows = rows.join(F.broadcast(mine), "fp", how).withColumn("c", F.col("at"))
+            else:
+                known = mine.select("fp").distinct().withColumn("known", F.lit(True))
+                rows = rows.join(F.broadcast(known), "fp", how).filter(F.col("fp").isNull() | F.col("known"))
+                lead = F.least("at", F.lit(SPAN))
+                around = F.slice("w", F.col("at") - lead + 1, lead + width + SPAN)
+                # null probes, one a document, are dealt out by document
+                key = F.coalesce("fp", F.xxhash64("doc_id", "text_hash"))
+                rows = rows.select("doc_id", "text_hash", "n_words", "at", "fp", lead.alias("c"), around.alias("w"), key.alias("key"))
+                rows = rows.join(mine.withColumnRenamed("fp", "found"), (F.col("key") == F.col("found")) & F.col("fp").isNotNull(), how)
             if first:
                 rows = rows.filter(F.col("fp").isNull() | F.col("mid").isNotNull())
             parts.append(_extend(rows))
@@ -181,16 +195,17 @@ def scan(docs: DataFrame, items: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def _extend(rows: DataFrame) -> DataFrame:
-    w, at, mid = F.col("w"), F.col("at"), F.col("mid")
+    """Hits of joined probes: fp stands at word `at` of the text, and at word c of w."""
+    w, at, c, mid = F.col("w"), F.col("at"), F.col("c"), F.col("mid")
 
     def left_of(x: Column, j: Column) -> Column:
-        return F.coalesce(x == F.get(w, at - 1 - j), F.lit(False))
+        return F.coalesce(x == F.get(w, c - 1 - j), F.lit(False))
 
     def right_of(x: Column, j: Column) -> Column:
-        return F.coalesce(x == F.get(w, at + F.size(mid) + j), F.lit(False))
+        return F.coalesce(x == F.get(w, c + F.size(mid) + j), F.lit(False))
 
     n = F.size(mid)
-    whole = F.forall(F.transform(mid, lambda x, j: F.coalesce(x == F.get(w, at + j), F.lit(False))), lambda b: b)
+    whole = F.forall(F.transform(mid, lambda x, j: F.coalesce(x == F.get(w, c + j), F.lit(False))), lambda b: b)
     rows = rows.withColumn("l", _run(F.transform(F.reverse("left"), left_of))).withColumn("r", _run(F.transform(F.col("right"), right_of)))
     need = F.when((n == K) & (F.size("left") + F.size("right") > 0), F.lit(SPAN)).otherwise(n)
     return rows.select(
@@ -205,6 +220,7 @@ def _extend(rows: DataFrame) -> DataFrame:
 def decontaminate(docs: DataFrame, items: DataFrame, share: int = 20) -> DataFrame:
     """The documents (all their columns) without the contaminated ones."""
     bad = scan(docs, items).filter(contaminated(share)).select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash")).distinct()
+    bad = written(bad, "contaminated")  # of known size: where it is small the documents are not shuffled
     rows = wrap(docs, id=F.col("doc_id"), hash=F.xxhash64("text"))
     same = F.col("id").eqNullSafe(F.col("bad_id")) & (F.col("hash") == F.col("bad_hash"))
     return unwrap(rows.join(bad, same, "left_anti"))

@@ -100,6 +100,28 @@ def test_every_shared_window_is_found(spark, alphabet, block):
     items += [(50 + i, " ".join((docs[r.randrange(40)][1].split() * 2)[: r.choice([9, 13, 25])]).upper()) for i in range(8)] + [(None, docs[5][1]), (51, None)]
     d, t = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     assert ours(d, t, block=block) == brute(docs, items)
+    assert ours(d, t, block=1, hashes=block) == brute(docs, items)
+
+
+def test_work_grows_with_the_length_of_a_text(spark):
+    """A text four times as long may take eight times as long at most, apart from what any query takes."""
+    import time
+
+    r = random.Random(1)
+    item = [f"item{k}" for k in range(40)]
+    t = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    took = []
+    for n in (60_000, 240_000):
+        words = [f"w{r.randrange(50_000)}" for _ in range(n)]
+        words[n // 2 : n // 2] = item
+        d = spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string")
+        runs = []
+        for _ in range(2):
+            began = time.time()
+            assert [(x.n_words, x.n_hit) for x in decontaminate.scan(d, t).collect()] == [(n + 40, 40)]
+            runs.append(time.time() - began)
+        took.append(min(runs))
+    assert took[1] <= 8 * took[0] + 2, took
 
 
 def test_decontamination_of_odd_rows(spark, nasty, nothing):
