@@ -242,12 +242,12 @@ def find(docs: DataFrame, threshold: int = THRESHOLD, min_length: int = MIN_LENG
     shared = written(dealt.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_shared, "key long, id long"), "shared")
     release(spark)
     ids = shared.select(F.col("id").alias("h1")).distinct()
-    texts = base.select("text").mapInArrow(_texts(min_length), "h1 long, h2 long, text string").join(ids.hint("shuffle_hash"), "h1", "left_semi")
+    texts = base.select("text").mapInArrow(_texts(min_length), "h1 long, h2 long, text string").join(ids, "h1", "left_semi")
     texts = texts.groupBy("h1", "h2").agg(F.first("text").alias("text")).join(firsts, ["h1", "h2"])
     texts = written(texts.select("h1", "h2", "text", "first.*"), "texts")
     release(spark)
-    sizes = shared.groupBy("key").agg(F.ceil(F.count("*") / CHUNK).alias("m"))
-    chunked = shared.join(written(sizes, "sizes"), "key").withColumn("c", F.pmod(F.xxhash64("id", "key"), F.col("m")))
+    sizes = written(shared.groupBy("key").agg(F.ceil(F.count("*") / CHUNK).alias("m")), "sizes")
+    chunked = shared.join(sizes, "key").withColumn("c", F.pmod(F.xxhash64("id", "key"), F.col("m")))
     pairs = chunked.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)))
     pairs = pairs.select("key", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), (F.col("c") > F.col("o")).cast("int").alias("side"), F.col("id").alias("h1"))
     rows = pairs.join(texts, "h1").select("key", "i", "j", "side", F.col("none").cast("int").alias("none"), "doc_id", "k1", "k2", "line", "h1", "h2", "text")
@@ -257,7 +257,11 @@ def find(docs: DataFrame, threshold: int = THRESHOLD, min_length: int = MIN_LENG
     discard(firsts)
     release(spark)
     lost = lines.join(judged, ["h1", "h2"]).filter(F.col("near") | (order != F.col("first")))
-    return written(lost.select("k1", "k2", "line", (order == F.col("first")).alias("near")), "lost")
+    lost = written(lost.select("k1", "k2", "line", (order == F.col("first")).alias("near")), "lost")
+    for t in (lines, shared, sizes, texts, judged):
+        discard(t)
+    release(spark)
+    return lost
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,7 +280,7 @@ def apply(docs: DataFrame, lost: DataFrame, doc_id: str = "doc_id", text: str =
     """Each document as one struct, with kept (the text left), n_lines and n_kept (lines with a word)."""
     lists = lost.groupBy("k1", "k2").agg(F.collect_set("line").alias("gone"))
     rows = wrap(docs, text=F.col(text), k1=F.xxhash64(F.col(doc_id).cast("long"), F.col(text)), k2=F.xxhash64(text, F.lit(_SEED)))
-    rows = rows.join(lists.hint("shuffle_hash"), ["k1", "k2"], "left").select(ROW, "text", "gone")
+    rows = rows.join(lists, ["k1", "k2"], "left").select(ROW, "text", "gone")
     added = [T.StructField("kept", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_kept", T.LongType())]
     return rows.mapInArrow(_cut, T.StructType([rows.schema[ROW], *added]))
 
