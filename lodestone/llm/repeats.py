@@ -12,10 +12,12 @@ elsewhere is counted in Spark:
 Bytes are ranked by prefix doubling (see suffix_dedup): a name of 2m bytes at i is made from the pair of names at
 i and i + m; positions whose name is found once are left out of the next round; the last offset is the one
 that reaches the span. Words have one round: the Rabin-Karp sums of every window (see substring_dedup). A
-last round counts an independent second name of the span, so a string is repeated if 112 bits are.
+last round counts an independent second name of the span. A string that is found once is taken for repeated
+only if its name collides in every round: at 100 TB, with names of 64 bits, that is one window of words in 10 ** 12,
+and with 56 bits in the four rounds of bytes one in 10 ** 13.
 
-The names of a round are two (words) or one (bytes) of 56 bits at most a position and round. A group has some
-PER_GROUP names until there are MOST_GROUPS of them; from 10 ** 11 names on a group grows with the input instead.
+A group has some PER_GROUP names until there are MOST_GROUPS groups; beyond 10 ** 11 names a group, and the
+memory of the task that counts it, grows with the input instead (MOST_GROUPS trades that for more rows).
 
 Defined results: null text is empty; a document shorter than the span has nothing to remove; of repeated rows
 each is a document of its own, so both lose what they share; matches never cross documents; an empty table
@@ -40,7 +42,6 @@ from lodestone.runtime import discard, release, written
 
 POS_BITS = 24
 POS_MASK = np.uint64((1 << POS_BITS) - 1)
-NAME_BITS = 56
 BLOCK = PIECE = 1 << 21
 PER_GROUP, LEAST_GROUPS, MOST_GROUPS = 1 << 20, 1 << 10, 1 << 17
 CHUNK = 1 << 16
@@ -80,6 +81,8 @@ def doubled(names: np.ndarray, size: int, which: int) -> np.ndarray:
 class Bytes:
     """Texts as UTF-8 bytes, one after the other."""
 
+    bits = 56
+
     def __init__(self, texts: list[str | None]):
         parts = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
         self.bounds = np.concatenate([[0], np.cumsum([len(p) for p in parts], dtype=np.int64)])
@@ -101,6 +104,8 @@ class Bytes:
 class Words:
     """Texts as words between white space, unchanged; names are Rabin-Karp sums over mixed hashes of words."""
 
+    bits = 64
+
     def __init__(self, texts: list[str | None]):
         parts = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
         self.data = b"\n".join(parts)
@@ -237,12 +242,13 @@ def _valid(seq, span: int) -> np.ndarray:
     return np.cumsum(marks[:-1]) == 0
 
 
-def _shift(groups: int) -> np.uint64:
-    return np.uint64(NAME_BITS - (groups - 1).bit_length())
+def _named(seq, which: tuple[int, int], a: int, z: int) -> np.ndarray:
+    return seq.names(*which, a, z) >> np.uint64(64 - seq.bits)
 
 
-def _borders(once: np.ndarray, groups: int) -> np.ndarray:
-    return np.searchsorted(once, np.arange(groups + 1, dtype=np.uint64) << _shift(groups))
+def _borders(seq, once: np.ndarray, groups: int) -> np.ndarray:
+    """Where the names of each group begin among sorted ones."""
+    return np.searchsorted(once >> np.uint64(seq.bits - (groups - 1).bit_length()), np.arange(groups + 1, dtype=np.uint64))
 
 
 def _alive(seq, span: int, done: tuple[int, int] | None, start: bytes | None, state: list | None, groups: int) -> np.ndarray:
@@ -258,13 +264,13 @@ def _alive(seq, span: int, done: tuple[int, int] | None, start: bytes | None, st
     for p, bits in pieces.items():
         a, z = p * PIECE, min(n, (p + 1) * PIECE)
         at = np.flatnonzero(np.unpackbits(np.frombuffer(bits[min(bits)], np.uint8), bitorder="little", count=z - a))
-        x = seq.names(*done, a, z)[at] >> np.uint64(64 - NAME_BITS)
+        x = _named(seq, done, a, z)[at]
         order = np.argsort(x)
         x = x[order]
         new = np.concatenate([[True], x[1:] != x[:-1]])
         first = np.flatnonzero(new)
         repeated = np.diff(np.append(first, len(x))) > 1
-        cuts = _borders(x[first], groups)
+        cuts = _borders(seq, x[first], groups)
         for g, b in bits.items():
             if g >= 0:
                 repeated[cuts[g] : cuts[g + 1]] |= np.unpackbits(np.frombuffer(b, np.uint8), bitorder="little", count=int(cuts[g + 1] - cuts[g])).astype(bool)
@@ -294,9 +300,9 @@ def _send(unit: str, span: int, done: tuple[int, int] | None, now: tuple[int, in
                     here = alive[a:z]
                     if not here.any():
                         continue
-                    x = np.sort(seq.names(*now, a, z)[here] >> np.uint64(64 - NAME_BITS))
+                    x = np.sort(_named(seq, now, a, z)[here])
                     x = x[np.concatenate([[True], x[1:] != x[:-1]])]
-                    cuts = _borders(x, groups)
+                    cuts = _borders(seq, x, groups)
                     full = np.flatnonzero(np.diff(cuts))
                     # the first name of a group as it is, the others less the one before
                     steps = np.diff(x, prepend=np.uint64(0))
@@ -427,22 +433,26 @@ def find(docs: DataFrame, unit: str, span: int, key: int | None = None, doc_id:
         some = keyed.withColumn("ranges", F.lit(None).cast("array<struct<lo:bigint,hi:bigint>>"))
     blocks = written(some.mapInArrow(_packed(unit), BLOCKS), "blocks")
     release(spark)
-    # PIECE * bits: how many names there can be
     n = blocks.agg(F.sum("n").alias("n")).first()["n"] or 0
     groups = min(MOST_GROUPS, max(LEAST_GROUPS, 1 << (n // PER_GROUP).bit_length()))
-    rounds, state, done = _rounds(unit, span, key), None, None
-    for now in rounds:
-        rows = blocks.select("block", "text", "open", F.lit(None).cast("array<struct<piece:int,grp:int,bits:binary>>").alias("state")) if state is None else _with(blocks, state, "inner").select("block", "text", "open", "state")
-        sent = rows.mapInArrow(_send(unit, span, done, now, groups), SENT)
-        found = written(sent.repartition("grp").sortWithinPartitions("grp").mapInArrow(_count, SENT), "repeated")
+    state = done = None
+    for now in _rounds(unit, span, key):
+        found = _round(blocks, state, unit, span, done, now, groups)
         if state is not None:
             discard(state)
         state, done = found, now
-        release(spark)
+        release(spark)  # the names of the round are shuffle files that nothing refers to any more
     last = _with(blocks, state, "left").select("text", "state", "k1", "k2", "doc_id")
     return last.mapInArrow(_cut(unit, span, done, groups), CUT)
 
 
+def _round(blocks: DataFrame, state: DataFrame | None, unit: str, span: int, done: tuple[int, int] | None, now: tuple[int, int], groups: int) -> DataFrame:
+    """Which names of this round each piece shares with another, and the positions it has sent them for."""
+    rows = blocks.withColumn("state", F.lit(None).cast("array<struct<piece:int,grp:int,bits:binary>>")) if state is None else _with(blocks, state, "inner")
+    sent = rows.select("block", "text", "open", "state").mapInArrow(_send(unit, span, done, now, groups), SENT)
+    return written(sent.repartition("grp").sortWithinPartitions("grp").mapInArrow(_count, SENT), "repeated")
+
+
 def _with(blocks: DataFrame, state: DataFrame, how: str) -> DataFrame:
     lists = state.groupBy("block").agg(F.collect_list(F.struct("piece", "grp", "bits")).alias("state"))
     return blocks.join(lists, "block", how)
