@@ -7,9 +7,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from contextvars import ContextVar
 from datetime import datetime, timezone
+from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,9 +22,13 @@ from lodestone.operators import bm25 as B
 from lodestone.operators import chunking, evaluate, fusion, incremental, presentation, semantic
 from lodestone.operators import index as I
 from lodestone.operators.filters import Filters, parse
-from lodestone.runtime import table
+from lodestone.runtime import scratch, table, written
+from lodestone.settings import Settings
+from lodestone.sources import kb as live
+from lodestone.sources import paths, store
 
 Query = Callable[[SparkSession, str], DataFrame]
+SPACES = r"[ \t\n\x0B\f\r]+"
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
@@ -69,16 +74,12 @@ def chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def index(spark: SparkSession, sf: str) -> I.Index:
-    return I.build(chunks(spark, sf))
-
-
-_WHOLE_TEXTS: ContextVar[bool] = ContextVar("whole_texts", default=False)
+    return I.build(written(chunks(spark, sf), "chunks"))
 
 
 def asked(spark: SparkSession, sf: str) -> DataFrame:
-    """The first eight words of every benchmark text; in the queries named _whole, the text."""
-    query = F.col("text") if _WHOLE_TEXTS.get() else F.array_join(F.slice(F.split("text", r"\s+"), 1, 8), " ")
-    return table(spark, sf, "benchmark").select(F.col("item_id").cast("long").alias("qid"), query.alias("query"))
+    """Every benchmark text is a query."""
+    return table(spark, sf, "benchmark").select(F.col("item_id").cast("long").alias("qid"), F.col("text").alias("query"))
 
 
 def vectored(spark: SparkSession, sf: str) -> tuple[I.Index, DataFrame]:
@@ -93,6 +94,20 @@ def r6(c: str | Column) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, 6)
 
 
+def mapped(fn: Callable, type_: str):
+    """A function of one or two strings as a Pandas UDF."""
+
+    @F.pandas_udf(type_)
+    def one(a: pd.Series) -> pd.Series:
+        return a.map(fn)
+
+    @F.pandas_udf(type_)
+    def two(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([fn(x, y) for x, y in zip(a, b)])
+
+    return lambda *columns: (one if len(columns) == 1 else two)(*columns)
+
+
 def longs(df: DataFrame) -> DataFrame:
     """Integers as longs, as SQL gives them."""
     return df.select(*(F.col(c).cast("long") if t == "int" else F.col(c) for c, t in df.dtypes))
@@ -127,14 +142,8 @@ def query_terms(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", "text", F.array_join(X.query_terms(F.col("text")), " ").alias("terms"))
 
 
-@register(f"select conv_id, turn, substr(text, 1, 40) as query, {S.keywordish('substr(text, 1, 40)')} as keywordish from conversations")
-def keywordish(spark, sf):
-    q = F.substring("text", 1, 40)
-    return table(spark, sf, "conversations").select("conv_id", "turn", q.alias("query"), X.keywordish(q).alias("keywordish"))
-
-
 @register(f"select conv_id, turn, text as query, {S.keywordish('text')} as keywordish from conversations")
-def keywordish_whole(spark, sf):
+def keywordish(spark, sf):
     q = F.col("text")
     return table(spark, sf, "conversations").select("conv_id", "turn", q.alias("query"), X.keywordish(q).alias("keywordish"))
 
@@ -363,50 +372,31 @@ def normalize_rows(spark, sf):
 
 
 _NEAREST = """
-qv as (select vec_id as qid, embedding as e from embeddings where vec_id < 10),
+qv as (select vec_id as qid, embedding as e from embeddings where vec_id % 50 = 0),
 nn as (select qid, vec_id, round(list_sum(list_transform(list_zip(e, embedding), lambda p: p[1]::double * p[2]::double))
     / sqrt(list_sum(list_transform(e, lambda x: x::double * x::double))) / sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))), 9) as cosine
   from qv cross join embeddings)"""
 
 
-def _vector_table(spark, sf) -> tuple[DataFrame, DataFrame]:
-    e = table(spark, sf, "embeddings")
+def _vector_table(spark, sf) -> DataFrame:
     key = [F.lit("all").alias("collection"), F.lpad(F.col("vec_id").cast("string"), 12, "0").alias("path"), F.lit(0).alias("chunk_index")]
-    return e.select(*key, "embedding"), e.filter("vec_id < 10").select(F.col("vec_id").alias("qid"), "embedding")
-
-
-@register(f"with {_NEAREST} select qid, vec_id, cosine as cosine from nn")
-def cosine_exact(spark, sf):
-    e = table(spark, sf, "embeddings")
-    q = e.filter("vec_id < 10").select(F.col("vec_id").alias("qid"), semantic.normalized(F.col("embedding")).alias("e"))
-    # ten query vectors, by definition of the query
-    rows = e.select("vec_id", semantic.normalized(F.col("embedding")).alias("v")).crossJoin(F.broadcast(q))
-    return rows.select("qid", "vec_id", F.round(semantic.dot(F.col("e"), F.col("v")), 9).alias("cosine"))
-
-
-@register(f"with {_NEAREST} select * from (select qid, vec_id, cosine as cosine, row_number() over (partition by qid order by cosine desc, vec_id) as pool_rank from nn) x where pool_rank <= 50")
-def semantic_pool(spark, sf):
-    rows = semantic.cosine_pool(*_vector_table(spark, sf), 50)
-    return longs(rows.select("qid", F.col("path").cast("long").alias("vec_id"), F.col("cosine").alias("cosine"), "pool_rank"))
-
-
-_NEAREST_WHOLE = _NEAREST.replace("where vec_id < 10", "where vec_id % 50 = 0")
+    return table(spark, sf, "embeddings").select(*key, "embedding")
 
 
 def _every_50th(spark, sf) -> DataFrame:
+    """The stated query set: every vector whose id is divisible by 50, asked against all."""
     return table(spark, sf, "embeddings").filter("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), "embedding")
 
 
-@register(f"with {_NEAREST_WHOLE} select qid, vec_id, cosine as cosine from nn")
-def cosine_exact_whole(spark, sf):
-    q = _every_50th(spark, sf).select("qid", semantic.normalized(F.col("embedding")).alias("e"))
-    rows = table(spark, sf, "embeddings").select("vec_id", semantic.normalized(F.col("embedding")).alias("v")).crossJoin(q)
-    return rows.select("qid", "vec_id", F.round(semantic.dot(F.col("e"), F.col("v")), 9).alias("cosine"))
+@register(f"with {_NEAREST} select qid, vec_id, cosine as cosine from nn")
+def cosine_exact(spark, sf):
+    rows = semantic.cosine_all(_vector_table(spark, sf), _every_50th(spark, sf))
+    return rows.select("qid", F.col("path").cast("long").alias("vec_id"), "cosine")
 
 
-@register(f"with {_NEAREST_WHOLE} select * from (select qid, vec_id, cosine as cosine, row_number() over (partition by qid order by cosine desc, vec_id) as pool_rank from nn) x where pool_rank <= 50")
-def semantic_pool_whole(spark, sf):
-    rows = semantic.cosine_pool(_vector_table(spark, sf)[0], _every_50th(spark, sf), 50)
+@register(f"with {_NEAREST} select * from (select qid, vec_id, cosine as cosine, row_number() over (partition by qid order by cosine desc, vec_id) as pool_rank from nn) x where pool_rank <= 50")
+def semantic_pool(spark, sf):
+    rows = semantic.cosine_pool(_vector_table(spark, sf), _every_50th(spark, sf), 50)
     return longs(rows.select("qid", F.col("path").cast("long").alias("vec_id"), F.col("cosine").alias("cosine"), "pool_rank"))
 
 
@@ -619,9 +609,19 @@ _EVAL = f"with {S.SCORED}{S.keyword(5)}, {_GOLD}"
 
 
 def golden(spark, sf) -> DataFrame:
-    """Items that some document holds verbatim, with the first such path."""
-    items = table(spark, sf, "benchmark").select(F.col("item_id").cast("long").alias("query_id"), "text")
-    found = docs(spark, sf).join(items, F.contains(F.col("content"), F.col("text")))
+    """Items that some document holds verbatim, with the first such path.
+
+    An item of seven words or more meets documents at its second to fifth word, which stand in the
+    document as they are; shorter ones, of which a golden set has few, are looked for in every document."""
+    items = table(spark, sf, "benchmark").select(F.col("item_id").cast("long").alias("query_id"), "text", F.split("text", SPACES).alias("w"))
+    content = docs(spark, sf).select("path", "content", F.split("content", SPACES).alias("w"))
+    gram = lambda w, i: F.xxhash64(*(F.get(w, i + k) for k in range(4)))
+    at = F.array_distinct(F.transform(F.slice("w", 1, F.greatest(F.size("w") - 3, F.lit(0))), lambda x, i: gram(F.col("w"), i)))
+    keyed = content.withColumn("keys", at).select("path", "content", F.explode_outer("keys").alias("key"))
+    long = keyed.join(items.filter(F.size("w") >= 7).select("query_id", "text", gram(F.col("w"), F.lit(1)).alias("key")), "key")
+    short = content.join(items.filter(F.size("w") < 7).select("query_id", "text"), F.contains(F.col("content"), F.col("text")))
+    both = long.select("query_id", "path", "content", "text").unionByName(short.select("query_id", "path", "content", "text"))
+    found = both.filter(F.contains(F.col("content"), F.col("text")))
     return found.groupBy("query_id").agg(F.min("path").alias("expected_path")).withColumn("alternate_paths", F.lit(None).cast("array<string>"))
 
 
@@ -714,21 +714,211 @@ def battle_aggregate(spark, sf):
     return evaluate.battle(results(spark, sf)).withColumn("mrr", r6("mrr"))
 
 
-# --- whole texts: every query above that asks prefixes of the benchmark texts, with the texts as they are
+# --- sources: the documents as files of a folder
+
+
+def _folder(spark, sf) -> str:
+    """A folder that executors share, with a file for each document, some of them hidden, ignored or empty."""
+    root = Path(scratch(spark, "kb").removeprefix("file://"))
+    for r in kb(spark, sf).select("doc_id", "path", "content").toLocalIterator():
+        file = root / r.path
+        file.parent.mkdir(parents=True, exist_ok=True)
+        file.write_bytes(b"" if r.doc_id % 19 == 0 else r.content.encode("utf-8"))
+    (root / paths.IGNORE_FILE).write_text("src3/\n/src1/d1*\n!src1/d11*\n*.yaml\n!src2/**\n", encoding="utf-8")
+    return str(root)
+
+
+_SEEN = """not starts_with(path, 'src3/') and case when starts_with(path, 'src2/') then true when extension = '.yaml' then false
+    when regexp_matches(path, '^src1/d11') then true else not regexp_matches(path, '^src1/d1[^/]*$') end"""
+_BYTES = "case when doc_id % 19 = 0 then '' else content end"
+
+
+@register(f"with {S.KB} select path, extension, cast(strlen({_BYTES}) as bigint) as size, sha256({_BYTES}) as content_sha, case when doc_id % 19 = 0 then 'empty' else 'captured' end as capture from docs where {_SEEN}")
+def scan_kb(spark, sf):
+    return live.files(spark, _folder(spark, sf)).select("path", "extension", "size", "content_sha", "capture")
+
+
+@register(f"with {S.KB} select path, {_SEEN} as kept from docs")
+def ignore_rules(spark, sf):
+    rules = paths.IgnoreRules("src3/\n/src1/d1*\n!src1/d11*\n*.yaml\n!src2/**\n")
+    ignored = mapped(rules.ignored, "boolean")
+    return docs(spark, sf).select("path", (~ignored("path")).alias("kept"))
+
+
+@register(f"with {S.KB} select path, replace(replace({_BYTES}, chr(13) || chr(10), chr(10)), chr(13), chr(10)) as content from docs where {_SEEN}")
+def read_text(spark, sf):
+    return live.files(spark, _folder(spark, sf)).select("path", "content")
+
+
+@register(f"with {S.KB} select path, title, folder from docs where {_SEEN} and doc_id % 19 <> 0")
+def capture_source(spark, sf):
+    """Files to documents: empty ones stay out."""
+    return live.documents(live.files(spark, _folder(spark, sf)), "all").select("path", "title", "folder")
+
+
+@register(f"with {S.KB} select path, split_part(path, '/', 1) as folder, list_last(string_split(path, '/')) as name from docs where {_SEEN}")
+def rel_path(spark, sf):
+    return live.files(spark, _folder(spark, sf)).select("path", D.folder(F.col("path")).alias("folder"), D.basename(F.col("path")).alias("name"))
+
+
+def _fronted(spark, sf) -> DataFrame:
+    lead = F.concat(F.lit("---\ntitle: Doc "), F.col("doc_id"), F.lit("\naliases: [A"), F.col("doc_id"), F.lit(", 'b c']\nstatus: Superseded\n---\n"))
+    return table(spark, sf, "documents").select("doc_id", F.concat(F.when(F.col("doc_id") % 3 == 0, lead).otherwise(F.lit("")), F.coalesce("text", F.lit(""))).alias("content"))
+
+
+@register("select doc_id, case when doc_id % 3 = 0 then 'Doc ' || doc_id else '' end as title, case when doc_id % 3 = 0 then 'superseded' else '' end as status, coalesce(text, '') as body from documents")
+def frontmatter_split(spark, sf):
+    rows = _fronted(spark, sf).withColumn("f", D.front_matter(F.col("content")))
+    return rows.select("doc_id", "f.title", "f.status", "f.body")
+
+
+@register("select doc_id, case when doc_id % 3 = 0 then 'A' || doc_id || '; b c' else '' end as aliases from documents")
+def frontmatter_alias_keys(spark, sf):
+    return _fronted(spark, sf).withColumn("f", D.front_matter(F.col("content"))).select("doc_id", F.array_join("f.aliases", "; ").alias("aliases"))
+
+
+# --- parts of the chunker
+
+
+@register(f"with {S.KB} select path, cast(0 as bigint) as chunk_index, regexp_replace('Document: ' || title || chr(10) || 'Folder: ' || folder || chr(10) || chr(10) || case when aliases <> '' then 'Also known as: ' || aliases || chr(10) || chr(10) else '' end, '[\\s\\p{{Z}}]+$', '') as text from docs")
+def empty_source(spark, sf):
+    """Documents without a body keep one chunk, that of their card."""
+    return longs(chunking.build_chunks(docs(spark, sf).withColumn("content", F.lit(" \n"))).select("path", "chunk_index", "text"))
+
 
+def _chunker(name: str, type_: str):
+    """A method of the chunker as a column function."""
+    made = chunking.Chunker()
+    return mapped(lambda *a: getattr(made, name)(*a), type_)
 
-def _whole(fn: Query) -> Query:
-    def run(spark, sf):
-        token = _WHOLE_TEXTS.set(True)
-        try:
-            return fn(spark, sf)
-        finally:
-            _WHOLE_TEXTS.reset(token)
 
-    return run
+@register("select doc_id, case when doc_id % 8 between 1 and 6 then cast(doc_id % 8 as bigint) end as level from documents")
+def heading_level(spark, sf):
+    section = F.concat(F.lit("\n \n"), F.repeat(F.lit("#"), (F.col("doc_id") % 8).cast("int")), F.lit(" "), F.coalesce("text", F.lit("")))
+    section = F.when(F.col("doc_id") % 8 == 0, F.lit("plain")).otherwise(section)
+    return table(spark, sf, "documents").select("doc_id", _chunker("level", "long")(section).alias("level"))
 
 
-for _name, _sql in list(ORACLES.items()):
-    if S.QUERIES in _sql:
-        QUERIES[f"{_name}_whole"] = _whole(QUERIES[_name])
-        ORACLES[f"{_name}_whole"] = _sql.replace(S.QUERIES, S.WHOLE_QUERIES)
+@register(f"with {S.CHUNKS} select path, cast(chunk_index as bigint) as chunk_index, case when before is not null and length(right(before, 100)) + 2 + length(piece) <= 1500 then right(before, 100) || chr(10) || chr(10) || piece else piece end as joined from (select path, chunk_index, piece, lag(piece) over (partition by collection, path order by chunk_index) as before from ch) x")
+def overlap_prefix(spark, sf):
+    before = F.coalesce(F.lag("piece").over(Window.partitionBy("collection", "path").orderBy("chunk_index")), F.lit(""))
+    return longs(chunks(spark, sf).select("path", "chunk_index", _chunker("_after", "string")(before, F.col("piece")).alias("joined")))
+
+
+def _paragraphed(spark, sf) -> DataFrame:
+    """Texts with blank lines between their lines."""
+    return table(spark, sf, "documents").select("doc_id", F.regexp_replace(F.coalesce("text", F.lit("")), "\n", "\n\n").alias("text"))
+
+
+@register()
+def chunk_paragraphs(spark, sf):
+    return _paragraphed(spark, sf).select("doc_id", F.posexplode_outer(_chunker("paragraphs", "array<string>")(F.col("text"))).alias("at", "piece"))
+
+
+@register()
+def heading_context(spark, sf):
+    section = F.concat(F.lit("## Part\n### Detail\n\n"), F.col("text"))
+    return _paragraphed(spark, sf).filter("text <> ''").select("doc_id", F.posexplode_outer(_chunker("_large", "array<string>")(section)).alias("at", "piece"))
+
+
+@register()
+def merge_tiny(spark, sf):
+    return _paragraphed(spark, sf).select("doc_id", F.posexplode_outer(_chunker("_merge", "array<string>")(F.split("text", "\n\n"))).alias("at", "piece"))
+
+
+@register(f"with {S.CHUNKS} select collection, path, cast(chunk_index as bigint) as chunk_index, cast(chunk_count as bigint) as chunk_count, title, folder, extension, aliases, status, piece, text from ch")
+def build_chunks(spark, sf):
+    return longs(chunks(spark, sf).select("collection", "path", "chunk_index", "chunk_count", "title", "folder", "extension", "aliases", "status", "piece", "text"))
+
+
+# --- stopwords, ranks and evidence
+
+
+def _document_words(spark, sf) -> DataFrame:
+    return table(spark, sf, "documents").select(F.explode_outer(F.regexp_extract_all(F.lower("text"), F.lit(X.TERM), F.lit(0))).alias("word")).filter("word is not null").distinct()
+
+
+_WORDS_OF = "(select distinct unnest(regexp_extract_all(lower(text), '[A-Za-z0-9_/-]+')) as word from documents) w"
+
+
+@register(f"select word, word in {S._list(X.STOPWORDS)} as stops from {_WORDS_OF}")
+def stopwords_bm25(spark, sf):
+    return _document_words(spark, sf).select("word", F.col("word").isin(*X.STOPWORDS).alias("stops"))
+
+
+@register(f"select word, {S.norm('word')} in {S._list(X.RANK_STOPWORDS)} as stops from {_WORDS_OF}")
+def stopwords_rank(spark, sf):
+    return _document_words(spark, sf).select("word", X.normal_term(F.col("word")).isin(*X.RANK_STOPWORDS).alias("stops"))
+
+
+@register(f"with {S.SCORED} select qid, collection, count(*) as chunks, min(score) > 0 as positive from sc where score > 0 group by qid, collection")
+def bm25_positive(spark, sf):
+    rows = B.pool(B.chunk_scores(index(spark, sf), asked(spark, sf)), 1 << 30)
+    return rows.groupBy("qid", "collection").agg(F.count("*").alias("chunks"), (F.min("score") > 0).alias("positive"))
+
+
+@register(f"with {S.SCORED}{S.keyword(3)} {_KW}")
+def bm25_topk(spark, sf):
+    return _evidence(B.keyword_search(index(spark, sf), asked(spark, sf), 3))
+
+
+@register(f"with {S.SCORED}{S.keyword(10)} select {_KEY}, chunk_score as chunk_score, score as file_score, support, round(overlap, 6) as overlap, covers_query, names_query from kw")
+def bm25_evidence(spark, sf):
+    rows = B.keyword_search(index(spark, sf), asked(spark, sf), 10)
+    return longs(rows.select("qid", *I.KEY, "chunk_score", F.col("score").alias("file_score"), "support", r6("overlap").alias("overlap"), "covers_query", "names_query"))
+
+
+@register(f"{_BASE} select path, cast(chunk_index as bigint) as chunk_index, cast(sum(v) as bigint) as words, cast(count(*) as bigint) as buckets, cast(arg_min(d, (-v, d)) as bigint) as fullest from cv group by collection, path, chunk_index")
+def embed(spark, sf):
+    rows = semantic.embed(chunks(spark, sf).select(*I.KEY, "text"), "text", semantic.HashedBackend)
+    v = F.col("embedding")
+    some = F.filter(v, lambda x: x > 0)
+    out = rows.select("path", "chunk_index", F.aggregate(v, F.lit(0.0), lambda a, x: a + x).cast("long").alias("words"), F.size(some).alias("buckets"), (F.array_position(v, F.array_max(v)) - 1).cast("long").alias("fullest"))
+    return longs(out.filter("words > 0"))
+
+
+@register(f"with {S.SCORED}{S.keyword(2)} select qid, collection, count(*) as hits, round(max(case when rank = 1 then score end) / max(case when rank = 2 then score end), 6) as margin from kw group by all")
+def gate_depth(spark, sf):
+    """The lead of the best document is judged on two of them, also where only one is asked for."""
+    made, q = index(spark, sf), asked(spark, sf)
+    rows = fusion.margins(B.best_documents(made, B.evidence(made, q, 2), max(1, 2)))
+    return rows.select("qid", "collection", "hits", r6("margin").alias("margin"))
+
+
+@register()
+def snippet_dedupe(spark, sf):
+    made, q = index(spark, sf), asked(spark, sf)
+    hits = B.keyword_search(made, q, 10).join(made.chunks, list(I.KEY)).join(q, "qid")
+    rows = presentation.snippets(presentation.quotes(hits), 5, 2)
+    return longs(rows.select("qid", "collection", "path", "rank", "doc_no", "snippet", "quote"))
+
+
+@register()
+def search_response(spark, sf):
+    """Hits with the strategy, reason and fallback that their query was answered by."""
+    hits, route = fusion.adaptive_search(*vectored(spark, sf), 5)
+    rows = fusion.merge_collections(hits, _ORDER, 5).join(fusion.merge_routes(route), "qid")
+    return longs(rows.select("qid", "merged_rank", "collection", "path", "source", "strategy", "reason", "fallback_used"))
+
+
+# --- published generations
+
+
+def _published(spark, sf) -> tuple:
+    made = index(spark, sf)
+    d = docs(spark, sf)
+    sources = incremental.inventory(_files(d))
+    root = Path(scratch(spark, "index").removeprefix("file://"))
+    store.publish(root, "all", made, sources, Settings())
+    return store.load(spark, root)
+
+
+@register(f"with {S.CHUNKS} select count(distinct (collection, path)) as documents, count(*) as chunks, cast(0 as bigint) as vectors from ch")
+def schema_assertions(spark, sf):
+    found = store.assert_sound(index(spark, sf), incremental.inventory(_files(docs(spark, sf))))
+    return spark.createDataFrame([found], "documents long, chunks long, vectors long")
+
+
+@register(f"with {S.POSTINGS} select collection, term, df from tdf")
+def load_generation(spark, sf):
+    return _published(spark, sf)[1].term_df

@@ -93,10 +93,7 @@ st as (select c.collection, c.n, coalesce(t.total, 0) / c.n as avgdl
        from (select collection, count(*) as n from ch group by all) c
        left join (select collection, cast(sum(dl) as double) as total from dl group by all) t using (collection))"""
 
-QUERIES = rf"""
-q as (select cast(item_id as bigint) as qid, array_to_string(string_split_regex(text, '\s+')[1:8], ' ') as query from benchmark)"""
-
-WHOLE_QUERIES = """
+QUERIES = """
 q as (select cast(item_id as bigint) as qid, text as query from benchmark)"""
 
 SCORED = POSTINGS + "," + QUERIES + f""",

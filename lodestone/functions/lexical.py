@@ -21,6 +21,8 @@ RANK_STOPWORDS = "a an and are for how in is of the to what when where which who
 
 WORD = r"[\p{L}\p{N}_]{2,}"
 TERM = r"[A-Za-z0-9_/-]+"
+PART = r"[A-Za-z0-9]{2,}"
+COMPOUND = r"(?<![A-Za-z0-9_/-])[A-Za-z0-9]*+[_/-][A-Za-z0-9_/-]*+"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -45,9 +47,10 @@ def normal_term(term: Column) -> Column:
 
 def rank_terms(text: Column, stopwords: bool = False) -> Column:
     """Distinct terms and parts of terms; with stopwords=True rank stopwords are taken out, after normalising."""
-    found = F.filter(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), lambda t: F.length(t) > 1)
-    parts = F.flatten(F.transform(found, lambda t: F.concat(F.array(t), F.filter(F.split(t, r"[/_-]+"), lambda p: F.length(p) > 1))))
-    terms = F.array_distinct(F.transform(parts, normal_term))
+    # the parts of all terms are the runs without separators; only terms with one are more than their part
+    parts, compound = (F.regexp_extract_all(text, F.lit(x), F.lit(0)) for x in (PART, COMPOUND))
+    found = F.array_distinct(F.concat(parts, F.filter(compound, lambda t: F.length(t) > 1)))
+    terms = F.array_distinct(F.transform(found, normal_term))
     return F.array_except(terms, array_of(RANK_STOPWORDS)) if stopwords else terms
 
 

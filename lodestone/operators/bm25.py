@@ -36,7 +36,7 @@ def pool_size(n: int) -> int:
 
 def query_words(index: Index, queries: DataFrame) -> DataFrame:
     """(qid, term, times) of the analyzed query."""
-    return terms(queries, F.col("query"), ("qid",), index.stem).withColumnRenamed("tf", "times")
+    return terms(queries, F.col("query"), ("qid",), index.stem).select("qid", "term", F.col("tf").alias("times"))
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -158,10 +158,20 @@ def ranked(docs: DataFrame, n: int) -> DataFrame:
     return docs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
 
-def keyword_search(index: Index, queries: DataFrame, n: int = 20, filters: Filters = Filters()) -> DataFrame:
-    """Documents per query and collection, best first: rank, score, best chunk and evidence."""
-    n = clamp(n, 20)
+def evidence(index: Index, queries: DataFrame, n: int, filters: Filters = Filters()) -> DataFrame:
+    """The pooled chunks, with evidence, that the best n documents of each query and collection are made from."""
     asked = queries.filter(D.strip(F.col("query")) != "")
     pooled = pool(mask(index, chunk_scores(index, asked), filters), pool_size(n))
-    docs = rollup(anchored(index, pooled, asked))
+    return anchored(index, pooled, asked)
+
+
+def best_documents(index: Index, rows: DataFrame, n: int, filters: Filters = Filters()) -> DataFrame:
+    """The best n documents from rows of evidence() for n or more."""
+    docs = rollup(rows.filter(F.col("pool_rank") <= pool_size(n)))
     return ranked(abstain(index, docs) if filters.empty else docs, n)
+
+
+def keyword_search(index: Index, queries: DataFrame, n: int = 20, filters: Filters = Filters()) -> DataFrame:
+    """Documents per query and collection, best first: rank, score, best chunk and evidence."""
+    n = clamp(n, 20)
+    return best_documents(index, evidence(index, queries, n, filters), n, filters)

@@ -138,7 +138,8 @@ def build_chunks(docs: DataFrame, size: int = 1500, overlap: int = 100, by: str
     content = F.coalesce(F.col("content"), F.lit(""))
     pieces = heading_pieces(size, overlap)(content) if by == "headings" else windows(content, size, overlap)
     cut = docs.withColumn("_pieces", pieces).withColumn("chunk_count", F.size("_pieces"))
-    rows = cut.select("*", F.posexplode("_pieces").alias("chunk_index", "piece")).drop("_pieces")
+    # outer, though no list is empty: an inner one would be filtered by its size first, and made twice for that
+    rows = cut.select("*", F.posexplode_outer("_pieces").alias("chunk_index", "piece")).drop("_pieces")
     lead = F.when(F.col("chunk_index") == 0, D.card(F.col("aliases"), F.col("summary"))).otherwise(F.lit(""))
     return rows.select(
         "collection", "path", "chunk_index", "chunk_count", F.concat_ws("::", "path", F.col("chunk_index").cast("string")).alias("chunk_id"),

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import documents as D
 from lodestone.functions import lexical as X
-from lodestone.operators.bm25 import keyword_search
+from lodestone.operators.bm25 import best_documents, evidence, keyword_search
 from lodestone.operators.filters import Filters, clamp
 from lodestone.operators.index import Index
 from lodestone.operators.semantic import semantic_search
+from lodestone.runtime import written
 
 DIGITS = 12
 # Fixed values.
@@ -43,10 +44,13 @@ def rrf(keyword: DataFrame, semantic: DataFrame, limit: int, weight: float = SEM
 
 def hybrid_search(index: Index, queries: DataFrame, top_k: int = 10, filters: Filters = Filters(), weight: float = SEMANTIC_WEIGHT) -> DataFrame:
     top_k = clamp(top_k)
-    deep = 2 * top_k
-    keyword = keyword_search(index, queries, deep, filters)
-    semantic = semantic_search(index, queries, 2 * deep, filters)
-    return rrf(keyword, semantic, deep, weight).filter(F.col("rank") <= top_k)
+    return fused(index, queries, keyword_search(index, queries, clamp(2 * top_k, 20), filters), top_k, filters, weight)
+
+
+def fused(index: Index, queries: DataFrame, keyword: DataFrame, top_k: int, filters: Filters = Filters(), weight: float = SEMANTIC_WEIGHT) -> DataFrame:
+    """keyword, twice as deep as asked for, fused with a semantic search as deep again."""
+    semantic = semantic_search(index, queries, 4 * top_k, filters)
+    return rrf(keyword, semantic, 2 * top_k, weight).filter(F.col("rank") <= top_k)
 
 
 def margins(keyword: DataFrame) -> DataFrame:
@@ -58,18 +62,28 @@ def margins(keyword: DataFrame) -> DataFrame:
     return top.select("qid", "collection", "hits", margin.alias("margin"))
 
 
-def routes(index: Index, queries: DataFrame, keyword: DataFrame, hybrid: DataFrame | None, filters: Filters = Filters()) -> DataFrame:
-    """(qid, collection, strategy, reason, fallback_used, answered) of every query and collection."""
+def _decided(index: Index, queries: DataFrame, keyword: DataFrame) -> DataFrame:
+    """Every query and collection with what the keyword list alone settles: blank, lost or strong."""
     pairs = queries.select("qid", "query").join(index.stats.select("collection"))
     rows = pairs.join(margins(keyword), ["qid", "collection"], "left").withColumn("hits", F.coalesce("hits", F.lit(0).cast("long")))
+    return rows.withColumns(
+        {
+            "blank": D.strip(F.col("query")) == "",
+            "strong": F.coalesce(F.col("margin") >= DOMINANCE, F.lit(False)),
+            "lost": (F.col("hits") == 0) & X.keywordish(F.col("query")),
+        }
+    )
+
+
+def routes(index: Index, queries: DataFrame, keyword: DataFrame, hybrid: DataFrame | None, filters: Filters = Filters()) -> DataFrame:
+    """(qid, collection, strategy, reason, fallback_used, answered) of every query and collection."""
+    rows = _decided(index, queries, keyword)
     if hybrid is not None:
         tops = hybrid.filter("rank = 1").select("qid", "collection", F.col("score").alias("top"))
         rows = rows.join(tops, ["qid", "collection"], "left")
     else:
         rows = rows.withColumn("top", F.lit(None).cast("double"))
-    blank = D.strip(F.col("query")) == ""
-    strong = F.coalesce(F.col("margin") >= DOMINANCE, F.lit(False))
-    lost = (F.col("hits") == 0) & X.keywordish(F.col("query"))
+    blank, strong, lost = F.col("blank"), F.col("strong"), F.col("lost")
     timid = (F.col("hits") == 0) & F.lit(filters.empty) & ~F.coalesce(F.col("top") >= LEAST_CONFIDENCE, F.lit(False))
     lead = F.format_string("%.2f", F.col("margin"))
     reason = (
@@ -87,13 +101,21 @@ def routes(index: Index, queries: DataFrame, keyword: DataFrame, hybrid: DataFra
 
 
 def adaptive_search(index: Index, queries: DataFrame, top_k: int = 10, filters: Filters = Filters()) -> tuple[DataFrame, DataFrame]:
-    """(hits, routes). Keyword results where one document clearly leads, hybrid ones elsewhere."""
+    """(hits, routes). Keyword results where one document clearly leads, hybrid ones elsewhere.
+
+    Chunks are scored once, as deep as the fusion needs; only queries that their keyword list leaves open are
+    searched by vectors."""
     top_k = clamp(top_k)
-    keyword = keyword_search(index, queries, max(top_k, 2), filters)
-    hybrid = hybrid_search(index, queries, top_k, filters)
+    first, deep = max(top_k, 2), clamp(2 * top_k, 20)
+    pooled = written(evidence(index, queries, max(first, deep), filters), "pool")
+    keyword = written(best_documents(index, pooled, first, filters), "keyword")
+    keys = ["qid", "collection"]
+    undecided = written(_decided(index, queries, keyword).filter("not (blank or strong or lost)").select(*keys), "undecided")
+    left = queries.join(undecided.select("qid").distinct(), "qid", "left_semi")
+    deeper = best_documents(index, pooled.join(undecided, keys, "left_semi"), deep, filters)
+    hybrid = written(fused(index, left, deeper, top_k, filters).join(undecided, keys, "left_semi"), "hybrid")
     route = routes(index, queries, keyword, hybrid, filters)
     chosen = route.filter("answered").select("qid", "collection", "strategy")
-    keys = ["qid", "collection"]
     a = keyword.filter(F.col("rank") <= top_k).join(chosen.filter("strategy = 'keyword'"), keys)
     b = hybrid.join(chosen.filter("strategy = 'hybrid'"), keys)
     columns = ("qid", "collection", "path", "chunk_index", "rank")

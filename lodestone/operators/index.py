@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import lexical as X
 from lodestone.functions.porter2 import stem_terms
+from lodestone.runtime import written
 
 KEY = ("collection", "path", "chunk_index")
 
@@ -35,28 +36,33 @@ class Index:
 
 
 def terms(rows: DataFrame, text: Column, keys: tuple[str, ...], stem: bool) -> DataFrame:
-    """(keys, term, tf): counts of analyzed words."""
-    found = rows.select(*keys, F.explode(X.words(text)).alias("term"))
+    """(keys, term, tf, dl): counts of analyzed words, and how many a row has."""
+    found = rows.select(*keys, X.words(text).alias("_words")).withColumn("dl", F.size("_words").cast("long"))
+    # outer: for an inner one Spark adds a filter by the size of the list, and analyzes every text twice
+    found = found.select(*keys, "dl", F.explode_outer("_words").alias("term")).filter(F.col("term").isNotNull())
     found = stem_terms(found) if stem else found
-    return found.groupBy(*keys, "term").agg(F.count("*").alias("tf"))
+    return found.groupBy(*keys, "dl", "term").agg(F.count("*").alias("tf"))
 
 
 def build(chunks: DataFrame, stem: bool = False, k1: float = 1.2, b: float = 0.5) -> Index:
-    counted = terms(chunks, F.col("text"), KEY, stem)
-    lengths = counted.groupBy(*KEY).agg(F.sum("tf").alias("dl"))
-    postings = counted.join(lengths, list(KEY)).select("collection", "term", "path", "chunk_index", "tf", "dl")
-    term_df = counted.groupBy("collection", "term").agg(F.count("*").alias("df"))
+    # written, as all statistics are made from it: texts are analyzed once
+    postings = terms(chunks, F.col("text"), KEY, stem).select("collection", "term", "path", "chunk_index", "tf", "dl")
+    postings = written(postings, "postings")
+    term_df = postings.groupBy("collection", "term").agg(F.count("*").alias("df"))
     # chunks without any word count in n and with length 0 in the mean
     sizes = chunks.groupBy("collection").agg(F.count("*").alias("n"))
-    sums = counted.groupBy("collection").agg(F.sum("tf").alias("total"))
+    sums = postings.groupBy("collection").agg(F.sum("tf").alias("total"))
     stats = sizes.join(sums, "collection", "left").select("collection", "n", (F.coalesce("total", F.lit(0)) / F.col("n")).alias("avgdl"))
     return Index(chunks, postings, term_df, stats, None, k1, b, stem)
 
 
-def neighbors(chunks: DataFrame) -> DataFrame:
-    """(key, neighbor_content): the text of the chunk before and the one after; null for single chunks."""
+def neighbors(chunks: DataFrame, hits: DataFrame | None = None) -> DataFrame:
+    """(key, neighbor_content): the text of the chunk before and the one after; null for single chunks. With hits, of
+    the chunks of their documents only."""
     from pyspark.sql import Window
 
+    if hits is not None:
+        chunks = chunks.join(hits.select("collection", "path").distinct(), ["collection", "path"], "left_semi")
     w = Window.partitionBy("collection", "path").orderBy("chunk_index")
     near = F.concat_ws("\n\n", F.lag("text").over(w), F.lead("text").over(w))
     return chunks.select(*KEY, F.when(F.col("chunk_count") > 1, near).alias("neighbor_content"))

@@ -23,6 +23,7 @@ from lodestone.functions import lexical as X
 from lodestone.operators.bm25 import NUDGE, described, page_names, status_factor
 from lodestone.operators.filters import Filters, clamp
 from lodestone.operators.index import KEY, Index
+from lodestone.runtime import written
 from lodestone.settings import OperationError
 
 DIGITS = 9
@@ -106,17 +107,23 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def _cosines(matrix: np.ndarray, column: pa.Array) -> np.ndarray:
+    """Queries times the vectors of an Arrow column, from its flat values."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    if len(flat) != len(column) * matrix.shape[1] or np.any(np.diff(column.offsets.to_numpy()) != matrix.shape[1]):
+        raise ValueError(f"vectors must have {matrix.shape[1]} numbers, as the queries")
+    vectors = flat.reshape(len(column), -1)
+    norms = np.linalg.norm(vectors, axis=1, keepdims=True)
+    return np.round(matrix @ (vectors / np.where(norms == 0, 1, norms)).T, DIGITS)
+
+
 def _search(qids: list, matrix: np.ndarray, keep: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[str, list] = {}  # by collection: per query the scores and places kept so far
         for b in batches:
             if not b.num_rows:
                 continue
-            vectors = np.stack([np.asarray(v, dtype=np.float64) for v in b.column(b.num_columns - 1).to_pylist()])
-            if vectors.shape[1] != matrix.shape[1]:
-                raise ValueError(f"vectors of {vectors.shape[1]} numbers, queries of {matrix.shape[1]}")
-            norms = np.linalg.norm(vectors, axis=1, keepdims=True)
-            scores = np.round(matrix @ (vectors / np.where(norms == 0, 1, norms)).T, DIGITS)
+            scores = _cosines(matrix, b.column(b.num_columns - 1))
             keys = list(zip(*(b.column(i).to_pylist() for i in range(len(names)))))
             for group in {k[0] for k in keys}:
                 mine = [i for i, k in enumerate(keys) if k[0] == group]
@@ -140,24 +147,28 @@ def _search(qids: list, matrix: np.ndarray, keep: int, names: list[str]):
     return run
 
 
-def cosine_pool(vectors: DataFrame, queries: DataFrame, size: int) -> DataFrame:
-    """(qid, collection, path, chunk_index, cosine, pool_rank): the nearest chunks of each query and
-    collection. vectors: key and embedding; queries: qid (long) and embedding."""
-    asked = queries.select(F.col("qid").cast("long").alias("qid"), "embedding").orderBy("qid")
-    found, names, at = [], list(KEY), None
-    while True:
-        rows = (asked if at is None else asked.filter(F.col("qid") > at)).limit(BLOCK).collect()
-        if not rows:
-            break
+def _blocks(queries: DataFrame) -> Iterator[tuple[list[int], np.ndarray]]:
+    """Ids and unit vectors of the queries, BLOCK at a time; with an embedding step they are embedded once."""
+    asked = written(queries.select(F.col("qid").cast("long").alias("qid"), "embedding"), "asked").orderBy("qid")
+    at = None
+    while rows := (asked if at is None else asked.filter(F.col("qid") > at)).limit(BLOCK).collect():
         at = rows[-1]["qid"]
         m = np.array([r["embedding"] for r in rows], dtype=np.float64)
         if not np.isfinite(m).all():
             raise ValueError("query vectors must be finite")
         norms = np.linalg.norm(m, axis=1, keepdims=True)
-        m = m / np.where(norms == 0, 1, norms)
-        fields = ", ".join(f"{n} {dict(vectors.dtypes)[n]}" for n in names)
-        run = _search([r["qid"] for r in rows], m, size, names)
-        found.append(vectors.select(*names, "embedding").mapInArrow(run, f"qid long, {fields}, cosine double"))
+        yield [r["qid"] for r in rows], m / np.where(norms == 0, 1, norms)
+
+
+def cosine_pool(vectors: DataFrame, queries: DataFrame, size: int) -> DataFrame:
+    """(qid, collection, path, chunk_index, cosine, pool_rank): the nearest chunks of each query and
+    collection. vectors: key and embedding; queries: qid (long) and embedding."""
+    names = list(KEY)
+    fields = ", ".join(f"{n} {dict(vectors.dtypes)[n]}" for n in names)
+    found = [
+        vectors.select(*names, "embedding").mapInArrow(_search(qids, m, size, names), f"qid long, {fields}, cosine double")
+        for qids, m in _blocks(queries)
+    ]
     if not found:
         spark = vectors.sparkSession
         return spark.createDataFrame([], "qid long, collection string, path string, chunk_index int, cosine double, pool_rank int")
@@ -165,6 +176,25 @@ def cosine_pool(vectors: DataFrame, queries: DataFrame, size: int) -> DataFrame:
     return reduce(DataFrame.union, found).withColumn("pool_rank", F.row_number().over(w)).filter(F.col("pool_rank") <= size)
 
 
+def _all(qids: list, matrix: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            scores = _cosines(matrix, b.column(b.num_columns - 1))
+            for qid, row in zip(qids, scores):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), qid)), *b.columns[:-1], pa.array(row)], names=["qid", *b.schema.names[:-1], "cosine"])
+
+    return run
+
+
+def cosine_all(vectors: DataFrame, queries: DataFrame) -> DataFrame:
+    """(qid, key, cosine) of every query and every vector: a stated set of queries against all rows, in blocks."""
+    fields = ", ".join(f"{n} {dict(vectors.dtypes)[n]}" for n in KEY)
+    found = [vectors.select(*KEY, "embedding").mapInArrow(_all(qids, m), f"qid long, {fields}, cosine double") for qids, m in _blocks(queries)]
+    if not found:
+        return vectors.sparkSession.createDataFrame([], f"qid long, {fields}, cosine double")
+    return reduce(DataFrame.union, found)
+
+
 def lexical_boost(q: Column, names: Column, path: Column, content: Column) -> Column:
     """A small bonus for exact names, path and content terms, at most 0.30."""
 

@@ -189,7 +189,7 @@ class Engine:
                 ways.append(route)
             hits = fusion.with_hints(index, hits.select(*columns), asked)
             if mode == "adaptive":
-                hits = hits.join(I.neighbors(index.chunks), list(I.KEY), "left")
+                hits = hits.join(I.neighbors(index.chunks, hits), list(I.KEY), "left")
             found.append(hits)
         if not found:
             raise OperationError("there is no index yet")

@@ -180,11 +180,19 @@ def _revision() -> str:
         return "unknown"
 
 
+def contents(sources: DataFrame) -> list[int]:
+    """A digest of (path, content_sha) of all sources, in any order: their number, and sums of eight parts of a hash."""
+    h = F.sha2(F.concat_ws("\n", "path", "content_sha"), 256)
+    parts = [F.conv(F.substring(h, 8 * k + 1, 8), 16, 10).cast("long") for k in range(8)]
+    row = sources.agg(F.count("*").alias("n"), *(F.coalesce(F.sum(p), F.lit(0)).alias(f"s{k}") for k, p in enumerate(parts))).first()
+    return list(row)
+
+
 def manifest(engine: Engine, golden: Sequence[Golden], scope: Scope, mode: str, top_k: int = 5, min_keywords: int = 2, strict: bool = False, strict_top_1: bool = False) -> dict:
     corpus = []
     for c in engine.resolve():
         engine.index(c)
-        corpus += sorted((c.name, r["path"], r["content_sha"]) for r in c.opened[2].select("path", "content_sha").collect())
+        corpus.append((c.name, *contents(c.opened[2])))
     return {
         "corpus": store.fingerprint(corpus), "queries": store.fingerprint([asdict(g) for g in golden]), "query_ids": [g.id for g in golden],
         "scope": json.loads(json.dumps(asdict(scope))), "metrics": METRICS, "top_k": top_k, "min_keywords": min_keywords, "strict_keywords": strict, "strict_top_1": strict_top_1,

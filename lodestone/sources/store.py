@@ -3,6 +3,8 @@
 A generation is a folder of Parquet tables and a manifest. CURRENT names the published one. Readers
 resolve it once and keep its frames, so a publication never mixes two states. One writer at a
 time holds a lock file; the current generation and the one before it are kept.
+
+The folder is a path of the file system. On a cluster it must be mounted on all hosts, which publish() makes sure of.
 """
 
 from __future__ import annotations
@@ -21,12 +23,13 @@ from dataclasses import asdict, dataclass, field
 from datetime import datetime, timezone
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone import types
 from lodestone.operators.index import KEY, Index
-from lodestone.settings import BusyError, CorruptIndexError, Settings
+from lodestone.settings import BusyError, CorruptIndexError, OperationError, Settings
 
 VERSION = 1
 TABLES = {"chunks": types.CHUNKS, "postings": types.POSTINGS, "term_df": types.TERM_DF, "stats": types.STATS, "sources": types.SOURCES}
@@ -155,11 +158,34 @@ def _sync(path: Path) -> None:
         os.close(fd)
 
 
+def assert_shared(spark: SparkSession, root: Path) -> None:
+    """On a cluster, make sure that executors write and read the folder that the driver renames."""
+    if spark.sparkContext.master.split("[")[0] == "local":
+        return
+    root.mkdir(parents=True, exist_ok=True)
+    marker = root / f".marker-{time.time_ns()}"
+    marker.write_text("shared", encoding="utf-8")
+    try:
+        seen = f"{marker}"
+
+        def look(batches):
+            for b in batches:
+                there = os.path.exists(seen)
+                yield pa.RecordBatch.from_arrays([pa.array([there] * b.num_rows, type=pa.bool_())], names=["there"])
+
+        tasks = 4 * spark.sparkContext.defaultParallelism
+        if spark.range(tasks).repartition(tasks).mapInArrow(look, "there boolean").filter("not there").limit(1).count():
+            raise OperationError(f"{root} must be on storage that the driver and all executors share")
+    finally:
+        marker.unlink(missing_ok=True)
+
+
 def publish(root: Path, collection: str, index: Index, sources: DataFrame, settings: Settings) -> Manifest:
     """Write a generation and make it current."""
     with writer_lock(root):
         name = f"gen-{datetime.now(timezone.utc):%Y%m%dT%H%M%S}-{time.time_ns()}"
         made = root / f"{name}.tmp"
+        assert_shared(index.chunks.sparkSession, root)
         try:
             frames = {"chunks": index.chunks, "postings": index.postings, "term_df": index.term_df, "stats": index.stats, "sources": sources}
             spark = index.chunks.sparkSession

@@ -1,4 +1,4 @@
-"""Queries that do the whole job beside the cut forms that their SQL fixes."""
+"""Queries that do the whole job: whole texts, and every vector of the stated query set."""
 
 from pyspark.sql import functions as F
 
@@ -10,7 +10,7 @@ def test_every_50th_vector_is_asked_against_all(spark, sf):
     e = spark.read.parquet(f"{sf}/embeddings.parquet")
     want = {r.vec_id for r in e.filter("vec_id % 50 = 0").collect()}
     n = e.count()
-    for name, each in (("cosine_exact_whole", n), ("semantic_pool_whole", min(n, 50))):
+    for name, each in (("cosine_exact", n), ("semantic_pool", min(n, 50))):
         got = {r.qid: r.n for r in QUERIES[name](spark, sf).groupBy("qid").agg(F.count("*").alias("n")).collect()}
         assert got == dict.fromkeys(want, each)
 
@@ -19,22 +19,19 @@ def test_keywordish_sees_the_end_of_a_turn(spark, tmp_path):
     start = "please tell me about the long river and the old house by the "
     rows = [(1, 1, start + "sea"), (2, 1, start + "model_v2"), (3, 1, start + "NASA")]
     spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
-    got = {r.conv_id: (r.query, r.keywordish) for r in QUERIES["keywordish_whole"](spark, str(tmp_path)).collect()}
+    got = {r.conv_id: (r.query, r.keywordish) for r in QUERIES["keywordish"](spark, str(tmp_path)).collect()}
     assert got == {1: (rows[0][2], False), 2: (rows[1][2], True), 3: (rows[2][2], True)}
 
 
 def test_whole_texts_are_asked(spark, sf):
     texts = {r.item_id: r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
-    token = catalogue._WHOLE_TEXTS.set(True)
-    try:
-        assert {r.qid: r.query for r in catalogue.asked(spark, sf).collect()} == texts
-    finally:
-        catalogue._WHOLE_TEXTS.reset(token)
-    cut = {n for n, sql in catalogue.ORACLES.items() if "[1:8]" in sql}
-    assert len(cut) >= 30 and all(f"{n}_whole" in QUERIES for n in cut)
-
-
-def test_scores_of_whole_texts_hold_those_of_prefixes(spark, sf):
-    some, whole = (QUERIES[n](spark, sf).groupBy("qid").agg(F.count("*").alias("n"), F.sum("score").alias("s")) for n in ("bm25_score", "bm25_score_whole"))
-    rows = some.select("qid", F.col("n").alias("n8"), F.col("s").alias("s8")).join(whole, "qid").collect()
-    assert rows and all(r.n >= r.n8 and r.s >= r.s8 for r in rows) and any(r.s > r.s8 for r in rows)
+    assert {r.qid: r.query for r in catalogue.asked(spark, sf).collect()} == texts
+    assert not [n for n, sql in catalogue.ORACLES.items() if "[1:8]" in sql or n.endswith("_whole")]
+
+
+def test_golden_items_are_those_of_a_plain_search(spark, sf):
+    found = {r.query_id: r.expected_path for r in catalogue.golden(spark, sf).collect()}
+    docs = [(r.path, r.content) for r in catalogue.docs(spark, sf).collect()]
+    items = spark.read.parquet(f"{sf}/benchmark.parquet").collect()
+    want = {i.item_id: min(p for p, c in docs if i.text in c) for i in items if any(i.text in c for _, c in docs)}
+    assert found == want and want
