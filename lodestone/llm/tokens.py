@@ -10,8 +10,17 @@ The format is a directly addressable code. Ids are cut into 8-bit chunks, lowest
 holds chunk l of the ids that have one, a bitmap saying which of them go on to level l + 1, and a
 rank directory with the number of set bits before every 512th bit. Id i is read by its chunk at
 level 0 and, while its bit is set, by the chunk at position rank(bit) of the next level; no block is
-decoded. A segment holds consecutive documents and their start offsets; segments are rows of a
-Parquet container, which gives atomic commits and works in any store that Spark can write to.
+decoded. A segment holds consecutive documents and their start offsets.
+
+Segments lie uncompressed in files, one a writer task, so any of their bytes can be read by itself: read_token()
+fetches some hundred bytes of one. Which file a segment is in, where, and what documents it has says the
+directory, a small Parquet table; it is written by Spark's committer, and files that it does not name
+(of failed or repeated tasks) do not count. Paths are of any store that pyarrow.fs knows.
+
+Defined results: null text is empty, so a document is its end id alone; documents come by ascending doc_id, null
+first, ties by a hash of the text; repeated rows come out each; an empty table gives an empty directory; a very
+long text is a segment of its own, encoded some PIECE_CHARS at a time; columns other than the id and the
+text are not read.
 """
 
 from __future__ import annotations
@@ -19,17 +28,23 @@ from __future__ import annotations
 import os
 import re
 import struct
+import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset as pads
+from pyarrow.fs import FileSystem
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from lodestone.runtime import ship
+
 SEGMENT_TOKENS = 1 << 18
+READ_BYTES = 1 << 24
 TABLE_BITS = 20
 CACHE_WORDS = 100_000
 PIECE_CHARS = 1 << 18
@@ -291,7 +306,7 @@ class Encoder:
         return b"".join(parts)
 
 
-MAGIC = b"LDAC"
+MAGIC, VERSION = b"LDAC", 2
 RANK_BITS = 512
 
 
@@ -314,47 +329,51 @@ def pack_segment(lengths: list[int], ids: np.ndarray) -> bytes:
         levels.append((chunks, bits, ranks))
         if not len(rest):
             break
-    out = [MAGIC, struct.pack("<III", 1, len(lengths), len(levels))]
+    out = [MAGIC, struct.pack("<III", VERSION, len(lengths), len(levels))]
+    out.append(struct.pack(f"<{len(levels)}Q", *(len(chunks) for chunks, _, _ in levels)))
     out.append(np.concatenate([[0], np.cumsum(np.asarray(lengths, dtype=np.int64))]).astype("<i8").tobytes())
     for chunks, bits, ranks in levels:
-        out += [struct.pack("<Q", len(chunks)), chunks.tobytes(), bits.tobytes(), ranks.tobytes()]
+        out += [chunks.tobytes(), bits.tobytes(), ranks.tobytes()]
     return b"".join(out)
 
 
 class Segment:
-    """Random access to a packed segment; arrays are views of its bytes."""
+    """Random access to a packed segment, by fetch(offset, size) or from its bytes."""
 
-    def __init__(self, data: bytes):
-        if data[:4] != MAGIC:
+    def __init__(self, source: bytes | Callable[[int, int], bytes]):
+        self._fetch = source if callable(source) else lambda at, n, data=memoryview(source): data[at : at + n]
+        magic, version, self.n_docs, n_levels = struct.unpack("<4sIII", self._fetch(0, 16))
+        if magic != MAGIC or version != VERSION:
             raise ValueError("not a token segment")
-        _, self.n_docs, n_levels = struct.unpack_from("<III", data, 4)
-        at = 16
-        self.starts = np.frombuffer(data, "<i8", self.n_docs + 1, at)
+        sizes = struct.unpack(f"<{n_levels}Q", self._fetch(16, 8 * n_levels))
+        self._starts = at = 16 + 8 * n_levels
         at += 8 * (self.n_docs + 1)
-        self.levels = []
-        for _ in range(n_levels):
-            (n,) = struct.unpack_from("<Q", data, at)
-            at += 8
-            chunks = np.frombuffer(data, np.uint8, n, at)
-            at += n
-            bits = np.frombuffer(data, np.uint8, -(-n // 8), at)
-            at += len(bits)
-            ranks = np.frombuffer(data, "<u4", -(-n // RANK_BITS) + 1, at)
-            at += 4 * len(ranks)
-            self.levels.append((chunks, bits, ranks))
-
-    @staticmethod
-    def _rank(bits: np.ndarray, ranks: np.ndarray, i: int) -> int:
+        self._levels = []  # where chunks, bits and ranks begin
+        for n in sizes:
+            self._levels.append((at, at + n, at + n + -(-n // 8)))
+            at += n + -(-n // 8) + 4 * (-(-n // RANK_BITS) + 1)
+
+    def _array(self, at: int, kind: str, first: int, end: int) -> np.ndarray:
+        """Items first..end of an array that begins at a place."""
+        size = np.dtype(kind).itemsize
+        return np.frombuffer(self._fetch(at + size * first, size * (end - first)), kind)
+
+    def starts(self, first: int, end: int) -> np.ndarray:
+        """How many ids of the segment stand before documents first..end."""
+        return self._array(self._starts, "<i8", first, end)
+
+    def _rank(self, bits: int, ranks: int, i: int) -> int:
+        """Set bits before the i-th."""
         block = i // RANK_BITS
         first = block * RANK_BITS // 8
-        left = np.unpackbits(bits[first : i // 8 + 1], bitorder="little")[: i - block * RANK_BITS]
-        return int(ranks[block]) + int(left.sum())
+        left = np.unpackbits(self._array(bits, "u1", first, -(-i // 8)), bitorder="little")[: i - block * RANK_BITS]
+        return int(self._array(ranks, "<u4", block, block + 1)[0]) + int(left.sum())
 
     def token(self, i: int) -> int:
         value, shift = 0, 0
-        for chunks, bits, ranks in self.levels:
-            value |= int(chunks[i]) << shift
-            if not bits[i // 8] >> (i % 8) & 1:
+        for chunks, bits, ranks in self._levels:
+            value |= int(self._array(chunks, "u1", i, i + 1)[0]) << shift
+            if not self._array(bits, "u1", i // 8, i // 8 + 1)[0] >> (i % 8) & 1:
                 break
             i, shift = self._rank(bits, ranks, i), shift + 8
         return value
@@ -363,47 +382,65 @@ class Segment:
         """Ids start..end: at every level the chunks of a range are a range."""
         out = np.zeros(end - start, dtype=np.uint32)
         where, shift = np.arange(end - start), 0
-        for chunks, bits, ranks in self.levels:
+        for chunks, bits, ranks in self._levels:
             if end <= start:
                 break
-            out[where] |= chunks[start:end].astype(np.uint32) << np.uint32(shift)
-            on = np.unpackbits(bits[start // 8 : -(-end // 8)], bitorder="little")[start % 8 : start % 8 + end - start].astype(bool)
+            out[where] |= self._array(chunks, "u1", start, end).astype(np.uint32) << np.uint32(shift)
+            on = np.unpackbits(self._array(bits, "u1", start // 8, -(-end // 8)), bitorder="little")[start % 8 : start % 8 + end - start].astype(bool)
             where = where[on]
             start = self._rank(bits, ranks, start) if len(where) else 0
             end, shift = start + len(where), shift + 8
         return out
 
     def document(self, k: int) -> np.ndarray:
-        return self.tokens(int(self.starts[k]), int(self.starts[k + 1]))
+        return self.tokens(*self.starts(k, k + 2).tolist())
+
 
+DIRECTORY = "part int, seq int, file string, at long, size long, n_docs long, n_tokens long, low long, high long, doc_ids array<long>"
 
-SEGMENTS = "part int, seq int, n_docs long, n_tokens long, doc_ids array<long>, payload binary"
 
+def store(uri: str) -> tuple[FileSystem, str]:
+    """The file system of a path, and the path there."""
+    return FileSystem.from_uri(uri if "://" in uri else f"file://{uri}" if not uri.startswith("file:") else "file://" + uri.removeprefix("file:"))
 
-def _writer(path: str, end_id: int):
+
+def _writer(path: str, end_id: int, out: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part, seq = Encoder.of(path), TaskContext.get().partitionId(), 0
+        enc, part = Encoder.of(path), TaskContext.get().partitionId()
         tail = struct.pack("<I", end_id)
+        fs, base = store(out)
+        name = f"part-{part:05d}-{uuid.uuid4().hex}.tokens"
+        file, rows = None, []
         docs, parts, size = [], [], 0
-        schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("payload", pa.binary())])
 
         def flush():
-            nonlocal docs, parts, size, seq
+            nonlocal file, docs, parts, size
+            if file is None:
+                fs.create_dir(f"{base}/segments", recursive=True)
+                file = fs.open_output_stream(f"{base}/segments/{name}", compression=None)
             ids = np.frombuffer(b"".join(parts), dtype="<u4")
-            row = [[part], [seq], [len(docs)], [len(ids)], [docs], [pack_segment([len(x) // 4 for x in parts], ids)]]
-            docs, parts, size, seq = [], [], 0, seq + 1
-            return pa.RecordBatch.from_arrays([pa.array(v, type=f.type) for v, f in zip(row, schema)], schema=schema)
+            packed = pack_segment([len(x) // 4 for x in parts], ids)
+            known = [d for d in docs if d is not None]
+            rows.append((part, len(rows), name, file.tell(), len(packed), len(docs), len(ids), min(known, default=None), max(known, default=None), docs))
+            file.write(packed)
+            docs, parts, size = [], [], 0
 
         for b in batches:
             for doc, data in zip(b.column(0).to_pylist(), enc.each(b.column(1))):
                 data += tail
                 if docs and size + len(data) // 4 > SEGMENT_TOKENS:
-                    yield flush()
+                    flush()
                 docs.append(doc)
                 parts.append(data)
                 size += len(data) // 4
         if docs:
-            yield flush()
+            flush()
+        if file is not None:
+            file.close()  # rows go out once the file is whole
+            i64 = pa.int64()
+            types = [pa.int32(), pa.int32(), pa.string(), i64, i64, i64, i64, i64, i64, pa.list_(i64)]
+            names = [x.split()[0] for x in DIRECTORY.split(", ")]
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows), types)], names=names)
 
     return run
 
@@ -411,17 +448,18 @@ def _writer(path: str, end_id: int):
 def write_tokens(docs: DataFrame, out: str, tokenizer: str | None = None, end_id: int = 1, doc_id: str = "doc_id", text: str = "text") -> None:
     """Write the ids of every document, ascending doc_id (null first, ties by text), as segments at out."""
     path = tokenizer or default_tokenizer()
+    ship(docs.sparkSession)
     ordered = (
         docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
         .repartitionByRange(F.col("doc_id"), F.xxhash64("text"))
         .sortWithinPartitions("doc_id", F.xxhash64("text"))
     )
-    ordered.mapInArrow(_writer(path, end_id), SEGMENTS).write.option("compression", "zstd").parquet(out)
+    ordered.mapInArrow(_writer(path, end_id, out), DIRECTORY).write.parquet(f"{out}/directory")
 
 
-def read_segments(spark: SparkSession, path: str) -> DataFrame:
+def read_directory(spark: SparkSession, path: str) -> DataFrame:
     """Segments with first, the number of ids before each in the whole file order."""
-    seg = spark.read.schema(SEGMENTS).parquet(path)
+    seg = spark.read.schema(DIRECTORY).parquet(f"{path}/directory")
     sizes = seg.select("part", "seq", "n_tokens")
     parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     # one row a part: as many as the writer had tasks
@@ -431,19 +469,55 @@ def read_segments(spark: SparkSession, path: str) -> DataFrame:
     return seg.join(firsts, ["part", "seq"])
 
 
-def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        cols: tuple[list, ...] = ([], [], [], [])
-        for first, ids, payload in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
-            seg = Segment(payload.as_py())
-            for k, doc in enumerate(ids.as_py()):
-                got = seg.document(k)
-                for c, v in zip(cols, (doc, first + int(seg.starts[k]), len(got), zlib.crc32(got.astype("<u4").tobytes()))):
-                    c.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in cols], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+def _fetcher(file, at: int) -> Callable[[int, int], bytes]:
+    """Ranged reads of a segment that begins at a place in a file."""
+
+    def fetch(offset: int, size: int) -> bytes:
+        file.seek(at + offset)
+        return file.read(size)
+
+    return fetch
+
+
+def read_token(path: str, doc_id: int, i: int) -> int:
+    """Id i of the first document with this id: a directory entry, then ranged reads of a few bytes each."""
+    fs, base = store(path)
+    near = (pads.field("low") <= doc_id) & (pads.field("high") >= doc_id)
+    entries = pads.dataset(f"{base}/directory", filesystem=fs, format="parquet").to_table(columns=["part", "seq", "file", "at", "doc_ids"], filter=near)
+    order = sorted(range(entries.num_rows), key=lambda k: (entries["part"][k].as_py(), entries["seq"][k].as_py()))
+    for k in order:
+        ids = entries["doc_ids"][k].as_py()
+        if doc_id in ids:
+            with fs.open_input_file(f"{base}/segments/{entries['file'][k].as_py()}") as file:
+                seg = Segment(_fetcher(file, entries["at"][k].as_py()))
+                first, end = seg.starts(ids.index(doc_id), ids.index(doc_id) + 2).tolist()
+                if not 0 <= i < end - first:
+                    raise IndexError(f"document {doc_id} has {end - first} ids")
+                return seg.token(first + i)
+    raise KeyError(doc_id)
+
+
+def _reader(out: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = store(out)
+        for b in batches:
+            for first, name, at, size, ids in zip(*(c.to_pylist() for c in b.columns)):
+                with fs.open_input_file(f"{base}/segments/{name}") as file:
+                    seg = Segment(_fetcher(file, at)(0, size))
+                starts = seg.starts(0, seg.n_docs + 1).tolist()
+                rows = []
+                for doc, a, z in zip(ids, starts, starts[1:]):
+                    got = seg.tokens(a, z)
+                    rows.append((doc, first + a, z - a, zlib.crc32(got.astype("<u4").tobytes())))
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in zip(*rows)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+
+    return run
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """One row per document as the files have it: place, length and checksum of its ids."""
-    rows = read_segments(spark, path).select("first", "doc_ids", "payload")
-    return rows.mapInArrow(_reader, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    ship(spark)
+    rows = read_directory(spark, path).select("first", "file", "at", "size", "doc_ids")
+    # the rows are small, what they stand for is not: some segments a task
+    tasks = max(1, rows.agg(F.ceil(F.sum("size") / READ_BYTES).alias("n")).first()["n"] or 1, spark.sparkContext.defaultParallelism)
+    return rows.repartition(tasks, "file", "at").mapInArrow(_reader(path), "doc_id long, start long, n_tokens long, ids_crc32 long")

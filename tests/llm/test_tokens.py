@@ -71,6 +71,30 @@ def test_files_round_trip(spark, encoder, nasty, nothing, tmp_path, monkeypatch)
     assert tokens.read_documents(spark, f"file://{tmp_path}/none").count() == 0
 
 
+def test_one_token_takes_a_few_bytes(spark, encoder, tmp_path, monkeypatch):
+    texts = [(k, " ".join(f"word{(k * 7 + j) % 911} house" for j in range(400 * (k % 5)))) for k in range(60)]
+    out = f"file://{tmp_path}/t"
+    tokens.write_tokens(spark.createDataFrame(texts, "doc_id long, text string").repartition(4), out)
+    size = sum(r["size"] for r in tokens.read_directory(spark, out).collect())
+    fetched = []
+    plain = tokens._fetcher
+
+    def counting(file, at):
+        fetch = plain(file, at)
+        return lambda offset, n: fetched.append(n) or fetch(offset, n)
+
+    monkeypatch.setattr(tokens, "_fetcher", counting)
+    for k, j in ((0, 0), (4, 0), (4, 1500), (59, 77), (33, 801)):
+        ids = encoder.tokenizer.encode(texts[k][1], add_special_tokens=False).ids + [1]
+        fetched.clear()
+        assert tokens.read_token(out, k, j) == ids[j]
+        assert sum(fetched) <= 400 < size / 100
+    with pytest.raises(IndexError):
+        tokens.read_token(out, 0, 1)
+    with pytest.raises(KeyError):
+        tokens.read_token(out, 99, 0)
+
+
 def unpack(counts, capacity):
     runs = packing.plan(counts, capacity)
     bins, used = {}, np.zeros_like(counts)
