@@ -13,11 +13,16 @@ are dealt out and read in order, and only keys that two different lines share co
 one line at a time in memory. Their members are verified by bit-parallel edit distance within a
 band of 2 * THRESHOLD + 1 diagonals; each diagonal is one long integer of mismatches.
 
+A segment that more than HOT lines hold says little. These lines are cut once more, into THRESHOLD + 2 segments, of
+which two at least are unchanged in any match, and meet at pairs of segments, half of a line, instead: two
+lines that match and share hot segments only are both cut that way.
+
 Equal lines are one line from the first step on: a task sends each line once, and what follows is
 grouped by 128-bit line keys. A key's members beyond CHUNK are compared by pairs of chunks.
 
 Defined results: null text has no lines to remove and stays null; rows that repeat id and text are
-one document here and keep the same lines; the other columns pass through unread.
+one document here and keep the same lines; an empty table gives an empty one; a very long text is cut into its
+lines in one task; the other columns pass through unread.
 """
 
 from __future__ import annotations
@@ -35,17 +40,17 @@ from pyspark.sql import types as T
 from lodestone.llm.rows import ROW, slices, unwrap, wrap
 from lodestone.runtime import discard, release, written
 
-THRESHOLD, MIN_LENGTH, CHUNK = 2, 20, 512
+THRESHOLD, MIN_LENGTH, CHUNK, HOT = 2, 20, 512, 4096
 SEEN = 200_000
 _SEED = 97
 
 
-def segments(length: int, threshold: int) -> list[tuple[int, int]]:
-    """(start, length) of threshold + 1 segments, the longer ones last."""
-    size, more = divmod(length, threshold + 1)
+def segments(length: int, count: int) -> list[tuple[int, int]]:
+    """(start, length) of so many segments, the longer ones last."""
+    size, more = divmod(length, count)
     out, at = [], 0
-    for i in range(threshold + 1):
-        n = size + (i >= threshold + 1 - more)
+    for i in range(count):
+        n = size + (i >= count - more)
         out.append((at, n))
         at += n
     return out
@@ -56,13 +61,29 @@ def probes(length: int, threshold: int, least: int) -> list[tuple[int, int, int]
     out = set()
     for other in range(max(least, length - threshold), length + 1):
         extra = length - other
-        for i, (p, n) in enumerate(segments(other, threshold)):
+        for i, (p, n) in enumerate(segments(other, threshold + 1)):
             low = max(0, p - i, p + extra - (threshold - i))
             high = min(length - n, p + i, p + extra + (threshold - i))
             out.update((other * (threshold + 1) + i, at, n) for at in range(low, high + 1))
     return sorted(out)
 
 
+def pairs_of_segments(length: int, threshold: int, least: int) -> list[tuple[int, int, int, int, int]]:
+    """(seed, start, length, start, length) of all that can be two of threshold + 2 segments of a line: shifts that
+    the edits before, between and after them can make."""
+    out, count = set(), threshold + 2
+    for other in range(max(least, length - threshold), length + 1):
+        extra, parts = length - other, segments(other, count)
+        for i in range(count):
+            for j in range(i + 1, count):
+                (p, n), (q, m) = parts[i], parts[j]
+                for x in range(-threshold, threshold + 1):
+                    for y in range(-threshold, threshold + 1):
+                        if abs(x) + abs(y - x) + abs(extra - y) <= threshold and 0 <= p + x and p + x + n <= q + y and q + y + m <= length:
+                            out.add(((other * count + i) * count + j, p + x, n, q + y, m))
+    return sorted(out)
+
+
 def within(a: np.ndarray, b: np.ndarray, threshold: int) -> bool:
     """Whether b is at most threshold edits from a; both are arrays of code points."""
     n, m = len(a), len(b)
@@ -157,6 +178,29 @@ def _keys(threshold: int, least: int):
     return run
 
 
+def _pair_keys(threshold: int, least: int):
+    """Rows (id, text): a key for each pair of segments."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            keys: list[int] = []
+            ids: list[int] = []
+            for h, x in zip(*(c.to_pylist() for c in b.columns)):
+                plan = pairs_of_segments(len(x), threshold, least)
+                data = x.encode("utf-32-le", "surrogatepass")
+                # other seeds than those of single segments have
+                keys += [xxhash.xxh3_64_intdigest(data[4 * p : 4 * (p + n)] + data[4 * q : 4 * (q + m)], (1 << 62) + seed) for seed, p, n, q, m in plan]
+                ids += [h] * len(plan)
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, dtype=np.uint64).view(np.int64)), pa.array(ids, type=pa.int64())], names=["key", "id"])
+
+    return run
+
+
+def _met(keys: DataFrame) -> DataFrame:
+    """The distinct rows (key, id) of keys that two lines share."""
+    return keys.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_shared, "key long, id long")
+
+
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows in order of (key, id): the distinct rows of keys with two ids or more."""
     last: tuple[int, int] | None = None  # the last row, and whether its key has been given out
@@ -239,13 +283,14 @@ def find(docs: DataFrame, threshold: int = THRESHOLD, min_length: int = MIN_LENG
     firsts = written(lines.groupBy("h1", "h2").agg(F.min(order).alias("first")), "firsts")
     release(spark)
     dealt = base.select("text").mapInArrow(_keys(threshold, min_length), "key long, id long")
-    shared = written(dealt.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_shared, "key long, id long"), "shared")
+    shared = written(_met(dealt), "shared")
     release(spark)
     ids = shared.select(F.col("id").alias("h1")).distinct()
     texts = base.select("text").mapInArrow(_texts(min_length), "h1 long, h2 long, text string").join(ids, "h1", "left_semi")
     texts = texts.groupBy("h1", "h2").agg(F.first("text").alias("text")).join(firsts, ["h1", "h2"])
     texts = written(texts.select("h1", "h2", "text", "first.*"), "texts")
     release(spark)
+    shared = _cooled(shared, texts, threshold, min_length)
     sizes = written(shared.groupBy("key").agg(F.ceil(F.count("*") / CHUNK).alias("m")), "sizes")
     chunked = shared.join(sizes, "key").withColumn("c", F.pmod(F.xxhash64("id", "key"), F.col("m")))
     pairs = chunked.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)))
@@ -264,6 +309,21 @@ def find(docs: DataFrame, threshold: int = THRESHOLD, min_length: int = MIN_LENG
     return lost
 
 
+def _cooled(shared: DataFrame, texts: DataFrame, threshold: int, least: int) -> DataFrame:
+    """shared, with hot keys replaced by pairs of segments of their lines."""
+    hot = written(shared.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("key"), "hot")
+    if not hot.limit(1).count():
+        discard(hot)
+        return shared
+    ids = shared.join(hot, "key", "left_semi").select(F.col("id").alias("h1")).distinct()
+    lines = texts.join(written(ids, "hot-lines"), "h1", "left_semi").select(F.col("h1").alias("id"), "text")
+    finer = written(_met(lines.mapInArrow(_pair_keys(threshold, least), "key long, id long")), "finer")
+    cooled = written(shared.join(hot, "key", "left_anti").unionByName(finer), "cooled")
+    for t in (shared, hot, finer):
+        discard(t)
+    return cooled
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches):
         out = []

@@ -163,9 +163,21 @@ def plain_lines(rows, threshold=2, least=20):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("chunk", [512, 2])
-def test_line_dedup(spark, monkeypatch, chunk):
+@settings(max_examples=300, deadline=None)
+@given(st.text("ab", min_size=5, max_size=24), st.lists(st.tuples(st.integers(0, 30), st.sampled_from(["a", "b", ""]), st.booleans()), max_size=3), st.integers(1, 3))
+def test_matches_share_a_pair_of_segments(a, changes, t):
+    b = a
+    for at, c, insert in changes[:t]:
+        b = b[:at] + c + b[at if insert else at + 1 :]
+    if min(len(a), len(b)) > t and line_dedup.within(points(a), points(b), t):
+        keys = [{(s, x[p : p + n], x[q : q + m]) for s, p, n, q, m in line_dedup.pairs_of_segments(len(x), t, t + 1)} for x in (a, b)]
+        assert keys[0] & keys[1]
+
+
+@pytest.mark.parametrize("chunk, hot", [(512, 4096), (2, 4096), (512, 2)])
+def test_line_dedup(spark, monkeypatch, chunk, hot):
     monkeypatch.setattr(line_dedup, "CHUNK", chunk)
+    monkeypatch.setattr(line_dedup, "HOT", hot)
     r = random.Random(chunk)
     base = [words(i, r.randint(1, 9), "abcde") for i in range(40)]
     rows = []
