@@ -75,6 +75,7 @@ def clear(spark: SparkSession) -> None:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df under the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
+    ship(spark)  # functions of this package run in the plan
     path = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -95,8 +96,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished stages: it does so when the driver collects garbage."""
+    """Let Spark drop the shuffle files of finished stages: it does so when the driver collects garbage.
+
+    The last query's plan is held until another has run; hence the small one."""
     import gc
 
+    spark.range(1).count()
     gc.collect()
     spark.sparkContext._jvm.System.gc()
