@@ -10,7 +10,8 @@ language, chosen by a hash of id and text, equally much of each up to SAMPLE_CHA
 language. Every whole text is classified, in the scan, without a shuffle.
 
 Defined results: null text and text without a letter get "und", score 0; rows without id or language
-are not learned from; without any labelled row everything is "und"; repeated rows come out each.
+are not learned from; without any labelled row everything is "und"; repeated rows come out each; an empty table gives
+an empty one; a very long text is encoded PIECE bytes at a time.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.runtime import ship
+
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 400, 1500, 100_000
 PIECE, LEVEL, MIN_MARGIN = 4096, 3, 0.02
 
@@ -100,6 +103,7 @@ def _classify(dictionaries: dict[str, bytes]):
 
 def predict(docs: DataFrame, dictionaries: dict[str, bytes], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, lang_pred, score, margin and accepted of every document."""
+    ship(docs.sparkSession)
     has = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.when(has, letters(F.col(text))).alias("t"))
     return rows.mapInArrow(_classify(dictionaries), "doc_id long, lang_pred string, score double, margin double, accepted boolean")

@@ -14,7 +14,8 @@ A bucket of more than CHUNK members is cut into chunks, and each pair of chunks
 own, so no task holds more than two chunks of a bucket, and none is left out.
 
 Defined results: null text has no words; texts without words have fingerprint zero and link like
-any other; repeated rows come out each; a component's id is its smallest non-null doc_id.
+any other; repeated rows come out each; an empty table gives an empty one; a very long text is hashed some
+65,536 shingles at a time; a component's id is its smallest non-null doc_id.
 """
 
 from __future__ import annotations

@@ -137,8 +137,8 @@ def test_lines_within_the_threshold_share_a_key(a, data, t):
         assert edits(a, b) > t or keys[0] & keys[1]
 
 
-def plain_lines(rows, threshold=2, least=20):
-    """rows in order of (id, null last): what stays of each text."""
+def plain_kept(rows, threshold=2, least=20):
+    """rows in order of (id, null last): (id, text left, lines with a word, how many of them stay)."""
     has_word = lambda x: bool(re.search(r"[^\x20\x09-\x0D]", x))
     first, near = {}, set()
     for d, t in rows:
@@ -159,8 +159,12 @@ def plain_lines(rows, threshold=2, least=20):
                     continue
                 k += 1
             kept.append(x)
-        out.append((d, n, n - k, hashlib.sha256("\n".join(kept).encode("utf-8", "surrogatepass")).hexdigest()))
-    return sorted(out, key=repr)
+        out.append((d, "\n".join(kept), n, k))
+    return out
+
+
+def plain_lines(rows):
+    return sorted(((d, n, n - k, hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest()) for d, t, n, k in plain_kept(rows)), key=repr)
 
 
 @settings(max_examples=300, deadline=None)
