@@ -909,7 +909,7 @@ def _published(spark, sf) -> tuple:
     d = docs(spark, sf)
     sources = incremental.inventory(_files(d))
     root = Path(scratch(spark, "index").removeprefix("file://"))
-    store.publish(root, "all", made, sources, Settings())
+    store.publish(root, "all", made, sources, Settings(stem=False))
     return store.load(spark, root)
 
 

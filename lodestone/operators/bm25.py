@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import documents as D
 from lodestone.functions import lexical as X
 from lodestone.operators.filters import Filters, clamp
-from lodestone.operators.index import Index, terms
+from lodestone.operators.index import KEY, Index, terms
 
 DIGITS = 9
 # Products of rounded scores and short factors often lie halfway between two roundings, where engines differ;
@@ -101,21 +101,31 @@ def status_factor(status: Column) -> Column:
 def anchored(index: Index, pooled: DataFrame, queries: DataFrame) -> DataFrame:
     """Pooled chunks with the lexical evidence of their metadata and text."""
     q = queries.select("qid", X.rank_terms(F.col("query"), True).alias("q"))
-    facts = described(index, pooled, status=F.col("status"), _meta=metadata_terms(), _names=page_names(), _text=X.rank_terms(F.col("text")))
+    facts = described(index, pooled).drop("path_terms")
     rows = pooled.join(facts, ["collection", "path", "chunk_index"]).join(q, "qid")
     return rows.withColumns(
         {
-            "overlap": overlap(F.col("q"), F.col("_meta")),
-            "names_query": names_page(F.col("q"), F.col("_names")),
-            "covers_query": covers(F.col("q"), F.col("_text")),
+            "overlap": overlap(F.col("q"), F.col("meta_terms")),
+            "names_query": names_page(F.col("q"), F.col("name_terms")),
+            "covers_query": covers(F.col("q"), F.col("content_terms")),
         }
-    ).drop("_meta", "_names", "_text")
+    ).drop("meta_terms", "name_terms", "content_terms")
 
 
-def described(index: Index, pooled: DataFrame, **facts: Column) -> DataFrame:
-    """Facts of the chunks that any query pooled, each chunk's taken once however many queries have it."""
-    keys = ["collection", "path", "chunk_index"]
-    return index.chunks.join(pooled.select(*keys).distinct(), keys, "left_semi").select(*keys, *(v.alias(k) for k, v in facts.items()))
+def rank_facts(chunks: DataFrame) -> DataFrame:
+    """What ranking needs of a chunk besides its words: status and terms of its text, path, names and metadata."""
+    return chunks.select(
+        *KEY, "status", X.rank_terms(F.col("text")).alias("content_terms"), page_names().alias("name_terms"),
+        X.rank_terms(F.col("path")).alias("path_terms"), metadata_terms().alias("meta_terms"),
+    )
+
+
+def described(index: Index, pooled: DataFrame) -> DataFrame:
+    """rank_facts of the chunks that any query pooled: as published, else each chunk's taken once, however many queries have it."""
+    wanted = pooled.select(*KEY).distinct()
+    if index.facts is not None:
+        return index.facts.join(wanted, list(KEY), "left_semi")
+    return rank_facts(index.chunks.join(wanted, list(KEY), "left_semi"))
 
 
 def file_score(best: Column, scores: Column, overlap_: Column, names: Column, hub: Column, factor: Column) -> Column:

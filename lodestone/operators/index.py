@@ -30,6 +30,7 @@ class Index:
     k1: float = 1.2
     b: float = 0.5
     stem: bool = False
+    facts: DataFrame | None = None  # bm25.rank_facts of all chunks, in published indexes
 
     def with_vectors(self, vectors: DataFrame) -> "Index":
         return replace(self, vectors=vectors)

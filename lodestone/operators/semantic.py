@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from lodestone.functions import documents as D
 from lodestone.functions import lexical as X
-from lodestone.operators.bm25 import NUDGE, described, page_names, status_factor
+from lodestone.operators.bm25 import NUDGE, described, status_factor
 from lodestone.operators.filters import Filters, clamp
 from lodestone.operators.index import KEY, Index
 from lodestone.runtime import written
@@ -224,9 +224,8 @@ def semantic_search(index: Index, queries: DataFrame, top_k: int = 10, filters:
         vectors = vectors.join(kept, list(KEY), "left_semi")
     pooled = cosine_pool(vectors, asked, max(top_k, LEAST_POOL))
     q = asked.select("qid", X.rank_terms(F.col("query"), True).alias("q"))
-    facts = described(index, pooled, status=F.col("status"), _names=page_names(), _path=X.rank_terms(F.col("path")), _text=X.rank_terms(F.col("text")))
-    rows = pooled.join(facts, list(KEY)).join(q, "qid")
-    boost = lexical_boost(F.col("q"), F.col("_names"), F.col("_path"), F.col("_text"))
+    rows = pooled.join(described(index, pooled).drop("meta_terms"), list(KEY)).join(q, "qid")
+    boost = lexical_boost(F.col("q"), F.col("name_terms"), F.col("path_terms"), F.col("content_terms"))
     rows = rows.withColumn("boost", boost)
     rows = rows.withColumn("sort_score", F.round((F.col("cosine") + F.col("boost")) * status_factor(F.col("status")) + NUDGE, DIGITS))
     w = Window.partitionBy("qid", "collection").orderBy(F.desc("sort_score"), "pool_rank")

@@ -28,11 +28,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone import types
+from lodestone.operators.bm25 import rank_facts
 from lodestone.operators.index import KEY, Index
 from lodestone.settings import BusyError, CorruptIndexError, OperationError, Settings
 
-VERSION = 1
-TABLES = {"chunks": types.CHUNKS, "postings": types.POSTINGS, "term_df": types.TERM_DF, "stats": types.STATS, "sources": types.SOURCES}
+VERSION = 2
+# what generations of each version that can be read lack
+MISSING = {1: {"rank_terms"}, 2: set()}
+TABLES = {"chunks": types.CHUNKS, "postings": types.POSTINGS, "term_df": types.TERM_DF, "stats": types.STATS, "rank_terms": types.RANK_TERMS, "sources": types.SOURCES}
 _GENERATION = re.compile(r"gen-[A-Za-z0-9_-]+\Z")
 
 
@@ -64,8 +67,8 @@ class Manifest:
             made = cls(**raw)
         except (ValueError, TypeError) as x:
             raise CorruptIndexError(f"manifest: {x}") from None
-        if made.version != VERSION:
-            raise CorruptIndexError(f"manifest of version {made.version}, expected {VERSION}")
+        if made.version not in MISSING:
+            raise CorruptIndexError(f"manifest of version {made.version}, expected one of {sorted(MISSING)}")
         if made.recipe_sha != fingerprint(made.recipe):
             raise CorruptIndexError("manifest: the recipe does not match its fingerprint")
         return made
@@ -186,10 +189,15 @@ def publish(root: Path, collection: str, index: Index, sources: DataFrame, setti
         name = f"gen-{datetime.now(timezone.utc):%Y%m%dT%H%M%S}-{time.time_ns()}"
         made = root / f"{name}.tmp"
         assert_shared(index.chunks.sparkSession, root)
+        recipe = settings.recipe()
+        if (index.k1, index.b, index.stem) != (recipe["k1"], recipe["b"], bool(recipe["stem"])):
+            raise CorruptIndexError("the index was built with other parameters than the settings have")
         try:
-            frames = {"chunks": index.chunks, "postings": index.postings, "term_df": index.term_df, "stats": index.stats, "sources": sources}
+            frames = {"chunks": index.chunks, "postings": index.postings, "term_df": index.term_df, "stats": index.stats, "rank_terms": None, "sources": sources}
             spark = index.chunks.sparkSession
             for table, frame in frames.items():
+                if table == "rank_terms":  # taken from the chunks as written
+                    frame = rank_facts(spark.read.schema(types.CHUNKS).parquet(f"file://{made / 'chunks'}"))
                 out = frame.select(*(F.col(f.name).cast(f.dataType) for f in TABLES[table].fields))
                 if table == "postings":  # a term's postings lie together, so a query reads few row groups
                     out = out.repartitionByRange(F.col("term")).sortWithinPartitions("term")
@@ -199,7 +207,6 @@ def publish(root: Path, collection: str, index: Index, sources: DataFrame, setti
                 index.vectors.select(*KEY, "embedding").write.parquet(f"file://{made / 'vectors'}")
                 written = written.with_vectors(spark.read.parquet(f"file://{made / 'vectors'}"))
             docs, chunks, vectors = assert_sound(written, spark.read.schema(types.SOURCES).parquet(f"file://{made / 'sources'}"))
-            recipe = settings.recipe()
             manifest = Manifest(VERSION, collection, name, recipe, fingerprint(recipe), docs, chunks, vectors, datetime.now(timezone.utc).isoformat())
             (made / "manifest.json").write_text(canonical(asdict(manifest)), encoding="utf-8")
             for here, _, names in os.walk(made, topdown=False):
@@ -238,16 +245,17 @@ def load(spark: SparkSession, root: Path, attempts: int = 3) -> tuple[Manifest,
         here = root / name
         try:
             manifest = Manifest.decode((here / "manifest.json").read_text(encoding="utf-8"))
-            missing = [t for t in TABLES if not (here / t / "_SUCCESS").exists()]
+            tables = {t: s for t, s in TABLES.items() if t not in MISSING[manifest.version]}
+            missing = [t for t in tables if not (here / t / "_SUCCESS").exists()]
             if missing:
                 raise FileNotFoundError(", ".join(missing))
         except FileNotFoundError as x:
             if left > 1 and read_pointer(root) != name:
                 continue
             raise CorruptIndexError(f"{name}: {x}") from None
-        read = {t: spark.read.schema(s).parquet(f"file://{here / t}") for t, s in TABLES.items()}
+        read = {t: spark.read.schema(s).parquet(f"file://{here / t}") for t, s in tables.items()}
         r = manifest.recipe
-        index = Index(read["chunks"], read["postings"], read["term_df"], read["stats"], None, r["k1"], r["b"], bool(r["stem"]))
+        index = Index(read["chunks"], read["postings"], read["term_df"], read["stats"], None, r["k1"], r["b"], bool(r["stem"]), read.get("rank_terms"))
         if manifest.vectors:
             index = index.with_vectors(spark.read.parquet(f"file://{here / 'vectors'}"))
         return manifest, index, read["sources"]

@@ -24,3 +24,7 @@ VECTORS = _of(("collection", S, False), ("chunk_id", S, False), ("embedding", T.
 POSTINGS = _of(("collection", S, False), ("term", S, False), ("path", S, False), ("chunk_index", I, False), ("tf", L, False), ("dl", L, False))
 TERM_DF = _of(("collection", S, False), ("term", S, False), ("df", L, False))
 STATS = _of(("collection", S, False), ("n", L, False), ("avgdl", D, False))
+RANK_TERMS = _of(
+    ("collection", S, False), ("path", S, False), ("chunk_index", I, False), ("status", S), ("content_terms", T.ArrayType(S)),
+    ("name_terms", T.ArrayType(T.ArrayType(S))), ("path_terms", T.ArrayType(S)), ("meta_terms", T.ArrayType(S)),
+)

@@ -165,6 +165,32 @@ def test_pointer_and_manifest(tmp_path):
             store.Manifest.decode(text)
 
 
+def test_generations_without_rank_terms_are_read(spark, tmp_path):
+    """What the first version published is searched as a new index is; others are refused."""
+    import json
+    import shutil
+
+    from lodestone import catalogue
+    from lodestone.operators import bm25
+
+    made = catalogue.index(spark, "/root/testdata/sf0.001")
+    sources = incremental.inventory(catalogue._files(catalogue.docs(spark, "/root/testdata/sf0.001")))
+    name = store.publish(tmp_path, "c", made, sources, Settings(stem=False)).generation
+    asked = catalogue.asked(spark, "/root/testdata/sf0.001").limit(20)
+    found = lambda index: sorted(map(tuple, bm25.keyword_search(index, asked, 5).select("qid", "path", "rank", "score", "overlap").collect()))
+    new = store.load(spark, tmp_path)[1]
+    want = found(new)
+    assert new.facts is not None and want == found(made)
+    manifest = json.loads((tmp_path / name / "manifest.json").read_text())
+    (tmp_path / name / "manifest.json").write_text(json.dumps(manifest | {"version": 1}))
+    shutil.rmtree(tmp_path / name / "rank_terms")
+    old = store.load(spark, tmp_path)[1]
+    assert old.facts is None and found(old) == want
+    (tmp_path / name / "manifest.json").write_text(json.dumps(manifest))
+    with pytest.raises(CorruptIndexError):
+        store.load(spark, tmp_path)
+
+
 def test_change_detection(spark):
     kind = "path string, content_sha string"
     a = spark.createDataFrame([("same", "1"), ("edit", "1"), ("gone", "1"), ("blank", "")], kind)
