@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.runtime import ship
+from lodestone.runtime import ship, written
 
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 400, 1500, 100_000
 PIECE, LEVEL, MIN_MARGIN = 4096, 3, 0.02
@@ -41,7 +41,8 @@ def held_out(doc_id: Column) -> Column:
 def fit(labelled: DataFrame) -> dict[str, bytes]:
     """Dictionaries from rows (doc_id, text, lang)."""
     usable = labelled.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    sizes = usable.groupBy("lang").agg(F.count("*").alias("n")).select("lang", "n")
+    # a row a language, of which dictionaries come to the driver below: broadcast, so that texts are not shuffled
+    sizes = F.broadcast(written(usable.groupBy("lang").agg(F.count("*").alias("n")), "languages"))
     steps = 1 << 30
     # about twice SAMPLE_DOCS rows a language, or all, without a sort of whole languages; by id and text, so no hot id comes whole
     place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(steps)).cast("double") / steps
