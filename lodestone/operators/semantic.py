@@ -56,6 +56,41 @@ class HashedBackend:
         return out
 
 
+def onnx_backend(model: str, tokenizer: str, dim: int, name: str | None = None, max_tokens: int = 256) -> type:
+    """A backend class for a transformer encoder in a local ONNX file and its tokenizer's JSON file.
+
+    Texts are cut to max_tokens and padded to the longest of a batch; token vectors are averaged under the attention mask,
+    unless the model gives one vector a text. Both files must be at the same path on every executor."""
+
+    class OnnxBackend:
+        model_name = name or model
+
+        def __init__(self):
+            import onnxruntime
+            from tokenizers import Tokenizer
+
+            options = onnxruntime.SessionOptions()
+            options.intra_op_num_threads = 1  # a task has one core
+            self.session = onnxruntime.InferenceSession(model, options, providers=["CPUExecutionProvider"])
+            self.inputs = {i.name for i in self.session.get_inputs()}
+            self.tokenizer = Tokenizer.from_file(tokenizer)
+            self.tokenizer.enable_truncation(max_tokens)
+            self.tokenizer.enable_padding()
+
+        def encode(self, texts: list[str]) -> np.ndarray:
+            found = self.tokenizer.encode_batch(list(texts))
+            ids, mask = (np.array([getattr(e, k) for e in found], dtype=np.int64) for k in ("ids", "attention_mask"))
+            given = {"input_ids": ids, "attention_mask": mask, "token_type_ids": np.zeros_like(ids)}
+            out = self.session.run(None, {k: v for k, v in given.items() if k in self.inputs})[0].astype(np.float32)
+            if out.ndim == 3:
+                weight = mask[:, :, None].astype(np.float32)
+                out = (out * weight).sum(axis=1) / np.maximum(weight.sum(axis=1), 1)
+            return out
+
+    OnnxBackend.dim = dim
+    return OnnxBackend
+
+
 _STOP = frozenset(X.STOPWORDS)
 
 

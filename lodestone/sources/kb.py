@@ -13,9 +13,11 @@ import os
 from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from lodestone import types
 from lodestone.functions import documents as D
@@ -113,6 +115,31 @@ def files(spark: SparkSession, root: str | Path, exclude: tuple[str, ...] = ())
     return spark.read.format("lodestone_kb").option("root", str(root)).option("exclude", json.dumps(list(exclude))).load()
 
 
+def capture(spark: SparkSession, root: str | Path, inventory: DataFrame, exclude: tuple[str, ...] = ()) -> DataFrame:
+    """The files of an inventory (path, content_sha) as they are now, in types.FILES.
+
+    A file that is hidden, ignored or unsupported by now, or gone, is "excluded" and has no content; one whose content
+    is not that of the inventory fails the job, so what is built is of one state."""
+    base = Path(root)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rules = IgnoreRules.load(base)
+        schema = to_arrow_schema(types.FILES)
+        for b in batches:
+            rows = []
+            for path, sha in zip(*(c.to_pylist() for c in b.columns)):
+                if not _wanted(base, base / path, rules, exclude):
+                    rows.append((path, Path(path).suffix.lower(), 0.0, 0, sha, "excluded", None))
+                    continue
+                rows.append(read_file(base, path))
+                if rows[-1][4] != sha:
+                    raise ReadError(f"{path} is not what the inventory says; run again")
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+    return inventory.select("path", "content_sha").mapInArrow(run, types.FILES)
+
+
 def documents(captured: DataFrame, collection: str) -> DataFrame:
     """Captured files (types.FILES) as documents (types.DOCS); front matter is read from Markdown only."""
     rows = captured.filter("capture = 'captured'")

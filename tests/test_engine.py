@@ -62,6 +62,21 @@ def test_ignore_rules(rules, path, want):
     assert IgnoreRules(rules).ignored(path) is want
 
 
+def test_capture_of_an_inventory(spark, root):
+    """Files as the inventory has them, those left out by now marked, and changed ones refused."""
+    before = spark.createDataFrame(kb.files(spark, root).select("path", "content_sha").collect(), "path string, content_sha string")
+    got = {r.path: (r.capture, r.content) for r in kb.capture(spark, root, before).collect()}
+    assert got["blank.md"][0] == "empty" and got["guide/old.md"] == ("captured", "---\nstatus: superseded\n---\n# Embedding model of old\n\nThe embedding model turned text into vectors.\n")
+    (root / ".lodestoneignore").write_text("skip/*\n!skip/keep.md\nguide/old.md\n")
+    (root / "index.md").unlink()
+    got = {r.path: r.capture for r in kb.capture(spark, root, before).collect()}
+    assert got["guide/old.md"] == got["index.md"] == "excluded" and got["guide/models.md"] == "captured" and len(got) == before.count()
+    assert not {"guide/old.md", "index.md"} & {r.path for r in kb.documents(kb.capture(spark, root, before), "c").collect()}
+    (root / "guide" / "models.md").write_text("# Other")
+    with pytest.raises(Exception, match="not what the inventory says"):
+        kb.capture(spark, root, before).collect()
+
+
 def test_links_out_of_the_root_are_excluded(root, tmp_path):
     (tmp_path / "out.md").write_text("# out")
     (root / "link.md").symlink_to(tmp_path / "out.md")
