@@ -1,8 +1,8 @@
 """The live files of a knowledge base as a Spark data source.
 
 Spark's own file sources skip names that start with an underscore; here only dot names, excluded names
-and ignored paths are left out. One partition a top-level entry; folders that nothing can bring back
-are never listed. register() once a session, then spark.read.format("lodestone_kb").option(...).
+and ignored paths are left out. The driver lists names, as it does for Spark's own sources, and tasks read
+FILES of them each, however they lie in folders; folders that nothing can bring back are never listed. register() once a session, then spark.read.format("lodestone_kb").option(...).
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from lodestone.functions import documents as D
 from lodestone.settings import ReadError
 from lodestone.sources.paths import IgnoreRules, excluded
 
-BLOCK = 1 << 16
+BLOCK, FILES = 1 << 16, 500
 
 
 def hash_file(path: Path) -> str:
@@ -65,9 +65,12 @@ def _wanted(root: Path, file: Path, rules: IgnoreRules, exclude: tuple[str, ...]
 def read_file(root: Path, relative: str) -> tuple:
     """One row of types.FILES; fails if the file changes while it is read or is not UTF-8."""
     path = root / relative
-    before = path.stat()
-    data = path.read_bytes()
-    after = path.stat()
+    try:
+        before = path.stat()
+        data = path.read_bytes()
+        after = path.stat()
+    except FileNotFoundError:
+        raise ReadError(f"{relative} went while it was read; run again") from None
     if (before.st_mtime_ns, before.st_size, before.st_ino) != (after.st_mtime_ns, after.st_size, after.st_ino) or len(data) != before.st_size:
         raise ReadError(f"{relative} changed while it was read; run again")
     try:
@@ -83,13 +86,12 @@ class _Reader(DataSourceReader):
         self.root, self.exclude = root, exclude
 
     def partitions(self) -> list[InputPartition]:
-        tops = sorted(p.name for p in self.root.iterdir() if not p.name.startswith(".") and p.name not in self.exclude) if self.root.is_dir() else []
-        return [InputPartition(t) for t in tops] or [InputPartition(None)]
+        paths = tuple(walk(self.root, exclude=self.exclude))
+        return [InputPartition(paths[at : at + FILES]) for at in range(0, len(paths), FILES)] or [InputPartition(())]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        if partition.value is not None:
-            for relative in walk(self.root, partition.value, self.exclude):
-                yield read_file(self.root, relative)
+        for relative in partition.value:
+            yield read_file(self.root, relative)
 
 
 class KnowledgeBase(DataSource):

@@ -51,6 +51,17 @@ def test_data_source(spark, root):
     (root / "bad.md").write_bytes(b"\xff\xfe")
     with pytest.raises(ReadError):
         kb.read_file(root, "bad.md")
+    with pytest.raises(ReadError):
+        kb.read_file(root, "gone.md")
+
+
+def test_a_large_folder_is_many_tasks(spark, tmp_path):
+    for i in range(1201):
+        (tmp_path / f"f{i}.md").write_text(f"# {i}")
+    found = kb.files(spark, tmp_path)
+    assert found.count() == 1201 and found.rdd.getNumPartitions() == 3
+    (tmp_path / "none").mkdir()
+    assert kb.files(spark, tmp_path / "none").count() == 0
 
 
 @pytest.mark.parametrize(
