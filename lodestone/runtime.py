@@ -10,6 +10,7 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+_BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 
 def session(app: str = "lodestone", cpus: int | str = "*") -> SparkSession:
@@ -28,7 +29,12 @@ def session(app: str = "lodestone", cpus: int | str = "*") -> SparkSession:
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in Python workers of any executor, once per application."""
+    """Make this package importable in Python workers of any executor, once per application.
+
+    Unless the cluster says otherwise, batches between the JVM and Python hold BATCH_BYTES: texts are long, and the
+    buffers of a batch of 10,000 would be memory that no heap setting bounds."""
+    if spark.sparkContext.getConf().get(_BATCH) is None:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
