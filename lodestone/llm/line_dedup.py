@@ -35,7 +35,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lodestone.llm.rows import ROW, slices, unwrap, wrap
 from lodestone.runtime import discard, release, written
@@ -324,25 +323,17 @@ def _cooled(shared: DataFrame, texts: DataFrame, threshold: int, least: int) ->
     return cooled
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in slices(batches):
-        out = []
-        for text, lines in zip(b.column(1), b.column(2).to_pylist()):
-            gone, t = set(lines or ()), text.as_py()
-            kept = t if t is None else "\n".join([x for i, x in enumerate(t.split("\n")) if i not in gone])
-            worded = len(_lines(t))
-            out.append((kept, worded, worded - len(gone)))
-        arrays = [pa.array([r[0] for r in out], type=pa.string()), *(pa.array([r[k] for r in out], type=pa.int64()) for k in (1, 2))]
-        yield pa.RecordBatch.from_arrays([b.column(0), *arrays], names=[ROW, "kept", "n_lines", "n_kept"])
-
-
 def apply(docs: DataFrame, lost: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Each document as one struct, with kept (the text left), n_lines and n_kept (lines with a word)."""
     lists = lost.groupBy("k1", "k2").agg(F.collect_set("line").alias("gone"))
     rows = wrap(docs, text=F.col(text), k1=F.xxhash64(F.col(doc_id).cast("long"), F.col(text)), k2=F.xxhash64(text, F.lit(_SEED)))
-    rows = rows.join(lists, ["k1", "k2"], "left").select(ROW, "text", "gone")
-    added = [T.StructField("kept", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_kept", T.LongType())]
-    return rows.mapInArrow(_cut, T.StructType([rows.schema[ROW], *added]))
+    rows = rows.join(lists, ["k1", "k2"], "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
+    rows = rows.select(ROW, "text", "gone", F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("lines"))
+    # without Python, as whole rows pass here; by set operations, so the work grows with the lines
+    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone"), lambda i: F.get("lines", i))
+    kept = F.when(F.col("text").isNotNull(), F.when(F.size("gone") == 0, F.col("text")).otherwise(F.array_join(left, "\n")))
+    worded = F.size(F.filter("lines", lambda x: x.rlike(r"[^\x20\x09-\x0D]"))).cast("long")
+    return rows.select(ROW, kept.alias("kept"), worded.alias("n_lines"), (worded - F.size("gone")).cast("long").alias("n_kept"))
 
 
 def deduplicate(docs: DataFrame, threshold: int = THRESHOLD, min_length: int = MIN_LENGTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
