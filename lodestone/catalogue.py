@@ -73,8 +73,10 @@ def chunks(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.build_chunks(docs(spark, sf), by="windows")
 
 
-def index(spark: SparkSession, sf: str) -> I.Index:
-    return I.build(written(chunks(spark, sf), "chunks"))
+def index(spark: SparkSession, sf: str, whole: bool = False) -> I.Index:
+    """The index of all chunks; pieces are part of their texts, and are kept a second time only to be published."""
+    found = chunks(spark, sf)
+    return I.build(written(found if whole else found.drop("piece"), "chunks"))
 
 
 def asked(spark: SparkSession, sf: str) -> DataFrame:
@@ -905,7 +907,7 @@ def search_response(spark, sf):
 
 
 def _published(spark, sf) -> tuple:
-    made = index(spark, sf)
+    made = index(spark, sf, whole=True)
     d = docs(spark, sf)
     sources = incremental.inventory(_files(d))
     root = Path(scratch(spark, "index").removeprefix("file://"))

@@ -1,13 +1,16 @@
 """BM25 over chunks, rolled up to documents, for batches of queries (qid, query).
 
 Query words meet postings in an equi-join on (collection, term), so only the postings of query words
-are read; Spark chooses to broadcast by measured size. Scores are rounded to DIGITS before any
+count; the words of a block of queries are broadcast, postings stay where they are, and what is shuffled is a sum
+for each task, query and chunk, which goes before the next block. Scores are rounded to DIGITS before any
 ranking, so the order in which partial sums arrive cannot change a rank; ties go by path and
 chunk. Ranks are taken per (query, collection): collections are separate indexes.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,8 +18,10 @@ from lodestone.functions import documents as D
 from lodestone.functions import lexical as X
 from lodestone.operators.filters import Filters, clamp
 from lodestone.operators.index import KEY, Index, terms
+from lodestone.runtime import discard, release, written
 
 DIGITS = 9
+MOST_WORDS, LEAST_ROWS = 1 << 18, 1 << 24
 # Products of rounded scores and short factors often lie halfway between two roundings, where engines differ;
 # moved by this much they never do.
 NUDGE = 2e-11
@@ -43,16 +48,33 @@ def idf(n: Column, df: Column) -> Column:
     return F.log(1 + (n - df + 0.5) / (df + 0.5))
 
 
-def chunk_scores(index: Index, queries: DataFrame) -> DataFrame:
-    """(qid, collection, path, chunk_index, score) of every chunk with a query word."""
+def blocks(index: Index, queries: DataFrame) -> list[DataFrame]:
+    """(qid, collection, term, avgdl, weight, df) of the query words that the index has, in blocks of queries: some
+    MOST_WORDS rows each, that meet at most half as many postings as the chunks have words (or LEAST_ROWS)."""
     words = query_words(index, queries).join(index.term_df, "term").join(index.stats, "collection")
-    words = words.select("qid", "collection", "term", "avgdl", (F.col("times") * idf(F.col("n"), F.col("df"))).alias("weight"))
+    words = words.select("qid", "collection", "term", "avgdl", (F.col("times") * idf(F.col("n"), F.col("df"))).alias("weight"), "df")
+    words = written(words, "words")
+    release(words.sparkSession)
+    rows, met = words.agg(F.count("*"), F.coalesce(F.sum("df"), F.lit(0))).first()
+    total = index.stats.agg(F.coalesce(F.sum(F.col("n") * F.col("avgdl")), F.lit(0.0))).first()[0]
+    n = max(-(-rows // MOST_WORDS), int(-(-met // max(LEAST_ROWS, total / 2))))
+    block = F.pmod(F.xxhash64("qid"), F.lit(n))
+    return [words.filter(block == i) for i in range(n)] if n > 1 else [words]
+
+
+def sums(index: Index, words: DataFrame) -> DataFrame:
+    """Scores of the queries of a block. Its words go to the postings, which lie by chunks or terms."""
     tf = F.col("tf").cast("double")
     part = F.col("weight") * tf / (tf + index.k1 * (1 - index.b + index.b * F.col("dl") / F.col("avgdl")))
-    hits = index.postings.join(words, ["collection", "term"])
+    hits = index.postings.join(F.broadcast(words.drop("df")), ["collection", "term"])
     return hits.groupBy("qid", "collection", "path", "chunk_index").agg(F.round(F.sum(part), DIGITS).alias("score"))
 
 
+def chunk_scores(index: Index, queries: DataFrame) -> DataFrame:
+    """(qid, collection, path, chunk_index, score) of every chunk with a query word."""
+    return reduce(DataFrame.union, [sums(index, words) for words in blocks(index, queries)])
+
+
 def mask(index: Index, scored: DataFrame, filters: Filters) -> DataFrame:
     """Scored rows of chunks that pass the filters; scores and statistics are as without."""
     if filters.empty:
@@ -171,8 +193,16 @@ def ranked(docs: DataFrame, n: int) -> DataFrame:
 def evidence(index: Index, queries: DataFrame, n: int, filters: Filters = Filters()) -> DataFrame:
     """The pooled chunks, with evidence, that the best n documents of each query and collection are made from."""
     asked = queries.filter(D.strip(F.col("query")) != "")
-    pooled = pool(mask(index, chunk_scores(index, asked), filters), pool_size(n))
-    return anchored(index, pooled, asked)
+    pools = []
+    for words in blocks(index, asked):
+        # written, as the pool is read twice, and the sums of a block go before those of the next
+        pools.append(written(pool(mask(index, sums(index, words), filters), pool_size(n)), "pool"))
+        release(words.sparkSession)
+    found = written(anchored(index, reduce(DataFrame.union, pools), asked), "evidence")
+    for p in pools:
+        discard(p)
+    release(found.sparkSession)
+    return found
 
 
 def best_documents(index: Index, rows: DataFrame, n: int, filters: Filters = Filters()) -> DataFrame:

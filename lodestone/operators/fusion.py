@@ -107,7 +107,7 @@ def adaptive_search(index: Index, queries: DataFrame, top_k: int = 10, filters:
     searched by vectors."""
     top_k = clamp(top_k)
     first, deep = max(top_k, 2), clamp(2 * top_k, 20)
-    pooled = written(evidence(index, queries, max(first, deep), filters), "pool")
+    pooled = evidence(index, queries, max(first, deep), filters)
     keyword = written(best_documents(index, pooled, first, filters), "keyword")
     keys = ["qid", "collection"]
     undecided = written(_decided(index, queries, keyword).filter("not (blank or strong or lost)").select(*keys), "undecided")

@@ -257,7 +257,8 @@ def semantic_search(index: Index, queries: DataFrame, top_k: int = 10, filters:
     if not filters.empty:
         kept = index.chunks.filter(filters.predicate()).select(*KEY)
         vectors = vectors.join(kept, list(KEY), "left_semi")
-    pooled = cosine_pool(vectors, asked, max(top_k, LEAST_POOL))
+    # written, as it is read twice: vectors of texts are made once
+    pooled = written(cosine_pool(vectors, asked, max(top_k, LEAST_POOL)), "nearest")
     q = asked.select("qid", X.rank_terms(F.col("query"), True).alias("q"))
     rows = pooled.join(described(index, pooled).drop("meta_terms"), list(KEY)).join(q, "qid")
     boost = lexical_boost(F.col("q"), F.col("name_terms"), F.col("path_terms"), F.col("content_terms"))

@@ -212,3 +212,38 @@ def test_snippets_are_those_of_a_plain_loop(spark):
                         want[q, x[1]] = (no, None)
         got = {(x.qid, x.rank): (x.doc_no, x.snippet) for x in presentation.snippets(df, documents, each).collect()}
         assert got == want
+
+
+def test_scores_do_not_depend_on_blocks_of_queries(spark, monkeypatch):
+    made = I.build(chunks(spark, [(f"{i}.md", f"cat w{i} " + "dog " * (i % 4), "A", "", None) for i in range(40)]))
+    q = queries(spark, *(f"cat w{i} dog dog" for i in range(30)), "cat", "none of them")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    scores, found = rows(bm25.chunk_scores(made, q)), rows(bm25.keyword_search(made, q, 5))
+    assert len(bm25.blocks(made, q)) == 1
+    monkeypatch.setattr(bm25, "MOST_WORDS", 25)
+    assert len(bm25.blocks(made, q)) == 4
+    assert rows(bm25.chunk_scores(made, q)) == scores and rows(bm25.keyword_search(made, q, 5)) == found
+    monkeypatch.setattr(bm25, "MOST_WORDS", 1 << 18)
+    monkeypatch.setattr(bm25, "LEAST_ROWS", 1)
+    assert len(bm25.blocks(made, q)) > 4 and rows(bm25.keyword_search(made, q, 5)) == found
+
+
+def test_postings_are_counted_in_their_row(spark):
+    rows = [("a.md", "b a b", "A", "", None), ("b.md", "", "B", "", None), ("c.md", "the of", "C", "", None), ("d.md", "Zwei zwei drei é1 é1 é1", "D", "", None)]
+    made = chunks(spark, rows).repartition(2).withColumn("text", F.when(F.col("path") == "b.md", F.lit(None)).otherwise(F.col("text")))
+    key = ["path", "term", "tf", "dl"]
+    counted = I._postings(made, False)
+    assert sorted(map(tuple, counted.select(key).collect())) == sorted(map(tuple, I.terms(made, F.col("text"), I.KEY, False).select(key).collect()))
+    assert "Exchange hashpartitioning" not in counted._jdf.queryExecution().executedPlan().toString()
+
+
+def test_query_words_go_to_the_postings(spark):
+    """Postings stay where they are: the join with query words broadcasts these, of whatever size."""
+    made = I.build(chunks(spark, [(f"{i}.md", f"cat w{i}", "A", "", None) for i in range(5)]))
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = bm25.chunk_scores(made, queries(spark, "cat w1"))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
