@@ -705,7 +705,8 @@ def regression_compare(spark, sf):
 @register(f"{_EVAL} select 'again' as name, true as consistent, count(*) as categories from (select distinct category from ev) x")
 def report_consistency(spark, sf):
     """Aggregates equal those made anew from the rows in another order."""
-    rows = results(spark, sf)
+    # written: both sides are made from one evaluation
+    rows = written(results(spark, sf), "results")
     a, b = evaluate.by(rows, "category"), evaluate.by(rows.repartition(3), "category")
     differs = a.exceptAll(b).unionByName(b.exceptAll(a)).agg(F.count("*").alias("n"))
     return a.agg(F.count("*").alias("categories")).crossJoin(differs).select(F.lit("again").alias("name"), (F.col("n") == 0).alias("consistent"), "categories")

@@ -78,3 +78,15 @@ def test_suite(spark, world):
     whole = [r for r in table.collect() if r.whole_mode == 1]
     assert len(whole) == 1 and whole[0].queries == 4 and not failures
     assert E.battle(spark, tmp / "s.yaml", Settings(), tmp / "out2", tmp / "out")[1] == []
+
+
+def test_report_consistency_evaluates_once(spark, sf, monkeypatch):
+    """Both sides of the comparison are read from one written evaluation, not made anew each time."""
+    from lodestone import catalogue
+
+    made = []
+    monkeypatch.setattr(catalogue, "results", lambda s, _: s.range(6).selectExpr(
+        "id as query_id", "concat('c', id % 2) as category", "id % 3 = 0 as top_1_path_hit", "true as top_5_path_hit", "id * 1.5D as latency_ms"))
+    monkeypatch.setattr(catalogue, "written", lambda df, name, f=catalogue.written: made.append(name) or f(df, name))
+    assert [tuple(r) for r in catalogue.report_consistency(spark, sf).collect()] == [("again", True, 2)]
+    assert made == ["results"]
