@@ -73,8 +73,8 @@ def chunks(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.build_chunks(docs(spark, sf), by="windows")
 
 
-def index(spark: SparkSession, sf: str, whole: bool = False) -> I.Index:
-    """The index of all chunks; pieces are part of their texts, and are kept a second time only to be published."""
+def index(spark: SparkSession, sf: str, whole: bool = True) -> I.Index:
+    """The index of all chunks; pieces are part of their texts, and searches alone need no second copy of them."""
     found = chunks(spark, sf)
     return I.build(written(found if whole else found.drop("piece"), "chunks"))
 
@@ -86,7 +86,7 @@ def asked(spark: SparkSession, sf: str) -> DataFrame:
 
 def vectored(spark: SparkSession, sf: str) -> tuple[I.Index, DataFrame]:
     """Index with vectors, and queries with embeddings."""
-    made = index(spark, sf)
+    made = index(spark, sf, whole=False)
     vectors = semantic.embed(made.chunks.select(*I.KEY, "text"), "text", semantic.HashedBackend).drop("text")
     return made.with_vectors(vectors), semantic.embed(asked(spark, sf), "query", semantic.HashedBackend)
 
@@ -628,7 +628,7 @@ def golden(spark, sf) -> DataFrame:
 
 
 def results(spark, sf) -> DataFrame:
-    hits = fusion.merge_collections(B.keyword_search(index(spark, sf), asked(spark, sf), 5), _ORDER, 10)
+    hits = fusion.merge_collections(B.keyword_search(index(spark, sf, whole=False), asked(spark, sf), 5), _ORDER, 10)
     hits = hits.select(F.col("qid").alias("query_id"), F.col("merged_rank").alias("rank"), "path")
     rows = evaluate.query_metrics(evaluate.first_hit_rank(golden(spark, sf), hits, 10), 10)
     q = F.col("query_id")
@@ -908,7 +908,7 @@ def search_response(spark, sf):
 
 
 def _published(spark, sf) -> tuple:
-    made = index(spark, sf, whole=True)
+    made = index(spark, sf)
     d = docs(spark, sf)
     sources = incremental.inventory(_files(d))
     root = Path(scratch(spark, "index").removeprefix("file://"))
