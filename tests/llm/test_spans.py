@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from lodestone.llm import repeats, substring_dedup, suffix_dedup
@@ -148,6 +149,23 @@ def test_odd_rows_with_production_parameters(spark, nasty, nothing):
     assert suffix_dedup.find(nothing).count() == 0 and substring_dedup.remove(nothing).count() == 0
 
 
+@pytest.mark.parametrize("unit", ["bytes", "words"])
+def test_row_groups_hold_few_blocks(spark, unit):
+    """A task that makes many blocks writes them in row groups of a bounded size: it holds one at a time, and so does a reader."""
+    r = random.Random(3)
+    text = "".join(r.choices("abcdefgh ", k=1 << 20))
+    rows = [(i, i, i, text[i:] + text[:i]) for i in range(24)]
+    df = spark.createDataFrame(rows, "k1 long, k2 long, doc_id long, text string").coalesce(1)
+    df = df.selectExpr("*", "cast(null as array<struct<lo:bigint,hi:bigint>>) as ranges")
+    blocks = repeats._blocks(df, unit)
+    (name,) = blocks.inputFiles()
+    meta = pq.ParquetFile(name.removeprefix("file://")).metadata
+    assert meta.num_rows >= 12
+    groups = [meta.row_group(i) for i in range(meta.num_row_groups)]
+    assert max(g.num_rows for g in groups) <= 2 and max(g.total_byte_size for g in groups) < 3 * repeats.BLOCK
+    assert sorted(d for b in blocks.collect() for d in b.doc_id) == list(range(24))
+
+
 def test_key_is_checked(nothing):
     for key in (None, 3, 32):
         with pytest.raises(ValueError):
